@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,9 +24,9 @@ def device_sessions(messages: DataFrame, silence_seconds: float = 6.0, **cells)
         messages.select("device_id", "ts", "status"),
         lambda w: {"_prev_ts": F.lag("ts").over(w), "_prev_status": F.lag("status").over(w)},
         before=1,
-        position="_pos_in_device",
+        keep_index=True,
         **cells,
-    )
+    ).withColumnRenamed("row_index", "_pos_in_device")
     starts = marked.where(F.col("_prev_ts").isNull() | (micros("ts") - micros("_prev_ts") > gap))
     paired = over_rows(
         starts,
@@ -64,9 +62,9 @@ def silent_devices(readings: DataFrame, now: Column, limit_minutes: float = 15.0
     nexted = over_rows(
         readings.select("device_id", "ts"), lambda w: {"_next": F.coalesce(F.lead("ts").over(w), now)}, after=1, **cells
     )
-    quiet = (micros("_next") - micros("ts")) / (60 * SECOND)
-    return nexted.where(quiet > limit_minutes).select(
-        "device_id", F.col("ts").alias("silent_from"), F.col("_next").alias("silent_until"), quiet.alias("silent_minutes")
+    quiet = (micros("_next") - micros("ts")) / SECOND
+    return nexted.where(quiet > limit_minutes * 60).select(
+        "device_id", F.col("ts").alias("silent_from"), F.col("_next").alias("silent_until"), quiet.alias("silent_seconds")
     )
 
 
@@ -163,12 +161,12 @@ def thin_readings(readings: DataFrame, gap_seconds: float = 600, cell_seconds: f
     )
     keys = celled.select("device_id", F.col("_c").alias("cell"), F.col("_t").alias("t"))
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["t"].to_numpy())
         u, x = _cell_steps(times, gap, key[1] * width + gap)
         return pd.DataFrame({"device_id": [key[0]], "cell": [key[1]], "u": [u.tolist()], "x": [x.tolist()]})
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell")
         parts = [(np.asarray(u), np.asarray(x)) for u, x in zip(pdf["u"], pdf["x"])]
         u, x = parts[0]
@@ -176,7 +174,7 @@ def thin_readings(readings: DataFrame, gap_seconds: float = 600, cell_seconds: f
             u, x = _compose(u, x, u2, x2)
         return pd.DataFrame({"device_id": [key[0]], "cell": [key[1]], "u": [u.tolist()], "x": [x.tolist()]})
 
-    def descend(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def descend(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell")
         t, out = np.asarray([pdf["entry"].iloc[0]]), []
         for u, x in zip(pdf["u"], pdf["x"]):
@@ -198,7 +196,7 @@ def thin_readings(readings: DataFrame, gap_seconds: float = 600, cell_seconds: f
             descend, "device_id string, cell bigint, entry bigint"
         )
 
-    def keep(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         times, i, kept = pdf["t"].to_numpy(), 0, []
         i = int(np.searchsorted(times, pdf["entry"].iloc[0]))

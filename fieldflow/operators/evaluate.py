@@ -161,7 +161,7 @@ def threshold_sweep(df: DataFrame, grid: Sequence[float] = SWEEP, y: str = "y",
     those bins, so the rows are read once and only bins are shuffled.
     """
     grid_array = F.array(*[F.lit(float(t)) for t in grid])
-    reached = F.size(F.filter(grid_array, lambda t: t <= F.col("_p")))
+    reached = sum((F.col("_p") >= float(t)).cast("int") for t in grid)
     bins = (
         df.select(F.col(p).alias("_p"), F.col(y).alias("_y"))
         .withColumn("bin", reached)
@@ -274,7 +274,8 @@ def time_folds(df: DataFrame, folds: Sequence[tuple[int, int]] = ((45, 50), (50,
     A row is repeated once per fold it takes part in.
     """
     first_day = df.select(F.to_date(F.min(ts))).scalar()
-    day = F.datediff(F.to_date(ts), first_day) + 1
+    dated = df.withColumn("_day", F.datediff(F.to_date(ts), first_day) + 1)
+    day = F.col("_day")
     options = F.array(
         *[
             F.struct(
@@ -285,9 +286,9 @@ def time_folds(df: DataFrame, folds: Sequence[tuple[int, int]] = ((45, 50), (50,
         ]
     )
     return (
-        df.withColumn("_f", F.explode(F.filter(options, lambda o: o["part"].isNotNull())))
+        dated.withColumn("_f", F.explode(F.filter(options, lambda o: o["part"].isNotNull())))
         .withColumns({"fold": F.col("_f.fold"), "part": F.col("_f.part")})
-        .drop("_f")
+        .drop("_f", "_day")
     )
 
 

@@ -4,7 +4,9 @@ A plain ``Window.partitionBy("device_id")`` sends a whole device to one task. Th
 each key by time first and stitch the cells together through a small per-cell table:
 
 * ``row_index``       position of every row in its key (rows per cell -> offsets, plus position inside the cell)
-* ``over_rows``       lag / lead / rolling frames, on chunks of equal row count with an exact halo
+* ``over_rows``       lag / lead / rolling frames, on chunks of equal row count with an exact halo; a
+                      ``row_index`` column that is already there is used as it is, so number the rows once,
+                      early, and carry the number through row-preserving steps
 * ``running_totals``  cumulative sums (totals per cell -> offsets, plus the running sum inside the cell)
 * ``exact_median``    median from value counts and their running totals
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HOUR = 3600
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 8_192
 CELL_ROWS = 2_000_000
 
 
@@ -98,32 +100,30 @@ def over_rows(
     after: int = 0,
     cell_seconds: float = HOUR,
     chunk_rows: int = CHUNK_ROWS,
-    position: str | None = None,
+    keep_index: bool = False,
 ) -> DataFrame:
     """Evaluate row-frame window columns that reach at most ``before`` rows back and ``after`` ahead.
 
     Rows are grouped in chunks of exactly ``chunk_rows`` positions; the last ``before`` rows of a chunk
     also go to the next one and the first ``after`` rows to the previous one, so each frame is whole.
-    ``position`` keeps the row's 1-based place in its key under that name.
+    ``row_index`` is kept if it came in or if ``keep_index`` asks for it.
     """
     if max(before, after) > chunk_rows:
         raise ValueError("chunk_rows must cover the frame")
-    indexed = row_index(df, by, order, "_pos", cell_seconds).withColumn("_pos", F.col("_pos") - 1)
+    numbered = "row_index" in df.columns
+    indexed = df if numbered else row_index(df, by, order, "row_index", cell_seconds)
     size = F.lit(chunk_rows).cast("bigint")
-    inside = F.pmod(F.col("_pos"), size)
-    own = F.col("_pos") - inside
+    inside = F.pmod(F.col("row_index") - 1, size)
+    own = F.col("row_index") - 1 - inside
     targets = [own]
     if before:
         targets.append(F.when(inside >= chunk_rows - before, own + size))
     if after:
         targets.append(F.when(inside < after, own - size))
     chunked = indexed.withColumn("_chunk", F.explode(F.array_compact(F.array(*targets))))
-    window = Window.partitionBy(*by, "_chunk").orderBy("_pos")
-    mine = F.col("_chunk") == own
-    out = chunked.withColumns(columns(window)).where(mine)
-    if position:
-        out = out.withColumn(position, F.col("_pos") + 1)
-    return out.drop("_pos", "_chunk")
+    window = Window.partitionBy(*by, "_chunk").orderBy("row_index")
+    out = chunked.withColumns(columns(window)).where(F.col("_chunk") == own).drop("_chunk")
+    return out if numbered or keep_index else out.drop("row_index")
 
 
 def running_totals(

@@ -3,8 +3,10 @@
 Each helper turns the *reference* side (weather, labels, irrigation events) into spans
 ``[span_lo, span_hi]`` (microseconds, both ends included) that do not overlap within a key. A reading
 then falls in at most one span, so ``span_lookup`` needs one equi-join on a time bucket with a range
-condition: no candidate pairs come out and no second aggregation is needed. The reading side is the
-outer side, so adaptive skew handling can split a hot bucket.
+condition: no candidate pairs come out and no second aggregation is needed. The bucketed spans are
+written out first, so the planner knows their true size: it broadcasts them only below
+``spark.sql.autoBroadcastJoinThreshold``, and the readings are then not shuffled at all. Above it both
+sides are shuffled by bucket; the readings are the outer side, which adaptive skew handling can split.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldflow.operators.ordered import HOUR, micros, number_cell, over_rows, running_totals, time_cell
+from fieldflow.session import cut_lineage
 
 SECOND = 1_000_000
 
@@ -26,6 +29,7 @@ def span_lookup(
     ts: str = "ts",
     bucket_seconds: float = HOUR,
     how: str = "left",
+    write_spans: bool = True,
 ) -> DataFrame:
     """Attach the columns of the span that holds ``ts``; null where none does (``how="left"``)."""
     width = int(bucket_seconds * SECOND)
@@ -42,6 +46,8 @@ def span_lookup(
     keys = [f"_k_{c}" for c in by]
     right = bucketed.withColumnsRenamed({c: f"_k_{c}" for c in by}).withColumnRenamed("_bucket", "_k_bucket")
     probe = left.withColumn("_us", micros(ts)).withColumn("_bucket", number_cell(F.col("_us"), width))
+    if write_spans:
+        right = cut_lineage(right, "spans")
     on = (F.col("_bucket") == F.col("_k_bucket")) & F.col("_us").between(F.col("span_lo"), F.col("span_hi"))
     for c, k in zip(by, keys):
         on = on & (probe[c] == F.col(k))

@@ -36,16 +36,13 @@ def upcoming_slots(
     near = F.col("minutes_to_trigger") <= lookahead_minutes
     if not find_next:
         return ahead.where(near)
-    # the first slot ahead is either inside the window or the only one to return
-    first = Window.partitionBy(*by).orderBy("minutes_to_trigger", "start_ts")
-    inside = ahead.where(near)
-    next_one = (
-        ahead.withColumn("_r", F.row_number().over(first))
-        .where("_r = 1")
-        .where((F.col("minutes_to_trigger") > -lookback_minutes) & ~near)
-        .drop("_r")
+    # the first slot ahead is either inside the window, or the only one to return
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("minutes_to_trigger", "start_ts")) == 1
+    return (
+        ahead.withColumn("_first", first)
+        .where(near | (F.col("_first") & (F.col("minutes_to_trigger") > -lookback_minutes)))
+        .drop("_first")
     )
-    return inside.unionByName(next_one)
 
 
 def slots_by_date(rows: DataFrame, device_shape: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldflow.functions import constants as K
 from fieldflow.operators import joins, labels
 from fieldflow.plans import planning
-from fieldflow.session import use_utc
+from fieldflow.session import cut_lineage, use_utc
 from fieldflow.sources import adapter, sinks
 
 
@@ -45,11 +45,15 @@ def decided_slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_rows(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.schedule_rows(decided_slots(spark, d))
+    """The stored schedule table."""
+    return cut_lineage(sinks.schedule_rows(decided_slots(spark, d)), "schedule")
 
 
 def rain_labels(spark: SparkSession, d: str) -> DataFrame:
-    return labels.rain_labels(adapter.sensor_reading(spark, d), adapter.weather_hour(spark, d))
+    """The label table, written once: everything after it reads the file, as a training run would."""
+    return cut_lineage(
+        labels.rain_labels(adapter.sensor_reading(spark, d), adapter.weather_hour(spark, d)), "rain-labels"
+    )
 
 
 def weather_joined(spark: SparkSession, d: str, readings: DataFrame | None = None) -> DataFrame:
@@ -58,7 +62,8 @@ def weather_joined(spark: SparkSession, d: str, readings: DataFrame | None = Non
 
 
 def irrigation(spark: SparkSession, d: str) -> DataFrame:
-    return labels.irrigation_events(adapter.sensor_reading(spark, d), rain_labels(spark, d))
+    """The irrigation event table, written once."""
+    return cut_lineage(labels.irrigation_events(adapter.sensor_reading(spark, d), rain_labels(spark, d)), "irrigation")
 
 
 def score(rh: str = "rh_pct"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldflow.functions import constants as K
 from fieldflow.functions import scalars
 from fieldflow.operators import clean, evaluate, features, joins, labels
-from fieldflow.operators.ordered import over_rows, time_cell
+from fieldflow.operators.ordered import over_rows, row_index, time_cell
 from fieldflow.plans import pre_irrigation
 from fieldflow.queries.inputs import (
     decided_slots,
@@ -105,7 +105,7 @@ def last_n_before(spark, d):
     "sensor weather labels",
 )
 def rain_labels(spark, d):
-    return labels_of(spark, d)
+    return labels.rain_labels(adapter.sensor_reading(spark, d), adapter.weather_hour(spark, d))
 
 
 WIDE_SQL = "wide AS (SELECT device_id, start_ts, start_ts + duration_min * INTERVAL 20 MINUTE AS end_ts, duration_min FROM irrigation)"
@@ -135,7 +135,8 @@ def irrigation_flag(spark, d):
     "sensor weather labels irrigation",
 )
 def irrigation_history(spark, d):
-    return features.irrigation_minutes(joins.flag_irrigation(adapter.sensor_reading(spark, d), wide_slots(spark, d)))
+    numbered = row_index(adapter.sensor_reading(spark, d), ["device_id"])
+    return features.irrigation_minutes(joins.flag_irrigation(numbered, wide_slots(spark, d)))
 
 
 @query(
@@ -285,7 +286,8 @@ def interaction_features(spark, d):
 
 @query(_columns(K.FEATURE_NAMES), "SELECT * FROM features", "sensor weather nearest features")
 def nowcast_features(spark, d):
-    return features.nowcast_features(weather_joined(spark, d))
+    numbered = row_index(adapter.sensor_reading(spark, d), ["device_id"])
+    return features.nowcast_features(weather_joined(spark, d, numbered))
 
 
 @query(
@@ -295,7 +297,7 @@ def nowcast_features(spark, d):
     "sensor weather labels nearest features",
 )
 def training_matrix(spark, d):
-    labelled = joins.join_labels(adapter.sensor_reading(spark, d), labels_of(spark, d))
+    labelled = row_index(joins.join_labels(adapter.sensor_reading(spark, d), labels_of(spark, d)), ["device_id"])
     filled = weather_joined(spark, d, labelled)
     return features.training_matrix(features.nowcast_features(filled), K.FEATURE_NAMES, "rain_next_60")
 
@@ -345,7 +347,7 @@ WIDE_CHECK = ["temp_c_lag24", "rh_pct_std24", "pressure_hpa_d60", "rain_last_60m
 )
 def wide_matrix(spark, d):
     """The long feature set over all rows; a few of its columns are compared."""
-    labelled = joins.join_labels(adapter.sensor_reading(spark, d), labels_of(spark, d))
+    labelled = row_index(joins.join_labels(adapter.sensor_reading(spark, d), labels_of(spark, d)), ["device_id"])
     watered = features.irrigation_minutes(joins.flag_irrigation(labelled, wide_slots(spark, d)))
     built = features.wide_features(watered)
     return features.training_matrix(built, features.feature_names("wide", built.columns), "rain_next_60")

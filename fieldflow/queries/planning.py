@@ -280,7 +280,7 @@ retimed AS (SELECT device_id, date, n, duration_min, date = '2025-06-01' AND n =
 
 
 def rebased(spark, d):
-    return schedule.rebase_schedule(slots(spark, d), F.lit("2025-06-01").cast("date"))
+    return cut_lineage(schedule.rebase_schedule(slots(spark, d), F.lit("2025-06-01").cast("date")), "rebased")
 
 
 @query(
@@ -342,9 +342,9 @@ def online_devices(spark, d):
 
 
 @query(
-    "device_id:s silent_from:t silent_until:t silent_minutes:d",
+    "device_id:s silent_from:t silent_until:t silent_seconds:d",
     """WITH n AS (SELECT device_id, ts, coalesce(lead(ts) OVER (PARTITION BY device_id ORDER BY ts), TIMESTAMP '2024-01-31 00:00:00') AS nxt FROM sensor)
-    SELECT device_id, ts AS silent_from, nxt AS silent_until, (epoch_us(nxt) - epoch_us(ts)) / 60e6 AS silent_minutes FROM n WHERE (epoch_us(nxt) - epoch_us(ts)) / 60e6 > 15""",
+    SELECT device_id, ts AS silent_from, nxt AS silent_until, (epoch_us(nxt) - epoch_us(ts)) / 1e6 AS silent_seconds FROM n WHERE (epoch_us(nxt) - epoch_us(ts)) / 1e6 > 900""",
     "sensor",
 )
 def silent_devices(spark, d):
@@ -444,18 +444,19 @@ def stream_route(spark, d):
 
 @query(SESSION_COLUMNS, "WITH " + SESSIONS.format(gap=600), "sensor")
 def stream_device_state(spark, d):
-    """The same sessions from the stream; a closing message past the data flushes the last ones."""
-    base = scratch(spark, "sessions")
-    status = F.when(F.col("event_type") == "click", "online").otherwise("offline")
-    messages = event_stream(spark, d).where(F.col("event_type").isin("click", "view")).select("device_id", "ts", status.alias("status"))
-    stream = state.session_stream(messages, "10 minutes", late="1 minute")
-    q = (
-        stream.writeStream.outputMode("complete").format("memory").queryName("x")
-        if False
-        else ingest.batches(stream, lambda b, i: ingest.write_batch(b, f"{base}/out", i), f"{base}/state")
+    """The same sessions from the stream. A later message of another device moves the watermark past the data."""
+    base, source = scratch(spark, "sessions"), scratch(spark, "status-files")
+    messages = status_messages(spark, d)
+    messages.write.parquet(source)
+    stream = state.session_stream(
+        ingest.file_stream(spark, source, "device_id string, ts timestamp, status string"), "10 minutes", late="1 minute"
     )
-    finish(q)
-    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    run = lambda: finish(ingest.append_stream(stream, f"{base}/out", f"{base}/state"))
+    run()
+    later = messages.agg((F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts"))
+    later.select(F.lit("clock").alias("device_id"), "ts", F.lit("online").alias("status")).write.mode("append").parquet(source)
+    run()
+    return spark.read.parquet(f"{base}/out")
 
 
 @query("date:s rows:i minutes:i")
