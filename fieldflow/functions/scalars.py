@@ -111,8 +111,14 @@ def decide_irrigation(soil: str | Column, rain_prob: str | Column) -> dict[str,
     }
 
 
+def round_to(value: str | Column, digits: int) -> Column:
+    """Rounds the binary value, as the sources of these numbers do: 20.275, stored just below, gives 20.27."""
+    scale = float(10**digits)
+    return F.floor(col(value) * scale + 0.5) / scale
+
+
 def round_two(value: str | Column) -> Column:
-    return F.round(col(value), 2)
+    return round_to(value, 2)
 
 
 def day_minute(ts: str | Column, site_tz: str = "UTC") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldflow.functions import constants as K
 from fieldflow.functions.scalars import parse_timestamp, round_two, soil_percent
 from fieldflow.operators.ordered import exact_median, micros, over_rows
+from fieldflow.session import cut_lineage
 
 KEY = ("device_id", "ts")
 
@@ -59,11 +60,14 @@ def standardize(readings: DataFrame) -> DataFrame:
 
 
 def trailing_window(readings: DataFrame, days: int = 60, by: Sequence[str] = ("device_id",)) -> DataFrame:
-    """Rows within ``days`` of the latest reading, per key or (``by=[]``) over all."""
+    """Rows within ``days`` of the latest reading, per key or (``by=[]``) over all.
+
+    The table of latest times is written first: its known size decides between broadcast and shuffle.
+    """
     span = F.make_dt_interval(days=F.lit(days))
     if not by:
         return readings.where(F.col("ts") >= readings.select(F.max("ts")).scalar() - span)
-    latest = readings.groupBy(*by).agg(F.max("ts").alias("_latest"))
+    latest = cut_lineage(readings.groupBy(*by).agg(F.max("ts").alias("_latest")), "latest")
     return readings.join(latest, list(by)).where(F.col("ts") >= F.col("_latest") - span).drop("_latest")
 
 

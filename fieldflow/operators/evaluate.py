@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldflow.operators.ordered import exact_median, over_rows, row_index, running_totals
+from fieldflow.session import cut_lineage
 
 SCORE_CELLS = 10_000
 SWEEP = [0.1 + i * ((0.9 - 0.1) / 32) for i in range(33)]
@@ -58,15 +59,26 @@ def target_stats(df: DataFrame, target: str = "rain_amount_next_60_mm") -> DataF
     ).withColumn("median_mm", median / 1_000_000)
 
 
-def score_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """One row per distinct score: positives and negatives at it (``pos``, ``neg``) and at or above it (``tp``, ``fp``)."""
-    counts = df.groupBy(p).agg(
-        F.sum(F.col(y)).cast("bigint").alias("pos"), F.sum(1 - F.col(y)).cast("bigint").alias("neg")
+def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """Positives and negatives per distinct score, written once: the rows themselves are read a single time."""
+    return cut_lineage(
+        df.groupBy(p).agg(
+            F.sum(F.col(y)).cast("bigint").alias("pos"), F.sum(1 - F.col(y)).cast("bigint").alias("neg")
+        ),
+        "score-counts",
     )
+
+
+def curve_of(counts: DataFrame, p: str = "p") -> DataFrame:
+    """Adds the positives and negatives at or above each score (``tp``, ``fp``)."""
     cell = F.floor(F.col(p) * SCORE_CELLS)
     return running_totals(counts, [], [p], cell, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
 
 
+def score_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    return curve_of(score_counts(df, y, p), p)
+
+
 def auc_roc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Chance that a positive scores above a negative; ties count half."""
     curve = score_curve(df, y, p)
@@ -88,8 +100,9 @@ def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def pr_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Precision and recall with every observed score as threshold."""
-    curve = score_curve(df, y, p)
-    positives = df.select(F.sum(F.col(y))).scalar()
+    counts = score_counts(df, y, p)
+    curve = curve_of(counts, p)
+    positives = counts.select(F.sum("pos")).scalar()
     return curve.select(
         F.col(p).alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),

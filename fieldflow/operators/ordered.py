@@ -22,6 +22,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from fieldflow.session import cut_lineage
+
 HOUR = 3600
 CHUNK_ROWS = 8_192
 CELL_ROWS = 2_000_000
@@ -155,7 +157,9 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, cell_width: int =
 
     Output: keys, ``n`` and ``median``. Works on value counts, which shrink map-side.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts"
+    )
     ranked = running_totals(
         counts, by, [value], number_cell(F.col(value).cast("bigint"), cell_width), {"_cum": F.col("_c")}
     )

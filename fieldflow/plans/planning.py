@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
-from fieldflow.functions.scalars import horizon_group, iso, season_columns, season_field
+from fieldflow.functions.scalars import horizon_group, iso, round_two, season_columns, season_field
 
 SLOT_TYPE = "array<struct<start_ts: timestamp, end_ts: timestamp, device_id: string, duration_min: int>>"
 
@@ -126,8 +126,8 @@ def build_day_plans(forecast: DataFrame, soil: DataFrame) -> DataFrame:
 def plan_slots(plans: DataFrame) -> DataFrame:
     """Slots with the context of their day."""
     return plans.select(
-        F.round("rain_mm", 2).alias("rain_mm_day"),
-        F.round("soil_moist_ref", 2).alias("soil_moist_ref"),
+        round_two("rain_mm").alias("rain_mm_day"),
+        round_two("soil_moist_ref").alias("soil_moist_ref"),
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         "horizon_group",
         "season",
@@ -161,11 +161,11 @@ def water_balance(plans: DataFrame) -> DataFrame:
     ).otherwise(K.BALANCE_COMMENTS["ok"])
     return sums.select(
         "device_id",
-        F.round("rain", 2).alias("rain_mm_7d"),
+        round_two("rain").alias("rain_mm_7d"),
         F.col("min").cast("double").alias("irrigation_min_7d"),
-        F.round(mm, 2).alias("irrigation_mm_7d"),
+        round_two(mm).alias("irrigation_mm_7d"),
         "target_mm_7d",
-        F.round(total, 2).alias("total_mm_7d"),
+        round_two(total).alias("total_mm_7d"),
         status.alias("status"),
         comment.alias("comment"),
         F.lit(K.MM_PER_MIN_IRRIGATION).alias("mm_per_min_irrigation"),
@@ -186,8 +186,8 @@ def schedule_documents(plans: DataFrame, now: Column, mode: str = "scheduler_rul
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         "season",
         "horizon_group",
-        F.round("rain_mm", 2).alias("rain_mm"),
-        F.round("soil_moist_ref", 2).alias("soil_moist_ref"),
+        round_two("rain_mm").alias("rain_mm"),
+        round_two("soil_moist_ref").alias("soil_moist_ref"),
         _minutes().alias("total_irrigation_min"),
         "note",
     )
@@ -198,8 +198,8 @@ def schedule_documents(plans: DataFrame, now: Column, mode: str = "scheduler_rul
             iso(s["end_ts"]).alias("end_ts"),
             s["device_id"].alias("device_id"),
             s["duration_min"].alias("duration_min"),
-            F.round("rain_mm", 2).alias("rain_mm_day"),
-            F.round("soil_moist_ref", 2).alias("soil_moist_ref"),
+            round_two("rain_mm").alias("rain_mm_day"),
+            round_two("soil_moist_ref").alias("soil_moist_ref"),
             F.date_format("date", "yyyy-MM-dd").alias("date"),
             F.col("horizon_group").alias("horizon_group"),
             F.col("season").alias("season"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldflow.functions.scalars import decide_irrigation
+from fieldflow.functions.scalars import decide_irrigation, round_to
 from fieldflow.operators.features import serving_features
 from fieldflow.operators.joins import last_rows_before, overlay, weather_or_defaults
 from fieldflow.operators.ordered import micros
@@ -53,7 +53,7 @@ def check_slots(
     updates = scored.select(
         "device_id",
         "start_ts",
-        F.round("probability", 4).alias("probability"),
+        round_to("probability", 4).alias("probability"),
         F.when(failed, F.lit(True)).otherwise(advice["should_irrigate"]).alias("should_irrigate"),
         F.when(failed, F.lit("Lỗi dự báo. Tưới theo lịch mặc định.")).otherwise(advice["reason"]).alias("forecast_reason"),
         (now if now is not None else F.col("target_ts")).alias("forecast_checked_at"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
-from fieldflow.functions.scalars import clock, decide_irrigation
+from fieldflow.functions.scalars import clock, decide_irrigation, round_to
 from fieldflow.operators.ordered import micros
 
 
@@ -164,9 +164,9 @@ def forecast_record(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.select(
         "device_id",
         "ts",
-        F.round(p, 4).alias("probability"),
+        round_to(p, 4).alias("probability"),
         (p >= threshold).cast("int").alias("label"),
-        *[F.round(c, 2).alias(c) for c in K.BASE_COLUMNS],
+        *[round_to(c, 2).alias(c) for c in K.BASE_COLUMNS],
         F.when(failed, F.lit(True)).otherwise(advice["should_irrigate"]).alias("should_irrigate"),
         F.when(failed, F.lit("Lỗi dự báo. Tưới theo lịch mặc định.")).otherwise(advice["reason"]).alias("reason"),
         F.lit(threshold).alias("threshold_used"),
