@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
 from fieldflow.functions.scalars import parse_timestamp, round_two, soil_percent
-from fieldflow.operators.ordered import exact_median, micros, over_rows
+from fieldflow.operators.ordered import exact_median, micros, neighbours
 from fieldflow.session import cut_lineage
 
 KEY = ("device_id", "ts")
@@ -164,12 +164,11 @@ def calibrate_soil(df: DataFrame, raw: str) -> DataFrame:
 
 def sampling_interval(readings: DataFrame, warn_seconds: float = 20.0, **cells) -> DataFrame:
     """Median positive gap between neighbouring readings of a device."""
-    gaps = over_rows(
-        readings.select(*KEY),
-        lambda w: {"gap_us": micros("ts") - F.lag(micros("ts")).over(w)},
-        before=1,
-        **cells,
-    ).where("gap_us > 0")
+    gaps = (
+        neighbours(readings.select(*KEY), prev=["ts"], **cells)
+        .withColumn("gap_us", micros("ts") - micros("prev_ts"))
+        .where("gap_us > 0")
+    )
     return exact_median(gaps, ["device_id"], "gap_us").select(
         "device_id",
         "n",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
-from fieldflow.operators.ordered import micros, over_rows
+from fieldflow.operators.ordered import micros, neighbours
 from fieldflow.operators.spans import SECOND, contained_pairs
 from fieldflow.session import cut_lineage
 
@@ -20,33 +20,23 @@ def device_sessions(messages: DataFrame, silence_seconds: float = 6.0, **cells)
     Only session starts leave the first step; a session's end is what stood before the next start.
     """
     gap = int(silence_seconds * SECOND)
-    marked = over_rows(
+    marked = neighbours(
         messages.select("device_id", "ts", "status"),
-        lambda w: {"_prev_ts": F.lag("ts").over(w), "_prev_status": F.lag("status").over(w)},
-        before=1,
-        keep_index=True,
-        **cells,
-    ).withColumnRenamed("row_index", "_pos_in_device")
-    starts = marked.where(F.col("_prev_ts").isNull() | (micros("ts") - micros("_prev_ts") > gap))
-    paired = over_rows(
-        starts,
-        lambda w: {
-            "_end": F.lead("_prev_ts").over(w),
-            "_end_status": F.lead("_prev_status").over(w),
-            "_next": F.lead("_pos_in_device").over(w),
-        },
-        after=1,
+        sums={"pos": F.lit(1).cast("bigint")},
+        prev=["ts", "status"],
         **cells,
     )
+    starts = marked.where(F.col("prev_ts").isNull() | (micros("ts") - micros("prev_ts") > gap))
+    paired = neighbours(starts.drop("status"), next=["prev_ts", "prev_status", "pos"], **cells)
     last = messages.groupBy("device_id").agg(
         F.max("ts").alias("_last"), F.max_by("status", "ts").alias("_last_status"), F.count(F.lit(1)).alias("_n")
     )
     return paired.join(last, "device_id").select(
         "device_id",
         F.col("ts").alias("session_start"),
-        F.coalesce("_end", "_last").alias("session_end"),
-        (F.coalesce(F.col("_next"), F.col("_n") + 1) - F.col("_pos_in_device")).alias("messages"),
-        F.coalesce("_end_status", "_last_status").alias("last_status"),
+        F.coalesce("next_prev_ts", "_last").alias("session_end"),
+        (F.coalesce(F.col("next_pos"), F.col("_n") + 1) - F.col("pos")).alias("messages"),
+        F.coalesce("next_prev_status", "_last_status").alias("last_status"),
     )
 
 
@@ -59,12 +49,12 @@ def online_devices(messages: DataFrame) -> DataFrame:
 
 def silent_devices(readings: DataFrame, now: Column, limit_minutes: float = 15.0, **cells) -> DataFrame:
     """Silences above the limit, up to ``now`` for a device's last reading."""
-    nexted = over_rows(
-        readings.select("device_id", "ts"), lambda w: {"_next": F.coalesce(F.lead("ts").over(w), now)}, after=1, **cells
+    nexted = neighbours(readings.select("device_id", "ts"), next=["ts"], **cells).withColumn(
+        "until", F.coalesce(F.col("next_ts"), now)
     )
-    quiet = (micros("_next") - micros("ts")) / SECOND
+    quiet = (micros("until") - micros("ts")) / SECOND
     return nexted.where(quiet > limit_minutes * 60).select(
-        "device_id", F.col("ts").alias("silent_from"), F.col("_next").alias("silent_until"), quiet.alias("silent_seconds")
+        "device_id", F.col("ts").alias("silent_from"), F.col("until").alias("silent_until"), quiet.alias("silent_seconds")
     )
 
 
@@ -75,13 +65,13 @@ def pump_runs(
 
     ``messages``: device_id, ts, pump, planned_minutes. A run whose OFF never came is left open.
     """
-    changes = over_rows(
-        messages, lambda w: {"_prev": F.lag("pump").over(w)}, before=1, **cells
-    ).where(F.col("_prev").isNull() | (F.col("_prev") != F.col("pump")))
+    changes = neighbours(messages, prev=["pump"], **cells).where(
+        F.col("prev_pump").isNull() | (F.col("prev_pump") != F.col("pump"))
+    )
     runs = (
-        over_rows(changes.drop("_prev"), lambda w: {"off_ts": F.lead("ts").over(w)}, after=1, **cells)
+        neighbours(changes.drop("prev_pump"), next=["ts"], **cells)
         .where("pump = 'ON'")
-        .select("device_id", F.col("ts").alias("on_ts"), "off_ts", "planned_minutes")
+        .select("device_id", F.col("ts").alias("on_ts"), F.col("next_ts").alias("off_ts"), "planned_minutes")
     )
     wet = (
         contained_pairs(

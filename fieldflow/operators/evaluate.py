@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldflow.operators.ordered import exact_median, over_rows, row_index, running_totals
+from fieldflow.operators.ordered import exact_median, in_order, over_rows, row_index
 from fieldflow.session import cut_lineage
 
 SCORE_CELLS = 10_000
@@ -72,7 +72,7 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def curve_of(counts: DataFrame, p: str = "p") -> DataFrame:
     """Adds the positives and negatives at or above each score (``tp``, ``fp``)."""
     cell = F.floor(F.col(p) * SCORE_CELLS)
-    return running_totals(counts, [], [p], cell, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
+    return in_order(counts, [], [p], cell, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
 
 
 def score_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

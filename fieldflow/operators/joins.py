@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
-from fieldflow.operators.ordered import HOUR, row_index, running_totals, time_cell
+from fieldflow.operators.ordered import HOUR, in_order, row_index, time_cell
 from fieldflow.operators.spans import asof_nearest, contained_pairs, coverage_spans, span_lookup
 
 WEATHER_COLUMNS = ["api_pop", "api_rain_1h", "api_temp_c", "api_rh_pct", "api_uvi", "api_weather_code"]
@@ -77,7 +77,7 @@ def last_rows_before(
     marks = readings.select(*by, F.col("ts").alias("_at"), F.lit(0).alias("_kind")).unionByName(
         targets.select(*by, F.col(target_ts).alias("_at"), F.lit(1).alias("_kind")).distinct()
     )
-    counted = running_totals(
+    counted = in_order(
         marks, by, ["_at", "_kind"], time_cell("_at", HOUR), {"_seen": (F.col("_kind") == 0).cast("bigint")}
     ).where("_kind = 1")
     totals = readings.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))

@@ -3,12 +3,13 @@
 A plain ``Window.partitionBy("device_id")`` sends a whole device to one task. The helpers here cut
 each key by time first and stitch the cells together through a small per-cell table:
 
-* ``row_index``       position of every row in its key (rows per cell -> offsets, plus position inside the cell)
+* ``in_order``        running sums, previous and next row: rows are shuffled once, by (key, cell); what
+                      lies before and after a cell comes from the per-cell table
+* ``row_index``       position of every row in its key
 * ``over_rows``       lag / lead / rolling frames, on chunks of equal row count with an exact halo; a
                       ``row_index`` column that is already there is used as it is, so number the rows once,
                       early, and carry the number through row-preserving steps
-* ``running_totals``  cumulative sums (totals per cell -> offsets, plus the running sum inside the cell)
-* ``exact_median``    median from value counts and their running totals
+* ``exact_median``    median from value counts and their running sums
 
 The per-cell table has one row per key and occupied cell, so its size follows the time span, not
 the row count. ``cell_seconds`` should be small enough that one (key, cell) fits a task;
@@ -63,15 +64,58 @@ def fit_cell_seconds(
     return width
 
 
-def _prefix_offsets(
-    df: DataFrame, by: Sequence[str], cell: str, sums: dict[str, Column], descending: bool = False
+def in_order(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    cell: Column,
+    sums: dict[str, Column] | None = None,
+    prev: Sequence[str] = (),
+    next: Sequence[str] = (),
+    descending: bool = False,
 ) -> DataFrame:
-    totals = df.groupBy(*by, cell).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    order = F.col(cell).desc() if descending else F.col(cell)
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *by, cell, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]
+    """Running sums (the current row included), ``prev_<c>`` and ``next_<c>`` in the order of each key.
+
+    ``cell`` must be monotone in ``order``. For ``prev`` and ``next`` the first order column is unique per key.
+    """
+    sums = sums or {}
+    cells = df.withColumn("_cell", cell).withColumns({f"_v_{n}": c for n, c in sums.items()})
+    at = order[0]
+    low, high = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
+    parts = [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums]
+    parts += [high(c, at).alias(f"_last_{c}") for c in prev] + [low(c, at).alias(f"_first_{c}") for c in next]
+    direction = (lambda c: F.col(c).desc()) if descending else F.col
+    across = Window.partitionBy(*by).orderBy(direction("_cell"))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    stitches = cells.groupBy(*by, "_cell").agg(*(parts or [F.count(F.lit(1)).alias("_n")])).select(
+        *by,
+        "_cell",
+        *[F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums],
+        *[F.lag(f"_last_{c}").over(across).alias(f"_before_cell_{c}") for c in prev],
+        *[F.lead(f"_first_{c}").over(across).alias(f"_after_cell_{c}") for c in next],
+    )
+    within = Window.partitionBy(*by, "_cell").orderBy(*[direction(c) for c in order])
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = {f"_in_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}
+    local |= {f"_prev_{c}": F.lag(c).over(within) for c in prev} | {f"_next_{c}": F.lead(c).over(within) for c in next}
+    if prev:
+        local["_opens"] = F.lag(at).over(within).isNull()
+    if next:
+        local["_closes"] = F.lead(at).over(within).isNull()
+    joined = cells.withColumns(local).join(stitches, [*by, "_cell"])
+    out = joined.withColumns(
+        {n: F.col(f"_before_{n}") + F.col(f"_in_{n}") for n in sums}
+        | {f"prev_{c}": F.when(F.col("_opens"), F.col(f"_before_cell_{c}")).otherwise(F.col(f"_prev_{c}")) for c in prev}
+        | {f"next_{c}": F.when(F.col("_closes"), F.col(f"_after_cell_{c}")).otherwise(F.col(f"_next_{c}")) for c in next}
     )
+    return out.select(*[c for c in out.columns if c in df.columns or c in sums or c in [f"prev_{x}" for x in prev] + [f"next_{x}" for x in next]])
+
+
+def neighbours(
+    df: DataFrame, by: Sequence[str] = ("device_id",), ts: str = "ts", cell_seconds: float = HOUR, **wanted
+) -> DataFrame:
+    """``in_order`` by a timestamp column, cut into time cells."""
+    return in_order(df, by, [ts], time_cell(ts, cell_seconds), **wanted)
 
 
 def row_index(
@@ -82,15 +126,7 @@ def row_index(
     cell_seconds: float = HOUR,
 ) -> DataFrame:
     """1-based position of each row within its key. ``order[0]`` is a timestamp; order must be total."""
-    cells = df.withColumn("_cell", time_cell(order[0], cell_seconds))
-    offsets = _prefix_offsets(cells, by, "_cell", {"rows": F.lit(1)})
-    inside = Window.partitionBy(*by, "_cell").orderBy(*order)
-    return (
-        cells.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*by, "_cell"])
-        .withColumn(name, F.col("_before_rows") + F.col("_inside"))
-        .drop("_cell", "_inside", "_before_rows")
-    )
+    return in_order(df, by, order, time_cell(order[0], cell_seconds), {name: F.lit(1).cast("bigint")})
 
 
 def over_rows(
@@ -128,30 +164,6 @@ def over_rows(
     return out if numbered or keep_index else out.drop("row_index")
 
 
-def running_totals(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    cell: Column,
-    sums: dict[str, Column],
-    descending: bool = False,
-) -> DataFrame:
-    """Cumulative sums, the current row included. ``cell`` must be monotone in ``order``."""
-    cells = df.withColumn("_cell", cell).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    values = {n: F.col(f"_v_{n}") for n in sums}
-    offsets = _prefix_offsets(cells, by, "_cell", values, descending)
-    ordering = [F.col(c).desc() for c in order] if descending else list(order)
-    upto = (
-        Window.partitionBy(*by, "_cell").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    inside = cells.withColumns({f"_in_{n}": F.sum(v).over(upto) for n, v in values.items()})
-    return (
-        inside.join(offsets, [*by, "_cell"])
-        .withColumns({n: F.col(f"_before_{n}") + F.col(f"_in_{n}") for n in sums})
-        .drop("_cell", *[f"{p}{n}" for n in sums for p in ("_v_", "_in_", "_before_")])
-    )
-
-
 def exact_median(df: DataFrame, by: Sequence[str], value: str, cell_width: int = 1_000_000) -> DataFrame:
     """Median of an integer column per key, without holding a key's values in one buffer.
 
@@ -160,7 +172,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, cell_width: int =
     counts = cut_lineage(
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts"
     )
-    ranked = running_totals(
+    ranked = in_order(
         counts, by, [value], number_cell(F.col(value).cast("bigint"), cell_width), {"_cum": F.col("_c")}
     )
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldflow.operators.ordered import HOUR, micros, number_cell, over_rows, running_totals, time_cell
+from fieldflow.operators.ordered import HOUR, in_order, micros, neighbours, number_cell, time_cell
 from fieldflow.session import cut_lineage
 
 SECOND = 1_000_000
@@ -62,22 +62,21 @@ def nearest_spans(
     ``ts`` is unique per key. The row's own time comes back as ``match_ts``.
     """
     tol = int(tolerance_seconds * SECOND)
-    near = over_rows(
+    near = neighbours(
         right.withColumnRenamed(ts, "match_ts").withColumn("_t", micros("match_ts")),
-        lambda w: {"_prev": F.lag("_t").over(w), "_next": F.lead("_t").over(w)},
-        by=by,
-        order=("match_ts",),
-        before=1,
-        after=1,
+        by,
+        "match_ts",
+        prev=["_t"],
+        next=["_t"],
         **cells,
     )
     halfway = lambda other: F.shiftright(F.col("_t") + F.col(other), 1)
     return near.withColumns(
         {
-            "span_lo": F.greatest(F.col("_t") - tol, halfway("_prev") + 1),
-            "span_hi": F.least(F.col("_t") + tol, halfway("_next")),
+            "span_lo": F.greatest(F.col("_t") - tol, halfway("prev__t") + 1),
+            "span_hi": F.least(F.col("_t") + tol, halfway("next__t")),
         }
-    ).drop("_t", "_prev", "_next")
+    ).drop("_t", "prev__t", "next__t")
 
 
 def asof_nearest(
@@ -119,20 +118,13 @@ def sweep(
     and is left out: nothing changes after it.
     """
     day = int(24 * cell_seconds * SECOND)
-    totals = running_totals(points, by, ["at"], number_cell(F.col("at"), day), sums)
-    timed = totals.withColumn("_at_ts", F.timestamp_micros("at"))
-    nexted = over_rows(
-        timed,
-        lambda w: {
-            "span_hi": F.lead("at").over(w) - 1,
-            **{f"next_{c}": F.lead(c).over(w) for c in lead},
-        },
-        by=by,
-        order=("_at_ts",),
-        after=1,
-        cell_seconds=24 * cell_seconds,
+    ordered = in_order(points, by, ["at"], number_cell(F.col("at"), day), sums, next=["at", *lead])
+    return (
+        ordered.where(F.col("next_at").isNotNull())
+        .withColumn("span_hi", F.col("next_at") - 1)
+        .withColumnRenamed("at", "span_lo")
+        .drop("next_at")
     )
-    return nexted.where(F.col("span_hi").isNotNull()).withColumnRenamed("at", "span_lo").drop("_at_ts")
 
 
 def contained_pairs(

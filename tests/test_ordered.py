@@ -8,8 +8,9 @@ from fieldflow.operators.ordered import (
     micros,
     number_cell,
     over_rows,
+    in_order,
+    neighbours,
     row_index,
-    running_totals,
 )
 
 
@@ -52,12 +53,21 @@ def test_given_row_index_is_used_and_kept(spark):
 def test_running_totals_both_directions(spark):
     df = spark.createDataFrame([("k", i, i % 5) for i in range(200)], "k string, pos bigint, v bigint")
     cell = number_cell(F.col("pos"), 16)
-    up = running_totals(df, ["k"], ["pos"], cell, {"s": F.col("v")}).orderBy("pos").toPandas()
-    down = running_totals(df, ["k"], ["pos"], cell, {"s": F.col("v")}, descending=True).orderBy("pos").toPandas()
+    up = in_order(df, ["k"], ["pos"], cell, {"s": F.col("v")}).orderBy("pos").toPandas()
+    down = in_order(df, ["k"], ["pos"], cell, {"s": F.col("v")}, descending=True).orderBy("pos").toPandas()
     assert up["s"].tolist() == up["v"].cumsum().tolist()
     assert down["s"].tolist() == down["v"][::-1].cumsum()[::-1].tolist()
 
 
+def test_neighbours_cross_empty_cells(spark):
+    df = random_readings(spark).withColumn("temp_c", F.when(F.col("temp_c") > 24, F.col("temp_c")))
+    got = neighbours(df, prev=["ts", "temp_c"], next=["ts", "temp_c"], cell_seconds=120).toPandas().sort_values(["device_id", "ts"])
+    groups = got.groupby("device_id")
+    for c in ("ts", "temp_c"):
+        pd.testing.assert_series_equal(got[f"prev_{c}"], groups[c].shift(1), check_names=False)
+        pd.testing.assert_series_equal(got[f"next_{c}"], groups[c].shift(-1), check_names=False)
+
+
 def test_exact_median_even_odd_and_repeated(spark):
     rows = [("even", v) for v in (1, 2, 10, 11)] + [("odd", v) for v in (5, 5, 9)] + [("one", 7)]
     got = exact_median(spark.createDataFrame(rows, "k string, v bigint"), ["k"], "v", cell_width=2)
