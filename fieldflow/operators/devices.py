@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
-from fieldflow.operators.ordered import micros, neighbours
+from fieldflow.operators.ordered import fit_cell_seconds, micros, neighbours
 from fieldflow.operators.spans import SECOND, contained_pairs
 from fieldflow.session import cut_lineage
 
@@ -138,12 +138,16 @@ def _compose(u1, x1, u2, x2):
     return _merge_steps(np.concatenate([u1, u2[beyond]]), np.concatenate([_apply_steps(u2, x2, x1), x2[beyond]]))
 
 
-def thin_readings(readings: DataFrame, gap_seconds: float = 600, cell_seconds: float = 24 * 3600, span_years: float = 100) -> DataFrame:
+def thin_readings(
+    readings: DataFrame, gap_seconds: float = 600, cell_seconds: float | None = None, span_years: float = 100
+) -> DataFrame:
     """Readings at least ``gap_seconds`` apart, chosen greedily from the first one of each device.
 
-    Every group handled in Python is one (device, cell) or 32 step functions. Take a smaller cell for
-    devices with very dense readings.
+    Every group handled in Python is one (device, cell) or 32 step functions. Without ``cell_seconds``
+    the cell starts at a day and is halved until no (device, cell) is too large for a task.
     """
+    if cell_seconds is None:
+        cell_seconds = fit_cell_seconds(readings, ["device_id"], start=24 * 3600)
     gap, width = int(gap_seconds * SECOND), int(cell_seconds * SECOND)
     levels = max(1, math.ceil(math.log(span_years * 366 * 86400 / cell_seconds, FAN_IN)))
     celled = readings.withColumn("_t", micros("ts")).withColumn(

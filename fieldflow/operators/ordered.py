@@ -129,6 +129,11 @@ def row_index(
     return in_order(df, by, order, time_cell(order[0], cell_seconds), {name: F.lit(1).cast("bigint")})
 
 
+def number_rows(df: DataFrame, by: Sequence[str] = ("device_id",), ts: str = "ts") -> DataFrame:
+    """``row_index`` with cells measured on ``df`` first: no (key, cell) holds more than ``CELL_ROWS`` rows."""
+    return row_index(df, by, (ts,), cell_seconds=fit_cell_seconds(df, by, ts))
+
+
 def over_rows(
     df: DataFrame,
     columns: Callable[[WindowSpec], dict[str, Column]],

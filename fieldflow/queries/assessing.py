@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
 from fieldflow.operators import clean, evaluate, features, joins
-from fieldflow.operators.ordered import row_index
+from fieldflow.operators.ordered import fit_cell_seconds, row_index
 from fieldflow.queries.inputs import rain_labels, scored, weather_joined
 from fieldflow.queries.registry import query
 from fieldflow.session import cut_lineage
@@ -291,7 +291,9 @@ ROUNDS = 10
 def model_matrix(spark, d):
     """Features, both targets and the time split, written out once before the rounds of a fit."""
     labels = rain_labels(spark, d)
-    readings = row_index(adapter.sensor_reading(spark, d).join(labels, ["ts", "device_id"]), ["device_id"])
+    readings = adapter.sensor_reading(spark, d)
+    cells = fit_cell_seconds(readings, ["device_id"])
+    readings = row_index(readings.join(labels, ["ts", "device_id"]), ["device_id"], cell_seconds=cells)
     built = features.nowcast_features(weather_joined(spark, d, readings))
     matrix = features.training_matrix(
         built.withColumn("target", F.struct("rain_next_60", "rain_amount_next_60_mm")), K.FEATURE_NAMES, "target"

@@ -121,7 +121,8 @@ def forecast_payloads(spark: SparkSession, d: str) -> DataFrame:
 
 def accounts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    return use_utc(spark).read.parquet(f"{d}/customer.parquet").select(
+    schema = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    return use_utc(spark).read.schema(schema).parquet(f"{d}/customer.parquet").select(
         F.col("c_name").alias("username"),
         F.lit("secret").alias("password"),
         F.concat(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldflow.functions import constants as K
 from fieldflow.functions import scalars
 from fieldflow.operators import clean, evaluate, features, joins, labels
-from fieldflow.operators.ordered import over_rows, row_index, time_cell
+from fieldflow.operators.ordered import fit_cell_seconds, number_rows, over_rows, row_index, time_cell
 from fieldflow.plans import pre_irrigation
 from fieldflow.queries.inputs import (
     decided_slots,
@@ -135,7 +135,7 @@ def irrigation_flag(spark, d):
     "sensor weather labels irrigation",
 )
 def irrigation_history(spark, d):
-    numbered = row_index(adapter.sensor_reading(spark, d), ["device_id"])
+    numbered = number_rows(adapter.sensor_reading(spark, d))
     return features.irrigation_minutes(joins.flag_irrigation(numbered, wide_slots(spark, d)))
 
 
@@ -185,6 +185,13 @@ def match_rate(spark, d):
 # --- row-frame features ----------------------------------------------------------------------------
 
 
+def labelled_rows(spark, d):
+    """Labelled readings, numbered once for all features; the cells are measured on the raw readings."""
+    readings = adapter.sensor_reading(spark, d)
+    joined = joins.join_labels(readings, labels_of(spark, d))
+    return row_index(joined, ["device_id"], cell_seconds=fit_cell_seconds(readings, ["device_id"]))
+
+
 def _columns(names, kind="d"):
     return " ".join(["device_id:s ts:t", *[f"{n}:{kind}" for n in names]])
 
@@ -201,7 +208,7 @@ LAGS = [f"{c}_lag{k}" for c in K.BASE_COLUMNS for k in features.PRO_LAGS]
 )
 def lag_features(spark, d):
     return over_rows(
-        adapter.sensor_reading(spark, d), lambda w: features.lag_columns(w, K.BASE_COLUMNS, features.PRO_LAGS), before=24
+        number_rows(adapter.sensor_reading(spark, d)), lambda w: features.lag_columns(w, K.BASE_COLUMNS, features.PRO_LAGS), before=24
     )
 
 
@@ -227,7 +234,7 @@ ROLLING = [f"{c}_{f}{k}" for c in K.BASE_COLUMNS for k in features.PRO_FRAMES fo
 )
 def rolling_features(spark, d):
     return over_rows(
-        adapter.sensor_reading(spark, d),
+        number_rows(adapter.sensor_reading(spark, d)),
         lambda w: features.rolling_columns(w, K.BASE_COLUMNS, features.PRO_FRAMES),
         before=23,
     )
@@ -239,7 +246,7 @@ RAIN_SQL = f"""SELECT device_id, ts, CASE WHEN {_full('sum', 'rain_mm_5min', 3)}
 
 @query("device_id:s ts:t rain_in_last_15m:i rain_last_30m:d rain_last_60m:d", RAIN_SQL, "sensor")
 def rain_history(spark, d):
-    return over_rows(adapter.sensor_reading(spark, d), features.rain_columns, before=11)
+    return over_rows(number_rows(adapter.sensor_reading(spark, d)), features.rain_columns, before=11)
 
 
 DELTAS = [f"{c}_{t}" for c in K.BASE_COLUMNS for t in ("d30", "d60")]
@@ -257,7 +264,7 @@ SHORT = {"pressure_delta15": "pressure_hpa", "rh_delta15": "rh_pct", "temp_delta
 )
 def delta_features(spark, d):
     return over_rows(
-        adapter.sensor_reading(spark, d),
+        number_rows(adapter.sensor_reading(spark, d)),
         lambda w: {**features.delta_columns(w, K.BASE_COLUMNS), **features.short_delta_columns(w)},
         before=12,
     )
@@ -275,7 +282,7 @@ def delta_features(spark, d):
 )
 def interaction_features(spark, d):
     deltas = over_rows(
-        adapter.sensor_reading(spark, d),
+        number_rows(adapter.sensor_reading(spark, d)),
         lambda w: features.delta_columns(w, ["rh_pct", "pressure_hpa"]),
         before=12,
     )
@@ -286,7 +293,7 @@ def interaction_features(spark, d):
 
 @query(_columns(K.FEATURE_NAMES), "SELECT * FROM features", "sensor weather nearest features")
 def nowcast_features(spark, d):
-    numbered = row_index(adapter.sensor_reading(spark, d), ["device_id"])
+    numbered = number_rows(adapter.sensor_reading(spark, d))
     return features.nowcast_features(weather_joined(spark, d, numbered))
 
 
@@ -297,7 +304,7 @@ def nowcast_features(spark, d):
     "sensor weather labels nearest features",
 )
 def training_matrix(spark, d):
-    labelled = row_index(joins.join_labels(adapter.sensor_reading(spark, d), labels_of(spark, d)), ["device_id"])
+    labelled = labelled_rows(spark, d)
     filled = weather_joined(spark, d, labelled)
     return features.training_matrix(features.nowcast_features(filled), K.FEATURE_NAMES, "rain_next_60")
 
@@ -324,7 +331,7 @@ COMPACT = features.feature_names("compact")
     "sensor weather labels",
 )
 def compact_matrix(spark, d):
-    labelled = joins.join_labels(adapter.sensor_reading(spark, d), labels_of(spark, d))
+    labelled = labelled_rows(spark, d)
     return features.training_matrix(features.compact_features(labelled), COMPACT, "rain_next_60")
 
 
@@ -347,7 +354,7 @@ WIDE_CHECK = ["temp_c_lag24", "rh_pct_std24", "pressure_hpa_d60", "rain_last_60m
 )
 def wide_matrix(spark, d):
     """The long feature set over all rows; a few of its columns are compared."""
-    labelled = row_index(joins.join_labels(adapter.sensor_reading(spark, d), labels_of(spark, d)), ["device_id"])
+    labelled = labelled_rows(spark, d)
     watered = features.irrigation_minutes(joins.flag_irrigation(labelled, wide_slots(spark, d)))
     built = features.wide_features(watered)
     return features.training_matrix(built, features.feature_names("wide", built.columns), "rain_next_60")
@@ -436,5 +443,5 @@ def pre_irrigation_check(spark, d):
     "sensor",
 )
 def label_lag_corr(spark, d):
-    rain = over_rows(adapter.sensor_reading(spark, d), features.rain_columns, before=11)
+    rain = over_rows(number_rows(adapter.sensor_reading(spark, d)), features.rain_columns, before=11)
     return evaluate.label_lag_corr(rain.withColumn("y", (F.col("rain_mm_5min") > 0).cast("int")))

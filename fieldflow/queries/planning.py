@@ -382,11 +382,8 @@ def thin_10min(spark, d):
 
 # --- streams ---------------------------------------------------------------------------------------
 
-EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
 def event_stream(spark, d):
-    raw = ingest.file_stream(spark, d, EVENTS_SCHEMA, pathGlobFilter="events.parquet")
+    raw = ingest.file_stream(spark, d, adapter.EVENTS_SCHEMA, pathGlobFilter="events.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumns(adapter.sensor_columns())
 
 
@@ -395,7 +392,14 @@ def finish(*running):
         q.awaitTermination()
 
 
-@query("kind:s rows:i first_ts:t last_ts:t")
+@query(
+    "kind:s rows:i first_ts:t last_ts:t",
+    """WITH m AS (SELECT ts, event_id % 25 = 7 AS blank, CASE WHEN event_id % 25 = 7 THEN NULL WHEN event_id % 10 = 0 THEN 'missing temperature' WHEN event_id % 15 = 0 THEN 'missing humidity'
+       WHEN event_id % 35 = 0 THEN 'missing pressure' WHEN event_id % 45 = 0 THEN 'missing soilMoisture' END AS reason FROM sensor)
+    SELECT 'stored' AS kind, count(*) AS "rows", min(ts) AS first_ts, max(ts) AS last_ts FROM m WHERE reason IS NULL AND NOT blank
+    UNION ALL SELECT coalesce(reason, 'empty reading'), 2 * count(*), NULL, NULL FROM m WHERE reason IS NOT NULL OR blank GROUP BY 1""",
+    "sensor",
+)
 def stream_ingest(spark, d):
     """Messages with re-deliveries through the stream; what was stored and what was rejected."""
     base = scratch(spark, "ingest")
@@ -413,7 +417,15 @@ def stream_ingest(spark, d):
     )
 
 
-@query("device_id:s target_ts:t last_ts:t pressure_slope_1h:d temp_drop_15m:d rh_rise_15m:d soil_moist_smooth:d")
+@query(
+    "device_id:s target_ts:t last_ts:t pressure_slope_1h:d temp_drop_15m:d rh_rise_15m:d soil_moist_smooth:d",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC) AS k FROM sensor),
+    b AS (SELECT device_id, max(ts) AS last_ts, max(CASE WHEN k = 1 THEN pressure_hpa END) - max(CASE WHEN k = 12 THEN pressure_hpa END) AS pressure_slope_1h,
+      max(CASE WHEN k = 3 THEN temp_c END) - max(CASE WHEN k = 1 THEN temp_c END) AS temp_drop_15m,
+      max(CASE WHEN k = 1 THEN rh_pct END) - max(CASE WHEN k = 3 THEN rh_pct END) AS rh_rise_15m, max(CASE WHEN k = 1 THEN soil_moist_pct END) AS soil_moist_smooth
+      FROM r WHERE k <= 24 GROUP BY device_id) SELECT *, last_ts AS target_ts FROM b""",
+    "sensor",
+)
 def stream_buffer_features(spark, d):
     """The buffers after the last micro-batch, as serving features."""
     base = scratch(spark, "buffers")
@@ -424,7 +436,12 @@ def stream_buffer_features(spark, d):
     return serving_features(frames.join(observed, ["device_id", "target_ts"]), ["device_id", "target_ts"])
 
 
-@query("kind:s rows:i status_devices:i")
+@query(
+    "kind:s rows:i status_devices:i",
+    """SELECT CASE event_type WHEN 'click' THEN 'sensor' WHEN 'view' THEN 'status' WHEN 'signup' THEN 'forecast' WHEN 'purchase' THEN 'schedule' ELSE 'unhandled' END AS kind,
+      count(*) AS "rows", count(DISTINCT CASE WHEN event_type = 'view' THEN device_id END) AS status_devices FROM sensor GROUP BY 1""",
+    "sensor",
+)
 def stream_route(spark, d):
     base = scratch(spark, "route")
     topic = (
@@ -438,7 +455,7 @@ def stream_route(spark, d):
     finish(ingest.route(messages, f"{base}/out", f"{base}/state"))
     routed = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
     return routed.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("status_device").alias("status_devices")
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("status_device").alias("status_devices")
     )
 
 
@@ -459,7 +476,13 @@ def stream_device_state(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
-@query("date:s rows:i minutes:i")
+@query(
+    "date:s rows:i minutes:i",
+    """WITH t AS (SELECT DISTINCT date FROM stored WHERE duration_min = 3)
+    SELECT date, count(*) AS "rows", sum(duration_min) AS minutes FROM stored WHERE date NOT IN (SELECT date FROM t) GROUP BY 1
+    UNION ALL SELECT date, count(*), sum(6) FROM stored WHERE duration_min = 3 GROUP BY 1""",
+    PLAN,
+)
 def stream_schedule_replace(spark, d):
     """Two payloads: the plan, then its three-minute days again with six minutes."""
     base, source = scratch(spark, "schedules"), scratch(spark, "schedule-files")
@@ -469,6 +492,7 @@ def stream_schedule_replace(spark, d):
     finish(ingest.replace_schedules(stream, f"{base}/table", f"{base}/state"))
     rows.where("duration_min = 3").withColumn("duration_min", F.lit(6)).coalesce(1).write.mode("append").parquet(source)
     finish(ingest.replace_schedules(stream, f"{base}/table", f"{base}/state"))
-    return spark.read.parquet(f"{base}/table").groupBy("date").agg(
+    stored = spark.read.parquet(f"{base}/table").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return stored.groupBy("date").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("duration_min").alias("minutes")
     )

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from fieldflow.session import use_utc
 
 
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = use_utc(spark).read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def sensor_columns() -> dict:

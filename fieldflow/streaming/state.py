@@ -75,8 +75,9 @@ def buffer_frames(buffers: DataFrame) -> DataFrame:
 def session_stream(messages: DataFrame, silence: str = "6 seconds", late: str = "10 minutes") -> DataFrame:
     """Device sessions from status messages, sent out once the watermark has passed their silence.
 
-    Sessions are merged inside each partition first (``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``).
+    Sessions are merged inside each partition before the shuffle, so a busy device sends few rows.
     """
+    messages.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         messages.withWatermark("ts", late)
         .groupBy("device_id", F.session_window("ts", silence))
