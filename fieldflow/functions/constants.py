@@ -102,6 +102,11 @@ BALANCE_COMMENTS = {
     "ok": "Tổng mưa + tưới tuần tới gần với mục tiêu.",
 }
 
+# Forecast sent for a slot that has none
+DEFAULT_FORECAST = {"probability": 0.3, "label": 0, "rain_amount_60min_mm": 0.5}
+DEFAULT_DECISION = "confirm"
+DEFAULT_DECISION_REASON = "Demo decision"
+
 # Message topics
 TOPIC_SENSOR = "sensor/data/push"
 TOPIC_STATUS_PREFIX = "device/status/"

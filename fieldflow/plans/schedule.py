@@ -45,6 +45,26 @@ def upcoming_slots(
     )
 
 
+def decisions_due(slots: DataFrame, now: Column, window_minutes: float = 1) -> DataFrame:
+    """Unpublished slots that start within the window of ``now``, as forecast messages with default contents.
+
+    ``slots`` may carry ``decision``, ``decision_reason``, ``probability`` and ``decision_published``.
+    """
+    have = lambda c, kind: F.col(c) if c in slots.columns else F.lit(None).cast(kind)
+    away = F.abs(micros("start_ts") - micros(now))
+    decision = F.coalesce(have("decision", "string"), F.lit(K.DEFAULT_DECISION))
+    return slots.where(
+        (away <= int(window_minutes * 60_000_000)) & ~F.coalesce(have("decision_published", "boolean"), F.lit(False))
+    ).select(
+        "device_id",
+        F.col("start_ts").alias("slot_id"),
+        F.coalesce(have("probability", "double"), F.lit(K.DEFAULT_FORECAST["probability"])).alias("probability"),
+        (decision == "confirm").alias("should_irrigate"),
+        F.coalesce(have("decision_reason", "string"), F.lit(K.DEFAULT_DECISION_REASON)).alias("reason"),
+        now.alias("published_at"),
+    )
+
+
 def slots_by_date(rows: DataFrame, device_shape: bool = False) -> DataFrame:
     """Slots of each device and date, sorted, as JSON.
 

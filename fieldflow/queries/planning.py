@@ -171,6 +171,16 @@ def upcoming_slots(spark, d):
     return schedule.upcoming_slots(slots(spark, d), at(NOW))
 
 
+@query(
+    "device_id:s slot_id:t probability:d should_irrigate:b reason:s",
+    """SELECT device_id, start_ts AS slot_id, 0.3e0 AS probability, coalesce(decision, 'confirm') = 'confirm' AS should_irrigate, decision_reason AS reason FROM decided
+    WHERE abs(epoch_us(start_ts) - epoch_us(TIMESTAMP '2024-12-18 06:59:30')) <= 60000000""",
+    PLAN,
+)
+def decisions_due(spark, d):
+    return schedule.decisions_due(decided_slots(spark, d), at("2024-12-18 06:59:30"))
+
+
 @query(
     "device_id:s start:s end:s duration_min:i decision:s",
     f"""WITH n AS (SELECT max(date) AS today FROM stored WHERE duration_min = 3),

@@ -35,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a private one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="fieldflow-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -155,6 +155,12 @@ def test_upcoming_slots_window_and_next(spark):
     assert starts(schedule.upcoming_slots(slots, F.lit(at(900)).cast("timestamp"))) == []
 
 
+def test_decisions_due_once_with_defaults(spark):
+    slots = slots_of(spark, [0, 1, 2]).withColumn("decision_published", F.minute("start_ts") == 0)
+    got = schedule.decisions_due(slots, F.lit(at(0.5)).cast("timestamp")).collect()
+    assert [(r.slot_id, r.probability, r.should_irrigate, r.reason) for r in got] == [(at(1), 0.3, True, "Demo decision")]
+
+
 def test_today_shows_decisions_for_begun_and_nearest_slots(spark):
     rows = slots_of(spark, [60, 200, 400]).withColumn("decision", F.lit(False))
     got = schedule.today_schedule(rows, F.lit(at(150)).cast("timestamp")).orderBy("start").collect()
