@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
 from fieldflow.operators.ordered import fit_cell_seconds, micros, neighbours
-from fieldflow.operators.spans import SECOND, contained_pairs
+from fieldflow.operators.spans import SECOND, span_lookup
 from fieldflow.session import cut_lineage
 
 
@@ -28,8 +28,11 @@ def device_sessions(messages: DataFrame, silence_seconds: float = 6.0, **cells)
     )
     starts = marked.where(F.col("prev_ts").isNull() | (micros("ts") - micros("prev_ts") > gap))
     paired = neighbours(starts.drop("status"), next=["prev_ts", "prev_status", "pos"], **cells)
-    last = messages.groupBy("device_id").agg(
-        F.max("ts").alias("_last"), F.max_by("status", "ts").alias("_last_status"), F.count(F.lit(1)).alias("_n")
+    last = cut_lineage(
+        messages.groupBy("device_id").agg(
+            F.max("ts").alias("_last"), F.max_by("status", "ts").alias("_last_status"), F.count(F.lit(1)).alias("_n")
+        ),
+        "last-messages",
     )
     return paired.join(last, "device_id").select(
         "device_id",
@@ -73,16 +76,11 @@ def pump_runs(
         .where("pump = 'ON'")
         .select("device_id", F.col("ts").alias("on_ts"), F.col("next_ts").alias("off_ts"), "planned_minutes")
     )
-    wet = (
-        contained_pairs(
-            runs.where("off_ts IS NOT NULL").select("device_id", "on_ts", "off_ts"),
-            readings.where(F.col("soil_moist_pct") >= soil_stop).select("device_id", "ts"),
-            "on_ts",
-            "off_ts",
-        )
-        .groupBy("device_id", "on_ts")
-        .agg(F.min("ts").alias("wet_ts"))
+    spans = runs.where("off_ts IS NOT NULL").select(
+        "device_id", "on_ts", micros("on_ts").alias("span_lo"), (micros("off_ts") - 1).alias("span_hi")
     )
+    soaked = readings.where(F.col("soil_moist_pct") >= soil_stop).select("device_id", "ts")
+    wet = span_lookup(soaked, spans, ["device_id"], how="inner").groupBy("device_id", "on_ts").agg(F.min("ts").alias("wet_ts"))
     seconds = (micros("off_ts") - micros("on_ts")) / SECOND
     return runs.join(wet, ["device_id", "on_ts"], "left").select(
         "device_id",

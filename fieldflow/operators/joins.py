@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldflow.functions import constants as K
 from fieldflow.operators.ordered import HOUR, in_order, row_index, time_cell
 from fieldflow.operators.spans import asof_nearest, contained_pairs, coverage_spans, span_lookup
+from fieldflow.session import cut_lineage
 
 WEATHER_COLUMNS = ["api_pop", "api_rain_1h", "api_temp_c", "api_rh_pct", "api_uvi", "api_weather_code"]
 
@@ -85,10 +86,11 @@ def last_rows_before(
         *by, F.col("_at").alias(target_ts), F.when(F.col("_seen") == 0, F.col("_total")).otherwise(F.col("_seen")).alias("_end")
     )
     first = F.greatest(F.col("_end") - (n - 1), F.lit(1))
-    wanted = (
+    wanted = cut_lineage(
         ends.where("_end >= 2")
         .withColumn("_first", first)
-        .withColumn("_index", F.explode(F.sequence("_first", "_end")))
+        .withColumn("_index", F.explode(F.sequence("_first", "_end"))),
+        "wanted-rows",
     )
     frames = wanted.join(indexed, [*by, "_index"]).withColumn("frame_pos", F.col("_index") - F.col("_first") + 1)
     return targets.join(frames.drop("_index", "_first", "_end"), [*by, target_ts])

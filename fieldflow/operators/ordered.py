@@ -182,7 +182,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, cell_width: int =
     )
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
     if by:
-        sized = ranked.join(totals, list(by))
+        sized = ranked.join(cut_lineage(totals, "totals"), list(by))
     else:
         sized = ranked.withColumn("n", totals.scalar())
     low, high = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)

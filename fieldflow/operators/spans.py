@@ -20,6 +20,34 @@ from fieldflow.operators.ordered import HOUR, in_order, micros, neighbours, numb
 from fieldflow.session import cut_lineage
 
 SECOND = 1_000_000
+SPANS_PER_BUCKET = 256
+BUCKET_COPIES = 32
+
+
+def bucket_spans(spans: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """One row per span and time bucket it touches, with the keys renamed for a join."""
+    steps = F.sequence(
+        number_cell(F.col("span_lo"), width), number_cell(F.col("span_hi"), width), F.lit(width).cast("bigint")
+    )
+    return spans.withColumn("_k_bucket", F.explode(steps)).withColumnsRenamed({c: f"_k_{c}" for c in by})
+
+
+def fitted_buckets(spans: DataFrame, by: Sequence[str], width: int) -> tuple[DataFrame, int]:
+    """Written buckets and their width, narrowed while some bucket holds many spans.
+
+    Narrow buckets repeat long spans; the width stays where the copies would outgrow the spans 32-fold.
+    """
+    while True:
+        buckets = cut_lineage(bucket_spans(spans, by, width), "spans")
+        keys = [f"_k_{c}" for c in by]
+        fullest = buckets.groupBy(*keys, "_k_bucket").count().agg(F.max("count")).first()[0] or 0
+        if fullest <= SPANS_PER_BUCKET:
+            return buckets, width
+        narrower = max(width >> (fullest // SPANS_PER_BUCKET).bit_length(), 1)
+        n, length = spans.agg(F.count(F.lit(1)), F.sum(F.col("span_hi") - F.col("span_lo"))).first()
+        if narrower == width or length / narrower > BUCKET_COPIES * n:
+            return buckets, width
+        width = narrower
 
 
 def span_lookup(
@@ -29,25 +57,11 @@ def span_lookup(
     ts: str = "ts",
     bucket_seconds: float = HOUR,
     how: str = "left",
-    write_spans: bool = True,
 ) -> DataFrame:
     """Attach the columns of the span that holds ``ts``; null where none does (``how="left"``)."""
-    width = int(bucket_seconds * SECOND)
-    bucketed = spans.withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(
-                number_cell(F.col("span_lo"), width),
-                number_cell(F.col("span_hi"), width),
-                F.lit(width).cast("bigint"),
-            )
-        ),
-    )
+    right, width = fitted_buckets(spans, by, int(bucket_seconds * SECOND))
     keys = [f"_k_{c}" for c in by]
-    right = bucketed.withColumnsRenamed({c: f"_k_{c}" for c in by}).withColumnRenamed("_bucket", "_k_bucket")
     probe = left.withColumn("_us", micros(ts)).withColumn("_bucket", number_cell(F.col("_us"), width))
-    if write_spans:
-        right = cut_lineage(right, "spans")
     on = (F.col("_bucket") == F.col("_k_bucket")) & F.col("_us").between(F.col("span_lo"), F.col("span_hi"))
     for c, k in zip(by, keys):
         on = on & (probe[c] == F.col(k))

@@ -41,6 +41,18 @@ def test_asof_tie_goes_to_the_earlier_row_and_the_limit_is_included(spark):
     assert [r.v for r in got] == [None, 1, 1, 2, 2, None]
 
 
+def test_buckets_narrow_where_spans_are_dense(spark, monkeypatch):
+    from fieldflow.operators import spans as S
+
+    monkeypatch.setattr(S, "SPANS_PER_BUCKET", 4)
+    dense = spark.createDataFrame([(at(i / 60), i) for i in range(600)], "ts timestamp, v bigint")
+    _, width = S.fitted_buckets(S.nearest_spans(dense, 300), (), 150 * S.SECOND)
+    assert width < 10 * S.SECOND
+    left = points(spark, [0.004, 1.0083, 1.009, 5, 9.99, 20])
+    got = asof_nearest(left, dense, 300).orderBy("ts").collect()
+    assert [r.v for r in got] == [0, 60, 61, 300, 599, None]
+
+
 def test_asof_by_site(spark):
     left = spark.createDataFrame([("x", at(1)), ("y", at(1)), ("z", at(1))], "site string, ts timestamp")
     right = spark.createDataFrame([("x", at(0), 1), ("y", at(3), 2)], "site string, ts timestamp, v bigint")
