@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +12,6 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldflow.functions import constants as K
 from fieldflow.operators import evaluate as E
 
 CLASSIFIER = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)

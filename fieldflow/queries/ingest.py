@@ -9,7 +9,7 @@ from fieldflow.functions import constants as K
 from fieldflow.functions.scalars import parse_timestamp
 from fieldflow.operators import clean
 from fieldflow.plans import planning
-from fieldflow.queries.inputs import accounts, audit, decided_slots, forecast_payloads, plans, slots, stored_rows, telemetry_json
+from fieldflow.queries.inputs import accounts, audit, decided_slots, forecast_payloads, plans, stored_rows, telemetry_json
 from fieldflow.queries.registry import dew_sql, query
 from fieldflow.sources import adapter, readers, sinks
 from fieldflow.streaming.ingest import parse_telemetry

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
 from fieldflow.functions import scalars
-from fieldflow.operators import clean, evaluate, features, joins, labels
+from fieldflow.operators import evaluate, features, joins, labels
 from fieldflow.operators.ordered import fit_cell_seconds, number_rows, over_rows, row_index, time_cell
 from fieldflow.plans import pre_irrigation
 from fieldflow.queries.inputs import (
@@ -14,8 +14,6 @@ from fieldflow.queries.inputs import (
     irrigation,
     rain_labels as labels_of,
     score,
-    scored,
-    slots,
     weather_joined,
 )
 from fieldflow.queries.registry import query

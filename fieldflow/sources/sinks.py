@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldflow.functions import constants as K
 from fieldflow.functions.scalars import clock, day_minute, round_two
 
 
@@ -94,6 +93,3 @@ def decision_rows(slots: DataFrame) -> DataFrame:
 
 def audit_rows(df: DataFrame, actor, event, details, created_at) -> DataFrame:
     return df.select(actor.alias("actor"), event.alias("event"), details.alias("details"), created_at.alias("created_at"))
-
-
-TOPICS = (K.TOPIC_SENSOR, K.TOPIC_FORECAST, K.TOPIC_SCHEDULE)

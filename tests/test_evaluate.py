@@ -2,8 +2,7 @@ from datetime import timedelta
 
 import numpy as np
 import pytest
-from helpers import START, at, random_readings
-from pyspark.sql import functions as F
+from helpers import START, random_readings
 
 from fieldflow.operators import evaluate as E
 

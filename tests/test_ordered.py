@@ -1,5 +1,5 @@
 import pandas as pd
-from helpers import at, random_readings, readings
+from helpers import random_readings, readings
 from pyspark.sql import functions as F
 
 from fieldflow.operators.ordered import (

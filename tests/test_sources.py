@@ -5,7 +5,6 @@ import pytest
 from helpers import at, readings
 from pyspark.sql import functions as F
 
-from fieldflow import schemas
 from fieldflow.plans import planning
 from fieldflow.queries.inputs import plans, stored_rows
 from fieldflow.sources import readers, sinks
