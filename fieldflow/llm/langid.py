@@ -263,7 +263,8 @@ def predictor(spark: SparkSession, languages: list[str], p: np.ndarray, pieces:
         else:
             total = np.concatenate(parts)
             best = total.argmax(axis=1)
-            score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            # rounded, as sums over tasks come in any order
+            score = (1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)).round(6)
             lang = [languages[i] if ok else UNKNOWN for i, ok in zip(best, lettered)]
             score = np.where(lettered, score, 0.0)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])

@@ -73,8 +73,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = decontaminate.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return made
+    return decontaminate.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +99,59 @@ QUERIES = {
         op10_simhash_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, coalesce('a' || source, 'b') AS key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (SELECT key, sum(size)::BIGINT AS source_size FROM sized GROUP BY key),
+capped AS (
+  SELECT key, source_size, 3e0 * source_size AS cap,
+    CASE (row_number() OVER (ORDER BY key) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM sources),
+levels AS (
+  SELECT a.key, a.cap / a.weight AS limit_at, a.cap, a.weight,
+    (SELECT CAST(sum(source_size) AS DOUBLE) FROM sources)
+      - coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.cap / a.weight), 0e0) AS free,
+    sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight) AS open_weight
+  FROM capped a, capped b GROUP BY ALL),
+found AS (SELECT arg_min(free / open_weight, limit_at) AS level FROM levels WHERE cap > weight * (free / open_weight)),
+targets AS (SELECT key, source_size, least(cap, weight * level) AS target FROM capped, found),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, d.key,
+    CASE WHEN t.source_size > 0 THEN CAST(round(t.target / t.source_size * 16777216) AS BIGINT) ELSE 0 END AS rate,
+    ('0x' || substr(md5('42:offset:' || d.key), 1, 8))::BIGINT % 16777215 AS start,
+    row_number() OVER (PARTITION BY d.key ORDER BY
+      greatest(length(bin(d.size)) - 5, 0) * 64 + (d.size >> greatest(length(bin(d.size)) - 5, 0)),
+      ('0x' || substr(md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8))::BIGINT, d.doc_id, d.size) AS place
+  FROM sized d JOIN targets t ON t.key = d.key),
+drawn AS (SELECT *, ((start + place * rate) >> 24) - ((start + place * rate - rate) >> 24) AS copies FROM placed)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM drawn""",
+    "op4_line_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM often)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (key NOT IN (FROM often)), '')) AS kept_sha256
+FROM keyed GROUP BY r""",
+    "op5_chat_format": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+chats AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+    string_agg(role, ' ' ORDER BY turn NULLS FIRST, role, text) AS roles,
+    sum(4 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ': ', '\c')) + 2
+      + length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t')) + 9)::BIGINT AS formatted_chars
+  FROM said GROUP BY conv_id),
+judged AS (
+  SELECT *, CASE WHEN regexp_full_match(roles, '(system )?user( assistant user)*') THEN 'asked'
+    WHEN regexp_full_match(roles, '(system )?user assistant( user assistant)*') THEN 'answered'
+    WHEN roles = 'system' THEN 'briefed' ELSE 'rejected' END AS state FROM chats)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+  formatted_chars, state, state IN ('asked', 'answered') AS valid FROM judged""",
+}

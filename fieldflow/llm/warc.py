@@ -152,5 +152,5 @@ def derivatives(records: DataFrame) -> DataFrame:
 def write_derivatives(records: DataFrame, path: str) -> None:
     """A folder of gzip text files a record type; a file is a run of whole records."""
     made = derivatives(records)
-    text = F.concat("header", "block", F.lit("\r\n\r\n")).alias("value")
-    made.select(text, "record_type").write.partitionBy("record_type").option("lineSep", "").option("compression", "gzip").text(path)
+    text = F.concat("header", "block", F.lit("\r\n\r")).alias("value")  # and the line end that the writer adds
+    made.select(text, "record_type").write.partitionBy("record_type").option("lineSep", "\n").option("compression", "gzip").text(path)
