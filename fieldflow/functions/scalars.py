@@ -52,10 +52,11 @@ def calendar(ts: str | Column) -> dict[str, Column]:
 
 
 def band(value: str | Column, steps: list[tuple[float | None, bool, str]]) -> Column:
+    """The first step that holds the value; null for a value that is null or NaN."""
     v, out = col(value), None
     for bound, inclusive, name in steps:
         if bound is None:
-            return out.otherwise(F.lit(name))
+            return F.when(v.isNotNull() & ~F.isnan(v.cast("double")), out.otherwise(F.lit(name)))
         test = v <= bound if inclusive else v < bound
         out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
     return out

@@ -52,6 +52,15 @@ def score_rain(model: PipelineModel, features: DataFrame, threshold: float = 0.5
     )
 
 
+def score_at_best(model: PipelineModel, matrix: DataFrame, target: str = "rain_next_60") -> DataFrame:
+    """Scores of all rows, labelled at the threshold with the best F1 on the validation part; it stays as ``threshold``."""
+    scored = score_rain(model, matrix).drop("label")
+    held = scored.where("split = 'validation'").select(F.col(target).alias("y"), "p")
+    best = E.best_threshold(E.threshold_sweep(held)).first()  # one row
+    scored = scored.withColumn("threshold", F.lit(best.threshold))
+    return scored.withColumn("label", (F.col("p") >= F.col("threshold")).cast("int"))
+
+
 def score_amount(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Predicted millimetres, never below 0."""
     return (
@@ -61,6 +70,18 @@ def score_amount(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
+def slot_scorer(classifier: PipelineModel, regressor: PipelineModel | None = None):
+    """Fitted models as a scoring function over feature rows: adds ``probability`` and ``rain_amount_mm``."""
+
+    def score(features: DataFrame) -> DataFrame:
+        scored = score_rain(classifier, features).withColumnRenamed("p", "probability").drop("label")
+        if regressor is None:
+            return scored
+        return score_amount(regressor, scored).withColumnRenamed("predicted", "rain_amount_mm")
+
+    return score
+
+
 def feature_importance(model: PipelineModel, names: list[str], top: int = 20) -> DataFrame:
     """Features by importance. The vector has one entry per feature, so this is driver-sized by nature."""
     from pyspark.sql import SparkSession

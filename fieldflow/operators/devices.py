@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +43,12 @@ def device_sessions(messages: DataFrame, silence_seconds: float = 6.0, **cells)
     )
 
 
-def online_devices(messages: DataFrame) -> DataFrame:
-    latest = messages.groupBy("device_id").agg(F.max_by("status", "ts").alias("status"))
+def online_devices(messages: DataFrame, now: Column | None = None, silence_seconds: float = 6.0) -> DataFrame:
+    """Devices whose last word was "online" and, given ``now``, not longer ago than the silence allows."""
+    latest = messages.groupBy("device_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    heard = F.lit(True) if now is None else micros(now) - micros("ts") <= int(silence_seconds * SECOND)
     return latest.agg(
-        F.sum((F.col("status") == "online").cast("bigint")).alias("online"), F.count(F.lit(1)).alias("known")
+        F.count_if((F.col("status") == "online") & heard).alias("online"), F.count(F.lit(1)).alias("known")
     )
 
 
@@ -136,26 +138,33 @@ def _compose(u1, x1, u2, x2):
     return _merge_steps(np.concatenate([u1, u2[beyond]]), np.concatenate([_apply_steps(u2, x2, x1), x2[beyond]]))
 
 
-def thin_readings(
-    readings: DataFrame, gap_seconds: float = 600, cell_seconds: float | None = None, span_years: float = 100
-) -> DataFrame:
+def thin_readings(readings: DataFrame, gap_seconds: float = 600, cell_seconds: float | None = None) -> DataFrame:
     """Readings at least ``gap_seconds`` apart, chosen greedily from the first one of each device.
 
     Every group handled in Python is one (device, cell) or 32 step functions. Without ``cell_seconds``
-    the cell starts at a day and is halved until no (device, cell) is too large for a task.
+    the cell starts at a day and is halved until no (device, cell) is too large for a task. Cells are
+    counted from the first one that occurs, and there are as many levels as the span of cells needs.
+    Of readings with equal time one is kept. Rows without a device or a time have no place in a series
+    and are left out.
     """
+    readings = readings.where("device_id is not null and ts is not null")
     if cell_seconds is None:
         cell_seconds = fit_cell_seconds(readings, ["device_id"], start=24 * 3600)
     gap, width = int(gap_seconds * SECOND), int(cell_seconds * SECOND)
-    levels = max(1, math.ceil(math.log(span_years * 366 * 86400 / cell_seconds, FAN_IN)))
-    celled = readings.withColumn("_t", micros("ts")).withColumn(
-        "_c", ((F.col("_t") - F.pmod(F.col("_t"), F.lit(width).cast("bigint"))) / width).cast("bigint")
-    )
+    timed = readings.withColumn("_t", micros("ts"))
+    low, high = timed.agg(F.min("_t"), F.max("_t")).first()
+    if low is None:
+        return readings
+    base, levels = low // width, 1
+    while FAN_IN**levels < high // width - base + 1:
+        levels += 1
+    start = F.col("_t") - F.pmod(F.col("_t"), F.lit(width).cast("bigint"))
+    celled = timed.withColumn("_c", (F.floor(start / width) - base).cast("bigint"))
     keys = celled.select("device_id", F.col("_c").alias("cell"), F.col("_t").alias("t"))
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["t"].to_numpy())
-        u, x = _cell_steps(times, gap, key[1] * width + gap)
+        u, x = _cell_steps(times, gap, (key[1] + base) * width + gap)
         return pd.DataFrame({"device_id": [key[0]], "cell": [key[1]], "u": [u.tolist()], "x": [x.tolist()]})
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,21 +197,20 @@ def thin_readings(
             descend, "device_id string, cell bigint, entry bigint"
         )
 
-    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        times, i, kept = pdf["t"].to_numpy(), 0, []
-        i = int(np.searchsorted(times, pdf["entry"].iloc[0]))
+    columns = readings.columns
+
+    def keep(rows: pa.Table) -> pa.Table:
+        times = rows["_t"].to_numpy()
+        order = np.argsort(times, kind="stable")
+        times, kept = times[order], []
+        i = int(np.searchsorted(times, rows["_entry"][0].as_py()))
         while i < len(times):
-            kept.append(int(times[i]))
+            kept.append(int(order[i]))
             i = int(np.searchsorted(times, times[i] + gap))
-        return pd.DataFrame({"device_id": key[0], "t": kept})
+        return rows.take(pa.array(kept, pa.int64())).select(columns)
 
-    chosen = (
-        keys.join(entry, ["device_id", "cell"])
-        .groupBy("device_id", "cell")
-        .applyInPandas(keep, "device_id string, t bigint")
-    )
-    return celled.join(chosen.withColumnRenamed("t", "_t"), ["device_id", "_t"]).drop("_t", "_c")
+    entries = entry.withColumnsRenamed({"cell": "_c", "entry": "_entry"})
+    return celled.join(entries, ["device_id", "_c"]).groupBy("device_id", "_c").applyInArrow(keep, readings.schema)
 
 
 def to_series(readings: DataFrame, columns: tuple[str, ...] = ("temp_c", "pressure_hpa", "soil_moist_pct")) -> DataFrame:

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldflow.operators.ordered import exact_median, in_order, over_rows, row_index
+from fieldflow.operators.ordered import CELL_ROWS, exact_median, fit_cell_seconds, in_order, over_rows, row_index
+from fieldflow.operators.spans import asof_nearest
 from fieldflow.session import cut_lineage
 
-SCORE_CELLS = 10_000
 SWEEP = [0.1 + i * ((0.9 - 0.1) / 32) for i in range(33)]
 
 
@@ -60,18 +60,35 @@ def target_stats(df: DataFrame, target: str = "rain_amount_next_60_mm") -> DataF
 
 
 def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Positives and negatives per distinct score, written once: the rows themselves are read a single time."""
+    """Positives and negatives per distinct score, written once: the rows themselves are read a single time.
+
+    Rows without a score or a label cannot be ranked and take no part, here and in every rate made from these.
+    """
+    known = df.where(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull())
     return cut_lineage(
-        df.groupBy(p).agg(
+        known.groupBy(p).agg(
             F.sum(F.col(y)).cast("bigint").alias("pos"), F.sum(1 - F.col(y)).cast("bigint").alias("neg")
         ),
         "score-counts",
     )
 
 
-def curve_of(counts: DataFrame, p: str = "p") -> DataFrame:
+def score_cell(counts: DataFrame, p: str, max_rows: int) -> Column:
+    """A cell number that ascends with the score; cells hold about ``max_rows`` distinct scores however they crowd.
+
+    The edges are quantiles of the distinct scores, from a mergeable sketch.
+    """
+    cells = counts.count() // max_rows + 1
+    if cells == 1:
+        return F.lit(0)
+    shares = [i / cells for i in range(1, cells)]
+    edges = sorted(set(counts.agg(F.percentile_approx(p, shares, 10 * cells)).first()[0]))
+    return F.size(F.filter(F.lit(edges), lambda e: e <= F.col(p)))
+
+
+def curve_of(counts: DataFrame, p: str = "p", max_rows: int = CELL_ROWS) -> DataFrame:
     """Adds the positives and negatives at or above each score (``tp``, ``fp``)."""
-    cell = F.floor(F.col(p) * SCORE_CELLS)
+    cell = score_cell(counts, p, max_rows)
     return in_order(counts, [], [p], cell, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
 
 
@@ -259,10 +276,14 @@ def label_lag_corr(df: DataFrame, y: str = "y", x: str = "rain_in_last_15m", row
 
 
 def time_split(df: DataFrame, share: float = 0.15, order: Sequence[str] = ("ts", "device_id")) -> DataFrame:
-    """The latest ``ceil(share * n)`` rows are the validation part; the rest, in time order, trains."""
+    """The latest ``ceil(share * n)`` rows are the validation part; the rest, in time order, trains.
+
+    Rows without a time count as the earliest.
+    """
     n = df.select(F.count(F.lit(1))).scalar()
     cut = n - F.ceil(n * F.lit(share))
-    return row_index(df, [], order, "_i").withColumn(
+    cell_seconds = fit_cell_seconds(df, [], order[0])
+    return row_index(df, [], order, "_i", cell_seconds).withColumn(
         "split", F.when(F.col("_i") <= cut, "train").otherwise("validation")
     ).drop("_i")
 
@@ -273,12 +294,36 @@ def key_fraction(keys: Sequence[str]) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / float(2**32)
 
 
-def stratified_split(df: DataFrame, keys: Sequence[str], share: float = 0.15) -> DataFrame:
-    """Split by key digest: each row is drawn alike whatever its class, so both parts keep the class mix in expectation.
+def stratified_split(
+    df: DataFrame, keys: Sequence[str], share: float = 0.15, y: str | None = "y", max_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Of each class the ``ceil(share * n)`` rows with the smallest key digests are the validation part.
 
-    Needs no shuffle and gives the same answer however often a task is rerun.
+    Digests spread evenly, so cells of equal digest ranges hold about ``max_rows`` rows of a class. Rows
+    without a label are a class. Without a class column (or with ``y=None``) all rows are drawn from alike.
     """
-    return df.withColumn("split", F.when(key_fraction(keys) < share, "validation").otherwise("train"))
+    y = y if y in df.columns else None
+    by = [y] if y else []
+    sizes = cut_lineage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
+    cells = (sizes.agg(F.max("_n")).first()[0] or 0) // max_rows + 1
+    drawn = df.withColumn("_digest", key_fraction(keys))
+    order = ["_digest", *[k for k in keys if k not in by]]
+    placed = in_order(drawn, by, order, F.floor(F.col("_digest") * cells), {"_i": F.lit(1).cast("bigint")})
+    if y:
+        counted = sizes.withColumnRenamed(y, "_class")
+        placed = placed.join(counted, F.col(y).eqNullSafe(F.col("_class"))).drop("_class")
+    else:
+        placed = placed.withColumn("_n", sizes.select("_n").scalar())
+    split = F.when(F.col("_i") <= F.ceil(F.col("_n") * F.lit(share)), "validation").otherwise("train")
+    return placed.withColumn("split", split).drop("_digest", "_i", "_n")
+
+
+def empty_classes(split: DataFrame, y: str = "y") -> DataFrame:
+    """Classes that have no row in one of the parts: a model cannot be judged on them."""
+    held = F.count_if(F.col("split") == "validation")
+    return split.groupBy(y).agg(held.alias("validation"), (F.count(F.lit(1)) - held).alias("train")).where(
+        "validation = 0 or train = 0"
+    )
 
 
 def time_folds(df: DataFrame, folds: Sequence[tuple[int, int]] = ((45, 50), (50, 55), (55, 60)), ts: str = "ts") -> DataFrame:
@@ -315,6 +360,11 @@ def fold_metrics(folds: DataFrame, threshold: float = 0.5, y: str = "y", p: str
     )
 
 
+def match_forecasts(forecasts: DataFrame, happened: DataFrame, within_seconds: int = 3600, by: Sequence[str] = ("device_id",)) -> DataFrame:
+    """Each forecast with what happened nearest to its time; forecasts without any inside the limit are left out."""
+    return asof_nearest(forecasts, happened, within_seconds, by).where("match_ts is not null").drop("match_ts")
+
+
 def forecast_monitor(scored: DataFrame, threshold: float = 0.5, ts: str = "ts", y: str = "y", p: str = "p") -> DataFrame:
     """Daily confusion counts and scores of forecasts against what happened."""
     yes, one = F.col(p) >= threshold, F.col(y) == 1

@@ -11,33 +11,37 @@ from fieldflow.functions import constants as K
 from fieldflow.operators.ordered import micros
 from fieldflow.operators.spans import SECOND, span_lookup, sweep
 
+MICRO = 1_000_000
+
 
 def rain_timeline(weather: DataFrame, since: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Labels as a step function of time, worked out on the small weather side.
 
     Rain in (t, t+60 min] and (t, t+30 min] changes only where an observation enters or leaves those
     ranges, so three change points per observation describe it for all t. Where no observation lies
-    within 60 minutes, the next one at any distance gives the amount (missing rain counts as 0).
+    within 60 minutes, the next one at any distance gives the amount (missing rain, NaN included, counts
+    as 0). Amounts are summed as whole micrometres, so what enters a running sum leaves it without a rest.
     ``since`` is one row with the earliest time of interest in ``at`` (microseconds).
     """
-    rain = F.coalesce(F.col("api_rain_1h"), F.lit(0.0))
+    rain = F.round(F.coalesce(F.nanvl("api_rain_1h", F.lit(0.0)), F.lit(0.0)) * MICRO).cast("bigint")
     w = weather.select(*by, micros("ts").alias("_t"), rain.alias("_r"))
     point = lambda at, r60, n60, r30, entry: F.struct(
         at.alias("at"), r60.alias("r60"), F.lit(n60).cast("bigint").alias("n60"), r30.alias("r30"), entry.alias("entry")
     )
-    t, r, none = F.col("_t"), F.col("_r"), F.lit(None).cast("double")
+    zero = F.lit(0).cast("bigint")
+    t, r, none = F.col("_t"), F.col("_r"), F.lit(None).cast("bigint")
     moves = w.select(
         *by,
         F.explode(
             F.array(
-                point(t - 3600 * SECOND, r, 1, F.lit(0.0), r),
-                point(t - 1800 * SECOND, F.lit(0.0), 0, r, none),
+                point(t - 3600 * SECOND, r, 1, zero, r),
+                point(t - 1800 * SECOND, zero, 0, r, none),
                 point(t, -r, -1, -r, none),
             )
         ).alias("p"),
     ).select(*by, "p.*")
     opening = since.select(
-        *by, "at", F.lit(0.0).alias("r60"), F.lit(0).cast("bigint").alias("n60"), F.lit(0.0).alias("r30"), none.alias("entry")
+        *by, "at", zero.alias("r60"), zero.alias("n60"), zero.alias("r30"), none.alias("entry")
     )
     points = (
         moves.unionByName(opening)
@@ -47,10 +51,10 @@ def rain_timeline(weather: DataFrame, since: DataFrame, by: Sequence[str] = ())
     spans = sweep(
         points, by, {"rain60": F.col("r60"), "seen60": F.col("n60"), "rain30": F.col("r30")}, lead=["entry"]
     )
-    far = F.coalesce(F.col("next_entry"), F.lit(0.0))
+    far = F.coalesce(F.col("next_entry"), zero)
     near = F.col("seen60") > 0
-    amount = F.round(F.when(near, F.col("rain60")).otherwise(far), 6)
-    first_half = F.round(F.when(near, F.col("rain30")).otherwise(far), 6)
+    amount = F.when(near, F.col("rain60")).otherwise(far) / MICRO
+    first_half = F.when(near, F.col("rain30")).otherwise(far) / MICRO
     return spans.select(*by, "span_lo", "span_hi", amount.alias("_amount"), first_half.alias("_first_half"))
 
 
@@ -71,16 +75,19 @@ def rain_labels(readings: DataFrame, weather: DataFrame, by: Sequence[str] = ())
     )
 
 
+def irrigation_candidates(readings: DataFrame) -> DataFrame:
+    """Readings of dry soil in the hours at which irrigation may start: label these, not all."""
+    return readings.where((F.col("soil_moist_pct") < 35) & F.hour("ts").isin(7, 17))
+
+
 def irrigation_events(readings: DataFrame, labels: DataFrame) -> DataFrame:
     """Synthetic irrigation: dry soil (< 35 %), no rain ahead, at 07 or 17 h, six hours apart per device.
 
     The two hours lie at least nine hours apart and candidates within one hour are under an hour apart,
     so the six-hour rule keeps exactly the first candidate of each (device, date, hour).
     """
-    candidates = (
-        readings.join(labels.select("ts", "device_id", "rain_next_60"), ["ts", "device_id"])
-        .where((F.col("soil_moist_pct") < 35) & (F.col("rain_next_60") == 0) & F.hour("ts").isin(7, 17))
-    )
+    dry = irrigation_candidates(readings)
+    candidates = dry.join(labels.select("ts", "device_id", "rain_next_60"), ["ts", "device_id"]).where("rain_next_60 = 0")
     first = candidates.groupBy("device_id", F.date_trunc("hour", "ts").alias("start_ts")).agg(
         F.min_by("soil_moist_pct", "ts").alias("soil")
     )

@@ -18,6 +18,7 @@ the row count. ``cell_seconds`` should be small enough that one (key, cell) fits
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -28,6 +29,7 @@ from fieldflow.session import cut_lineage
 HOUR = 3600
 CHUNK_ROWS = 8_192
 CELL_ROWS = 2_000_000
+NO_CELL = -(2**63)
 
 
 def micros(ts: str | Column) -> Column:
@@ -48,9 +50,10 @@ def fit_cell_seconds(
 ) -> float:
     """Halve the cell width until the fullest (key, cell) holds at most ``max_rows`` rows.
 
-    One aggregation over two columns per step; a step is only taken when a hot cell was seen.
+    One aggregation over two columns per step; a step is only taken when a hot cell was seen. Rows of one
+    instant cannot be told apart by time: a cell of them that stays too full is reported.
     """
-    width = float(start)
+    width, fullest = float(start), None
     while width > 0.001:
         fullest = (
             df.groupBy(*by, time_cell(ts, width).alias("_cell"))
@@ -61,7 +64,9 @@ def fit_cell_seconds(
         if not fullest or fullest <= max_rows:
             break
         width /= 2 ** max(1, (fullest // max_rows).bit_length())
-    return width
+    else:
+        warnings.warn(f"{fullest} rows share a key and a millisecond; {max_rows} were asked for", stacklevel=2)
+    return max(width, 0.001)
 
 
 def in_order(
@@ -76,11 +81,17 @@ def in_order(
 ) -> DataFrame:
     """Running sums (the current row included), ``prev_<c>`` and ``next_<c>`` in the order of each key.
 
-    ``cell`` must be monotone in ``order``. For ``prev`` and ``next`` the first order column is unique per key.
+    ``cell`` must be monotone in ``order``, which is total where ``prev`` and ``next`` are asked for. No row
+    is lost: a null key is a key of its own, and rows with a null cell come before all others of their key
+    (after them if ``descending``).
     """
     sums = sums or {}
-    cells = df.withColumn("_cell", cell).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    at = order[0]
+    # Struct and cell are never null, so window and join share one plain shuffle and keep rows with null keys.
+    key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    first = F.coalesce(cell.cast("bigint"), F.lit(NO_CELL))
+    cells = df.withColumns({"_key": key, "_cell": first} | {f"_v_{n}": c for n, c in sums.items()})
+    at = F.struct(*order)
+    by = ["_key"]
     low, high = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
     parts = [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums]
     parts += [high(c, at).alias(f"_last_{c}") for c in prev] + [low(c, at).alias(f"_first_{c}") for c in next]
@@ -99,9 +110,9 @@ def in_order(
     local = {f"_in_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}
     local |= {f"_prev_{c}": F.lag(c).over(within) for c in prev} | {f"_next_{c}": F.lead(c).over(within) for c in next}
     if prev:
-        local["_opens"] = F.lag(at).over(within).isNull()
+        local["_opens"] = F.lag(F.lit(1)).over(within).isNull()
     if next:
-        local["_closes"] = F.lead(at).over(within).isNull()
+        local["_closes"] = F.lead(F.lit(1)).over(within).isNull()
     joined = cells.withColumns(local).join(stitches, [*by, "_cell"])
     out = joined.withColumns(
         {n: F.col(f"_before_{n}") + F.col(f"_in_{n}") for n in sums}
@@ -112,10 +123,10 @@ def in_order(
 
 
 def neighbours(
-    df: DataFrame, by: Sequence[str] = ("device_id",), ts: str = "ts", cell_seconds: float = HOUR, **wanted
+    df: DataFrame, by: Sequence[str] = ("device_id",), ts: str = "ts", cell_seconds: float | None = None, **wanted
 ) -> DataFrame:
-    """``in_order`` by a timestamp column, cut into time cells."""
-    return in_order(df, by, [ts], time_cell(ts, cell_seconds), **wanted)
+    """``in_order`` by a timestamp column, cut into time cells, measured on ``df`` if no width is given."""
+    return in_order(df, by, [ts], time_cell(ts, cell_seconds or fit_cell_seconds(df, by, ts)), **wanted)
 
 
 def row_index(
@@ -123,15 +134,19 @@ def row_index(
     by: Sequence[str],
     order: Sequence[str] = ("ts",),
     name: str = "row_index",
-    cell_seconds: float = HOUR,
+    cell_seconds: float | None = None,
 ) -> DataFrame:
-    """1-based position of each row within its key. ``order[0]`` is a timestamp; order must be total."""
-    return in_order(df, by, order, time_cell(order[0], cell_seconds), {name: F.lit(1).cast("bigint")})
+    """1-based position of each row within its key. ``order[0]`` is a timestamp; order must be total.
+
+    Without a width the cells are measured on ``df``: pass one on where it is known.
+    """
+    width = cell_seconds or fit_cell_seconds(df, by, order[0])
+    return in_order(df, by, order, time_cell(order[0], width), {name: F.lit(1).cast("bigint")})
 
 
 def number_rows(df: DataFrame, by: Sequence[str] = ("device_id",), ts: str = "ts") -> DataFrame:
     """``row_index`` with cells measured on ``df`` first: no (key, cell) holds more than ``CELL_ROWS`` rows."""
-    return row_index(df, by, (ts,), cell_seconds=fit_cell_seconds(df, by, ts))
+    return row_index(df, by, (ts,))
 
 
 def over_rows(
@@ -141,7 +156,7 @@ def over_rows(
     order: Sequence[str] = ("ts",),
     before: int = 0,
     after: int = 0,
-    cell_seconds: float = HOUR,
+    cell_seconds: float | None = None,
     chunk_rows: int = CHUNK_ROWS,
     keep_index: bool = False,
 ) -> DataFrame:

@@ -180,8 +180,20 @@ def horizon_summary(plans: DataFrame) -> DataFrame:
     )
 
 
-def schedule_documents(plans: DataFrame, now: Column, mode: str = "scheduler_rule_based_v1", lead_minutes: int = 10) -> DataFrame:
-    """One JSON document per device: summary, water balance, day details and slots."""
+def schedule_documents(
+    plans: DataFrame,
+    now: Column,
+    mode: str = "scheduler_rule_based_v1",
+    lead_minutes: int = 10,
+    location: dict[str, float | str] | None = None,
+    sources: dict[str, str] | None = None,
+) -> DataFrame:
+    """One JSON document per device: place, summary, water balance, day details and slots.
+
+    ``sources`` names the inputs; they stand in ``meta`` as ``source_<name>``.
+    """
+    place = [F.struct(*[F.lit(v).alias(k) for k, v in location.items()]).alias("location")] if location else []
+    named = [F.lit(v).alias(f"source_{k}") for k, v in (sources or {}).items()]
     day = F.struct(
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         "season",
@@ -222,12 +234,13 @@ def schedule_documents(plans: DataFrame, now: Column, mode: str = "scheduler_rul
     document = F.struct(
         F.concat(iso(now), F.lit("Z")).alias("timestamp"),
         F.lit(mode).alias("mode"),
+        *place,
         F.struct(
             note_of("d1_2").alias("horizon_1_2_days"),
             note_of("d3_5").alias("horizon_3_5_days"),
             note_of("d6_7").alias("horizon_7_days"),
         ).alias("summary"),
-        F.struct(F.size("d").alias("days")).alias("meta"),
+        F.struct(F.size("d").alias("days"), *named).alias("meta"),
         F.col("water_balance"),
         F.transform("d", lambda x: x["day"]).alias("days_detail"),
         F.flatten(F.transform("d", lambda x: x["slots"])).alias("slots"),

@@ -177,8 +177,12 @@ def schedule_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def forecast_record(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rounded forecast with label, sensor reference and advice. Without a score the slot is irrigated by default."""
+    """Rounded forecast with label, rain amount (null without one), sensor reference and advice.
+
+    Without a score the slot is irrigated by default.
+    """
     p = F.col("probability")
+    amount = F.col("rain_amount_mm") if "rain_amount_mm" in scored.columns else F.lit(None).cast("double")
     advice = decide_irrigation("soil_moist_pct", "probability")
     failed = p.isNull()
     return scored.select(
@@ -186,6 +190,7 @@ def forecast_record(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
         "ts",
         round_to(p, 4).alias("probability"),
         (p >= threshold).cast("int").alias("label"),
+        round_to(amount, 2).alias("rain_amount_mm"),
         *[round_to(c, 2).alias(c) for c in K.BASE_COLUMNS],
         F.when(failed, F.lit(True)).otherwise(advice["should_irrigate"]).alias("should_irrigate"),
         F.when(failed, F.lit("Lỗi dự báo. Tưới theo lịch mặc định.")).otherwise(advice["reason"]).alias("reason"),

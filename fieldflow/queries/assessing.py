@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
+from fieldflow.models import rain
 from fieldflow.operators import clean, evaluate, features, joins
 from fieldflow.operators.ordered import fit_cell_seconds, row_index
 from fieldflow.queries.inputs import rain_labels, scored, weather_joined
@@ -249,7 +252,9 @@ def prevalence(spark, d):
 
 @query(
     "device_id:s us:i y:i split:s",
-    """SELECT device_id, epoch_us(ts) AS us, y, CASE WHEN CAST('0x' || substr(md5(device_id || '|' || CAST(epoch_us(ts) AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 < 0.15 THEN 'validation' ELSE 'train' END AS split FROM scored""",
+    """SELECT device_id, us, y, CASE WHEN row_number() OVER (PARTITION BY y ORDER BY digest, device_id, us)
+        <= ceil(0.15e0 * count(*) OVER (PARTITION BY y)) THEN 'validation' ELSE 'train' END AS split
+      FROM (SELECT *, epoch_us(ts) AS us, CAST('0x' || substr(md5(device_id || '|' || CAST(epoch_us(ts) AS VARCHAR)), 1, 8) AS BIGINT) AS digest FROM scored)""",
     "sensor scored",
 )
 def stratified_split(spark, d):
@@ -274,18 +279,22 @@ def time_folds(spark, d):
 
 @query(
     "date:s " + METRIC_COLUMNS,
-    f"""WITH f AS (SELECT strftime(s.ts, '%Y-%m-%d') AS date, 0.5e0 AS threshold, s.p, l.rain_next_60 AS y FROM scored s JOIN labels l ON l.event_id = s.event_id),
+    f"""WITH forecasts AS (SELECT *, ts - INTERVAL 7 SECOND AS made FROM scored),
+    near AS (SELECT s.event_id, s.made, s.p, l.rain_next_60 AS y, row_number() OVER (PARTITION BY s.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(s.made)), l.ts) AS r
+      FROM forecasts s JOIN labels l ON l.device_id = s.device_id AND l.ts BETWEEN s.made - INTERVAL 5 MINUTE AND s.made + INTERVAL 5 MINUTE),
+    f AS (SELECT strftime(made, '%Y-%m-%d') AS date, 0.5e0 AS threshold, p, y FROM near WHERE r = 1),
     c AS (SELECT date, threshold, {COUNTS} FROM f GROUP BY 1, 2) SELECT date, {METRICS} FROM c""",
     "sensor weather labels scored",
 )
 def forecast_monitor(spark, d):
-    happened = joins.join_labels(scored(spark, d), rain_labels(spark, d))
-    return evaluate.forecast_monitor(happened, y="rain_next_60")
+    """Forecasts made some seconds ahead of the readings, against the label nearest in time."""
+    forecasts = scored(spark, d).drop("y").withColumn("ts", F.col("ts") - F.expr("INTERVAL 7 SECONDS"))
+    happened = rain_labels(spark, d).select("device_id", "ts", F.col("rain_next_60").alias("y"))
+    return evaluate.forecast_monitor(evaluate.match_forecasts(forecasts, happened, 300))
 
 
 # --- models ----------------------------------------------------------------------------------------
 
-ROUNDS = 10
 
 
 def model_matrix(spark, d):
@@ -301,44 +310,58 @@ def model_matrix(spark, d):
     return cut_lineage(evaluate.time_split(matrix.select("*", "target.*").drop("target")), "matrix")
 
 
-def _classifier(spark, d):
-    from fieldflow.models import rain
-
+def _scores(spark, d):
+    """The fitted classifier and its scores of all rows, labelled at the threshold its validation rows suggest."""
     matrix = model_matrix(spark, d)
-    return matrix, rain.train_classifier(matrix, K.FEATURE_NAMES, rounds=ROUNDS)
+    model = rain.train_classifier(matrix, K.FEATURE_NAMES)
+    return model, cut_lineage(rain.score_at_best(model, matrix), "scores")
 
 
 @query("split:s n:i mean_score:d")
 def train_rain_model(spark, d):
-    from fieldflow.models import rain
+    _, scores = _scores(spark, d)
+    return scores.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_score"))
+
 
-    matrix, model = _classifier(spark, d)
-    return rain.score_rain(model, matrix).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_score"))
+SPLIT_LABELS = """split AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY ts, device_id) <= count(*) OVER () - ceil(0.15e0 * count(*) OVER ()) THEN 'train' ELSE 'validation' END AS split FROM labels)"""
+
+
+@query(
+    "split:s n:i positives:i outside:i mislabelled:i misordered:i",
+    f"WITH {SPLIT_LABELS} SELECT split, count(*) AS n, sum(rain_next_60) AS positives, 0 AS outside, 0 AS mislabelled, 0 AS misordered FROM split GROUP BY 1",
+    "sensor weather labels",
+)
+def rain_model_checks(spark, d):
+    """What must hold whatever the trees learn: rows and positives per part, scores in [0, 1], labels that follow one threshold."""
+    _, scores = _scores(spark, d)
+    at = scores.agg(F.min(F.when(F.col("label") == 1, F.col("p"))).alias("least"), F.max(F.when(F.col("label") == 0, F.col("p"))).alias("most"))
+    bounds = at.select(F.coalesce(F.col("least") <= F.col("most"), F.lit(False)).cast("int")).scalar()
+    return scores.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("rain_next_60").alias("positives"),
+        F.count_if(~F.col("p").between(0, 1)).alias("outside"),
+        F.count_if(F.col("label") != (F.col("p") >= F.col("threshold")).cast("int")).alias("mislabelled"),
+        F.max(bounds).alias("misordered"),
+    )
 
 
 @query("split:s n:i mae:d rmse:d r2:d")
 def train_amount_model(spark, d):
-    from fieldflow.models import rain
-
     matrix = model_matrix(spark, d)
-    scored_rows = rain.score_amount(rain.train_regressor(matrix, K.FEATURE_NAMES, rounds=ROUNDS), matrix)
+    scored_rows = rain.score_amount(rain.train_regressor(matrix, K.FEATURE_NAMES), matrix)
     held = scored_rows.where("split = 'validation'").withColumn("actual", F.col("rain_amount_next_60_mm"))
     return evaluate.regression_metrics(held).withColumn("split", F.lit("validation"))
 
 
-@query("device_id:s ts:t p:d label:i")
+@query("device_id:s ts:t p:d label:i threshold:d")
 def score_rain(spark, d):
-    from fieldflow.models import rain
-
-    matrix, model = _classifier(spark, d)
-    return rain.score_rain(model, matrix.where("split = 'validation'"))
+    _, scores = _scores(spark, d)
+    return scores.where("split = 'validation'")
 
 
 @query("feature:s gain:d")
 def feature_importance(spark, d):
-    from fieldflow.models import rain
-
-    _, model = _classifier(spark, d)
+    model, _ = _scores(spark, d)
     return rain.feature_importance(model, K.FEATURE_NAMES)
 
 
@@ -346,7 +369,27 @@ def feature_importance(spark, d):
     "features:s hyperparameters:s threshold_default:d auc_roc:d pr_auc:d precision:d recall:d f1:d n_samples:i n_train:i n_val:i positive_rate:d"
 )
 def model_card(spark, d):
-    from fieldflow.models import rain
+    _, scores = _scores(spark, d)
+    return rain.classifier_card(scores, K.FEATURE_NAMES)
+
+
+def _amount_card(spark, d):
+    matrix = model_matrix(spark, d)
+    model = rain.train_regressor(matrix, K.FEATURE_NAMES)
+    return rain.regressor_card(cut_lineage(rain.score_amount(model, matrix), "amounts"), K.FEATURE_NAMES)
+
 
-    matrix, model = _classifier(spark, d)
-    return rain.classifier_card(cut_lineage(rain.score_rain(model, matrix), "scores"), K.FEATURE_NAMES)
+@query("features:s hyperparameters:s mae:d rmse:d r2:d n_samples:i n_train:i n_val:i target_mean:d target_max:d")
+def amount_model_card(spark, d):
+    return _amount_card(spark, d)
+
+
+@query(
+    "features:s n_samples:i n_train:i n_val:i target_mean:d target_max:d errors_agree:b",
+    f"""WITH {SPLIT_LABELS} SELECT '{json.dumps(K.FEATURE_NAMES)}' AS features, count(*) AS n_samples, count(*) FILTER (split = 'train') AS n_train,
+      count(*) FILTER (split = 'validation') AS n_val, avg(rain_amount_next_60_mm) AS target_mean, max(rain_amount_next_60_mm) AS target_max, true AS errors_agree FROM split""",
+    "sensor weather labels",
+)
+def amount_model_checks(spark, d):
+    """What must hold of the amount model's card whatever the trees learn."""
+    return _amount_card(spark, d).withColumn("errors_agree", (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae")) & (F.col("r2") <= 1))

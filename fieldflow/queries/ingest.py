@@ -137,12 +137,12 @@ def schedule_explode(spark, d):
 
 @query(
     "device_id:s start_ts:t end_ts:t duration_min:i date:s decision:b note:s",
-    """SELECT s.* FROM stored s WHERE s.date NOT IN (SELECT date FROM stored WHERE duration_min = 3)
+    """SELECT s.* FROM stored s WHERE (s.device_id, s.date) NOT IN (SELECT (device_id, date) FROM stored WHERE duration_min = 3)
        UNION ALL SELECT device_id, start_ts + INTERVAL 30 MINUTE, end_ts + INTERVAL 30 MINUTE, duration_min, date, decision, 'new' FROM stored WHERE duration_min = 3""",
     "sensor weather plan",
 )
 def schedule_replace_dates(spark, d):
-    """A payload that moves all three-minute slots replaces their dates."""
+    """A payload that moves all three-minute slots replaces their devices' dates."""
     stored = stored_rows(spark, d)
     half = F.make_dt_interval(mins=F.lit(30))
     incoming = stored.where("duration_min = 3").withColumns(

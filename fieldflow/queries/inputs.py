@@ -62,8 +62,10 @@ def weather_joined(spark: SparkSession, d: str, readings: DataFrame | None = Non
 
 
 def irrigation(spark: SparkSession, d: str) -> DataFrame:
-    """The irrigation event table, written once."""
-    return cut_lineage(labels.irrigation_events(adapter.sensor_reading(spark, d), rain_labels(spark, d)), "irrigation")
+    """The irrigation event table, written once. Only readings that could start one are labelled."""
+    dry = labels.irrigation_candidates(adapter.sensor_reading(spark, d))
+    ahead = labels.rain_labels(dry, adapter.weather_hour(spark, d))
+    return cut_lineage(labels.irrigation_events(dry, ahead), "irrigation")
 
 
 def score(rh: str = "rh_pct"):

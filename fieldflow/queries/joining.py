@@ -17,6 +17,7 @@ from fieldflow.queries.inputs import (
     weather_joined,
 )
 from fieldflow.queries.registry import query
+from fieldflow.session import cut_lineage
 from fieldflow.sources import adapter
 
 W = "WINDOW w AS (PARTITION BY device_id ORDER BY ts)"
@@ -153,15 +154,30 @@ def slot_overlay(spark, d):
 
 @query(
     "device_id:s start_ts:t end_ts:t checked_ts:t soil_at_start:d outcome:s",
-    f"""WITH {WIDE_SQL}, first AS (SELECT e.device_id, e.start_ts, min(s.ts) AS checked_ts, arg_min(s.soil_moist_pct, s.ts) AS soil_at_start
-      FROM wide e JOIN sensor s ON s.device_id = e.device_id AND s.ts >= e.start_ts AND s.ts < e.end_ts GROUP BY 1, 2)
-    SELECT e.device_id, e.start_ts, e.end_ts, f.checked_ts, f.soil_at_start,
-      CASE WHEN f.checked_ts IS NULL THEN 'missed' WHEN f.soil_at_start < 60 THEN 'started' ELSE 'skipped' END AS outcome
-    FROM wide e LEFT JOIN first f ON f.device_id = e.device_id AND f.start_ts = e.start_ts""",
+    f"""WITH {WIDE_SQL}, inside AS (SELECT e.*, s.ts, s.soil_moist_pct AS soil FROM wide e
+      LEFT JOIN sensor s ON s.device_id = e.device_id AND s.ts >= e.start_ts AND s.ts < e.end_ts),
+    base AS (SELECT device_id, start_ts, end_ts, duration_min, min(ts) AS checked_ts, arg_min(soil, ts) AS soil_at_start FROM inside GROUP BY ALL),
+    judged AS (SELECT *, CASE WHEN checked_ts IS NULL THEN 'missed' WHEN soil_at_start < 60 THEN 'started' ELSE 'skipped' END AS outcome FROM base),
+    late AS (SELECT j.device_id, j.start_ts + INTERVAL 1 SECOND AS start_ts, j.start_ts + INTERVAL 10 MINUTE AS end_ts,
+        CASE WHEN j.outcome = 'started' THEN j.checked_ts + j.duration_min * INTERVAL 1 MINUTE END AS busy_until FROM judged j),
+    again AS (SELECT l.device_id, l.start_ts, l.end_ts, min(s.ts) AS looked, arg_min(s.soil_moist_pct, s.ts) AS looked_soil,
+        min(s.ts) FILTER (l.busy_until IS NULL OR s.ts >= l.busy_until) AS free, arg_min(s.soil_moist_pct, s.ts) FILTER (l.busy_until IS NULL OR s.ts >= l.busy_until) AS free_soil
+      FROM late l LEFT JOIN sensor s ON s.device_id = l.device_id AND s.ts >= l.start_ts AND s.ts < l.end_ts GROUP BY 1, 2, 3)
+    SELECT device_id, start_ts, end_ts, checked_ts, soil_at_start, outcome FROM judged
+    UNION ALL SELECT device_id, start_ts, end_ts, coalesce(free, looked), coalesce(free_soil, looked_soil),
+      CASE WHEN looked IS NULL THEN 'missed' WHEN free IS NULL THEN 'blocked' WHEN free_soil < 60 THEN 'started' ELSE 'skipped' END FROM again""",
     "sensor weather labels irrigation",
 )
 def slot_execution_audit(spark, d):
-    return joins.audit_slots(wide_slots(spark, d), adapter.sensor_reading(spark, d))
+    """Each slot has a second one over its first ten minutes, which the first one's pump may block."""
+    slots = cut_lineage(wide_slots(spark, d).select("device_id", "start_ts", "end_ts", "duration_min"), "wide-slots")
+    late = slots.select(
+        "device_id",
+        (F.col("start_ts") + F.expr("INTERVAL 1 SECOND")).alias("start_ts"),
+        (F.col("start_ts") + F.expr("INTERVAL 10 MINUTES")).alias("end_ts"),
+        F.lit(1).alias("duration_min"),
+    )
+    return joins.audit_slots(slots.unionByName(late), adapter.sensor_reading(spark, d))
 
 
 @query(
@@ -432,6 +448,31 @@ def pre_irrigation_check(spark, d):
     )
 
 
+@query(
+    "device_id:s start_ts:t duration_min:i scored:b in_range:b agrees:b",
+    f"""WITH {SERVING_SQL} SELECT i.device_id, i.start_ts, i.duration_min, s.device_id IS NOT NULL AS scored, true AS in_range, true AS agrees
+    FROM irrigation i LEFT JOIN served s ON s.device_id = i.device_id AND s.target_ts = i.start_ts - INTERVAL 10 MINUTE""",
+    "sensor weather labels irrigation",
+)
+def model_checked_slots(spark, d):
+    """The check with fitted models in place of the rule; what must hold whatever the trees learn."""
+    from fieldflow.models import rain
+    from fieldflow.queries.assessing import model_matrix
+
+    matrix = model_matrix(spark, d)
+    models = rain.train_classifier(matrix, K.FEATURE_NAMES), rain.train_regressor(matrix, K.FEATURE_NAMES)
+    checked = pre_irrigation.check_slots(
+        irrigation(spark, d), adapter.sensor_reading(spark, d), adapter.weather_hour(spark, d), rain.slot_scorer(*models)
+    )
+    known = F.col("probability").isNotNull()
+    in_range = F.col("probability").between(0, 1) & (F.col("rain_amount_mm") >= 0)
+    status = F.when(F.col("should_irrigate"), "confirmed").otherwise("postponed")
+    return checked.select(
+        "device_id", "start_ts", "duration_min", known.alias("scored"),
+        F.when(known, in_range).otherwise(True).alias("in_range"), (F.col("status") == status).alias("agrees"),
+    )
+
+
 @query(
     "corr_now:d corr_shifted:d",
     """WITH h AS (SELECT device_id, ts, CASE WHEN row_number() OVER w >= 3 AND sum(rain_mm_5min) OVER (PARTITION BY device_id ORDER BY ts ROWS 2 PRECEDING) > 0 THEN 1 ELSE 0 END AS x,

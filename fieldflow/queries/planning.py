@@ -238,6 +238,19 @@ def latest_reading(spark, d):
     return clean.latest_reading(adapter.sensor_reading(spark, d))
 
 
+@query(
+    "device_id:s ts:t probability:d should_irrigate:b",
+    """SELECT device_id, ts, round(p, 4) AS probability, soil_moist_pct < 30 OR (soil_moist_pct < 40 AND p < 0.4e0) AS should_irrigate FROM (
+      SELECT s.device_id, s.ts, s.soil_moist_pct, c.p, row_number() OVER (PARTITION BY s.device_id ORDER BY s.ts DESC) AS r
+      FROM sensor s JOIN scored c ON c.event_id = s.event_id) WHERE r = 1""",
+    "sensor scored",
+)
+def latest_forecast(spark, d):
+    """The newest forecast of each device."""
+    scored = adapter.sensor_reading(spark, d).withColumn("probability", score())
+    return clean.latest_reading(schedule.forecast_record(scored))
+
+
 @query(
     "device_id:s ts:t should_irrigate:b reason:s",
     f"""SELECT s.device_id, s.ts, soil_moist_pct < 30 OR (soil_moist_pct < 40 AND p < 0.4e0) AS should_irrigate,
@@ -252,9 +265,10 @@ def irrigation_decision(spark, d):
 
 
 @query(
-    "device_id:s ts:t probability:d label:d temp_c:d soil_moist_pct:d should_irrigate:b reason:s threshold_used:d",
+    "device_id:s ts:t probability:d label:d rain_amount_mm:d temp_c:d soil_moist_pct:d should_irrigate:b reason:s threshold_used:d",
     f"""WITH r AS (SELECT s.*, CASE WHEN s.event_id % 20 <> 0 THEN c.p END AS probability FROM sensor s JOIN scored c ON c.event_id = s.event_id)
     SELECT device_id, ts, round(probability, 4) AS probability, CASE WHEN probability >= 0.675e0 THEN 1 WHEN probability < 0.675e0 THEN 0 END AS label,
+      round((rh_pct - 60) / 30e0, 2) AS rain_amount_mm,
       round(temp_c, 2) AS temp_c, round(soil_moist_pct, 2) AS soil_moist_pct,
       CASE WHEN probability IS NULL THEN true ELSE soil_moist_pct < 30 OR (soil_moist_pct < 40 AND probability < 0.4e0) END AS should_irrigate,
       CASE WHEN probability IS NULL THEN 'Lỗi dự báo. Tưới theo lịch mặc định.' WHEN soil_moist_pct < 30 THEN '{K.REASON_VERY_DRY}'
@@ -264,7 +278,7 @@ def irrigation_decision(spark, d):
 )
 def forecast_record(spark, d):
     scored = adapter.keyed_sensor(spark, d).withColumn("probability", F.when(F.col("event_id") % 20 != 0, score()))
-    return schedule.forecast_record(scored, 0.675)
+    return schedule.forecast_record(scored.withColumn("rain_amount_mm", (F.col("rh_pct") - 60) / 30), 0.675)
 
 
 @query(
@@ -343,12 +357,14 @@ def device_sessions(spark, d):
 
 @query(
     "online:i known:i",
-    """SELECT sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS online, count(*) AS known FROM (
-      SELECT event_type, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC) AS r FROM sensor WHERE event_type IN ('click', 'view')) WHERE r = 1""",
+    """SELECT sum(CASE WHEN event_type = 'click' AND epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) <= 7200000000 THEN 1 ELSE 0 END) AS online, count(*) AS known FROM (
+      SELECT event_type, ts, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC) AS r FROM sensor WHERE event_type IN ('click', 'view')) WHERE r = 1""",
     "sensor",
 )
 def online_devices(spark, d):
-    return devices.online_devices(status_messages(spark, d))
+    """Messages here are up to hours apart, so two hours of silence mean offline."""
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return devices.online_devices(status_messages(spark, d), now, silence_seconds=7200)
 
 
 @query(
@@ -387,7 +403,10 @@ def pump_runs(spark, d):
     "sensor",
 )
 def thin_10min(spark, d):
-    return devices.to_series(devices.thin_readings(adapter.sensor_reading(spark, d)))
+    """Readings of which a third came twice."""
+    once = adapter.keyed_sensor(spark, d)
+    again = once.unionByName(once.where("event_id % 3 = 0"))
+    return devices.to_series(devices.thin_readings(again.select(adapter.sensor_reading(spark, d).columns)))
 
 
 # --- streams ---------------------------------------------------------------------------------------
@@ -488,20 +507,20 @@ def stream_device_state(spark, d):
 
 @query(
     "date:s rows:i minutes:i",
-    """WITH t AS (SELECT DISTINCT date FROM stored WHERE duration_min = 3)
-    SELECT date, count(*) AS "rows", sum(duration_min) AS minutes FROM stored WHERE date NOT IN (SELECT date FROM t) GROUP BY 1
-    UNION ALL SELECT date, count(*), sum(6) FROM stored WHERE duration_min = 3 GROUP BY 1""",
+    """WITH t AS (SELECT DISTINCT device_id, date FROM stored WHERE duration_min = 3),
+    kept AS (SELECT date, duration_min FROM stored WHERE (device_id, date) NOT IN (SELECT (device_id, date) FROM t)
+      UNION ALL SELECT date, 6 FROM stored WHERE duration_min = 3)
+    SELECT date, count(*) AS "rows", sum(duration_min) AS minutes FROM kept GROUP BY 1""",
     PLAN,
 )
 def stream_schedule_replace(spark, d):
-    """Two payloads: the plan, then its three-minute days again with six minutes."""
+    """Two payloads in one delivery: the plan, then the days of devices with three-minute slots again, six minutes each."""
     base, source = scratch(spark, "schedules"), scratch(spark, "schedule-files")
-    rows = stored_rows(spark, d)
-    rows.coalesce(1).write.mode("append").parquet(source)
+    rows = stored_rows(spark, d).withColumn("payload_ts", F.lit(1))
+    again = rows.where("duration_min = 3").withColumns({"duration_min": F.lit(6), "payload_ts": F.lit(2)})
+    rows.unionByName(again).write.parquet(source)
     stream = ingest.file_stream(spark, source, rows.schema.simpleString()[7:-1].replace(":", " "))
     finish(ingest.replace_schedules(stream, f"{base}/table", f"{base}/state"))
-    rows.where("duration_min = 3").withColumn("duration_min", F.lit(6)).coalesce(1).write.mode("append").parquet(source)
-    finish(ingest.replace_schedules(stream, f"{base}/table", f"{base}/state"))
     stored = spark.read.parquet(f"{base}/table").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     return stored.groupBy("date").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("duration_min").alias("minutes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,26 @@ def append_rows(df: DataFrame, path: str, partition_by: str | None = None) -> No
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
-def replace_dates(df: DataFrame, path: str) -> None:
-    """Overwrite only the ``date`` partitions that occur in ``df``."""
+def newest_payload(slots: DataFrame, keys: Sequence[str] = ("device_id", "date"), at: str = "payload_ts") -> DataFrame:
+    """Of each key the slots of its newest payload alone, where ``at`` tells payloads apart."""
+    newest = slots.groupBy(*keys).agg(F.max(at).alias("_newest"))
+    return slots.join(newest, list(keys)).where(F.col(at) == F.col("_newest")).drop("_newest", at)
+
+
+def replace_dates(df: DataFrame, path: str, keys: Sequence[str] = ("device_id", "date")) -> None:
+    """Overwrite only the partitions (by default a device's date) that occur in ``df``."""
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date")
+        .partitionBy(*keys)
         .parquet(path)
     )
 
 
-def replaced_dates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def replaced_dates(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("device_id", "date")) -> DataFrame:
     """The table that ``replace_dates`` leaves behind, as a query."""
-    dates = incoming.select("date").distinct()
-    return stored.join(dates, "date", "left_anti").unionByName(incoming)
+    replaced = incoming.select(*keys).distinct()
+    return stored.join(replaced, list(keys), "left_anti").unionByName(incoming)
 
 
 def sensor_report(readings: DataFrame, site_tz: str = "UTC") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -104,8 +106,16 @@ def route(messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return batches(messages, handle, checkpoint)
 
 
-def replace_schedules(slots: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Each payload replaces the stored slots of the dates it holds (dynamic partition overwrite)."""
-    from fieldflow.sources.sinks import replace_dates
+def replace_schedules(
+    slots: DataFrame, table: str, checkpoint: str, keys: Sequence[str] = ("device_id", "date")
+) -> StreamingQuery:
+    """Each payload replaces the stored slots of the keys it holds (dynamic partition overwrite).
+
+    A ``payload_ts`` column tells payloads apart: of several in one micro-batch the newest stands for its keys.
+    """
+    from fieldflow.sources.sinks import newest_payload, replace_dates
+
+    def handle(batch: DataFrame, _: int) -> None:
+        replace_dates(newest_payload(batch, keys) if "payload_ts" in batch.columns else batch, table, keys)
 
-    return batches(slots, lambda batch, _: replace_dates(batch, table), checkpoint)
+    return batches(slots, handle, checkpoint)

@@ -75,9 +75,9 @@ def buffer_frames(buffers: DataFrame) -> DataFrame:
 def session_stream(messages: DataFrame, silence: str = "6 seconds", late: str = "10 minutes") -> DataFrame:
     """Device sessions from status messages, sent out once the watermark has passed their silence.
 
-    Sessions are merged inside each partition before the shuffle, so a busy device sends few rows.
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` (``build_session`` sets it)
+    sessions are merged inside each partition before the shuffle, so a busy device sends few rows.
     """
-    messages.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         messages.withWatermark("ts", late)
         .groupBy("device_id", F.session_window("ts", silence))
@@ -89,3 +89,49 @@ def session_stream(messages: DataFrame, silence: str = "6 seconds", late: str =
         )
         .drop("session_window")
     )
+
+
+def presence_stream(messages: DataFrame, silence_seconds: float = 6.0) -> DataFrame:
+    """``device_id``, ``ts``, ``status`` whenever a device's state changes; silence makes it offline by a timer.
+
+    The state holds one device's last status and time. A timer on the clock fires ``silence_seconds`` after
+    a device's last message whether or not anything else arrives, so the trigger must keep running. Of each
+    input partition only a device's newest message is shuffled.
+    """
+
+    def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for pdf in batches:
+            both = pdf if kept is None else pd.concat([kept, pdf])
+            kept = both.sort_values("ts", kind="stable").drop_duplicates("device_id", keep="last")
+        if kept is not None:
+            yield kept
+
+    def change(device: str, ts, status: str) -> pd.DataFrame:
+        return pd.DataFrame({"device_id": [device], "ts": [ts], "status": [status]})
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, micros = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if status == "online":
+                yield change(key[0], pd.Timestamp(micros, unit="us") + pd.Timedelta(seconds=silence_seconds), "offline")
+            return
+        latest = pd.concat(list(batches)).sort_values("ts", kind="stable").iloc[-1]
+        at = int(pd.Timestamp(latest["ts"]).value // 1000)
+        if at >= micros:
+            if latest["status"] != status:
+                yield change(key[0], latest["ts"], latest["status"])
+            state.update((latest["status"], at))
+        else:
+            state.update((status, micros))
+        state.setTimeoutDuration(int(silence_seconds * 1000))
+
+    slim = messages.select("device_id", "ts", "status")
+    return (
+        slim.mapInPandas(newest, slim.schema)
+        .groupBy("device_id")
+        .applyInPandasWithState(
+            update, "device_id string, ts timestamp, status string", "status string, micros bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        )
+    )

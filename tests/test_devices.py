@@ -21,7 +21,7 @@ def greedy(times, gap):
 @pytest.mark.parametrize("cell_minutes, n", [(60, 600), (7, 600), (1440, 600), (25, 3000)])
 def test_thinning_equals_the_greedy_chain(spark, cell_minutes, n):
     df = random_readings(spark, n, seed=cell_minutes)
-    got = devices.thin_readings(df, 600, cell_minutes * 60, span_years=1).toPandas()
+    got = devices.thin_readings(df, 600, cell_minutes * 60).toPandas()
     for device, rows in df.toPandas().groupby("device_id"):
         kept = sorted(got[got.device_id == device]["ts"])
         assert kept == greedy(rows["ts"], pd.Timedelta("10min"))
@@ -82,3 +82,27 @@ def test_pump_runs_and_stop_rules(spark):
 def test_series_are_long(spark):
     df = readings(spark, [("d", 0, 1, 2, 3, 4)])
     assert {(r.series, r.value) for r in devices.to_series(df).collect()} == {("temp_c", 1.0), ("pressure_hpa", 3.0), ("soil_moist_pct", 4.0)}
+
+
+@pytest.mark.parametrize("start_minute", [-28_401_125.0, -1000.0, 0.0])  # the first one lies around 1970
+@pytest.mark.parametrize("cell_seconds", [90.0, 3600.0, None])
+def test_thinning_does_not_depend_on_where_the_series_lies(spark, start_minute, cell_seconds):
+    rng = np.random.default_rng(5)
+    minutes = np.unique(np.round(rng.uniform(0, 2500, 500), 3)) + start_minute
+    df = readings(spark, [("d", float(m), 1, 1, 1, 1) for m in minutes])
+    got = sorted(r.ts for r in devices.thin_readings(df, 600, cell_seconds).collect())
+    assert got == greedy([at(float(m)) for m in minutes], timedelta(minutes=10))
+
+
+def test_thinning_keeps_one_of_equal_times_and_whole_rows(spark):
+    df = readings(spark, [("d", m, m, 1, 1, 1) for m in (0, 0, 10, 10, 10, 15, 20)]).withColumn("big", F.lit(2**60 + 1))
+    df = df.unionByName(df.limit(1).withColumns({"device_id": F.lit(None).cast("string")}))
+    got = devices.thin_readings(df, 600).orderBy("ts").collect()
+    assert [(r.ts, r.temp_c, r.big) for r in got] == [(at(m), float(m), 2**60 + 1) for m in (0, 10, 20)]
+    assert devices.thin_readings(df.limit(0)).collect() == []
+
+
+def test_a_device_that_fell_silent_is_not_online(spark):
+    df = spark.createDataFrame([("a", at(0), "online"), ("b", at(9), "online"), ("c", at(9), "offline")], "device_id string, ts timestamp, status string")
+    got = devices.online_devices(df, F.lit(at(9.05)).cast("timestamp")).first()
+    assert (got.online, got.known) == (1, 3)

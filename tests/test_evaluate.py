@@ -1,8 +1,10 @@
+import math
 from datetime import timedelta
 
 import numpy as np
 import pytest
-from helpers import START, random_readings
+from helpers import START, at, random_readings
+from pyspark.sql import functions as F
 
 from fieldflow.operators import evaluate as E
 
@@ -106,3 +108,37 @@ def test_target_stats(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (0.4,), (2.0,)], "rain_amount_next_60_mm double")
     row = E.target_stats(df).first()
     assert (row.n, row.min_mm, row.max_mm, row.median_mm, row.nonzero_share) == (4, 0.0, 2.0, 0.2, 0.5)
+
+
+def test_split_holds_the_share_of_each_class(spark):
+    df = spark.createDataFrame([(i, 1 if i % 40 == 0 else 0 if i % 7 else None) for i in range(400)], "k int, y int")
+    got = E.stratified_split(df, ["k"], max_rows=50)
+    held = {r.y: (r.n, r.held) for r in got.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "validation").alias("held")).collect()}
+    assert {y: h for y, (_, h) in held.items()} == {y: math.ceil(0.15 * n) for y, (n, _) in held.items()}
+    assert held[1] == (10, 2) and got.count() == 400 and E.empty_classes(got).count() == 0
+    assert E.stratified_split(df, ["k"], y=None).where("split = 'validation'").count() == 60
+    assert E.empty_classes(got.where("y = 0 or split = 'train'")).count() == 2
+
+
+def test_rows_without_score_or_label_leave_every_rate(spark):
+    rows = [(1, 0.9), (1, None), (0, 0.2), (None, 0.5), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "y int, p double")
+    assert E.pr_points(df).agg(F.max("recall")).first()[0] == 1.0
+    assert E.auc_roc(df).first().auc_roc == 1.0
+
+
+def test_crowded_scores_split_into_cells(spark):
+    scores = [1e-9 * i for i in range(1000)] + [0.5, 1.0]
+    counts = spark.createDataFrame([(p, 1, i % 3) for i, p in enumerate(scores)], "p double, pos long, neg long")
+    cell = E.score_cell(counts, "p", 100)
+    sizes = [r["count"] for r in counts.groupBy(cell.alias("c")).count().collect()]
+    assert max(sizes) <= 200
+    got = {r.p: r.tp for r in E.curve_of(counts, max_rows=100).collect()}
+    assert all(got[p] == len(scores) - i for i, p in enumerate(scores))
+
+
+def test_forecasts_meet_the_nearest_outcome(spark):
+    made = spark.createDataFrame([("d", at(10), 0.7), ("d", at(100), 0.2)], "device_id string, ts timestamp, p double")
+    happened = spark.createDataFrame([("d", at(11), 1), ("d", at(14), 0), ("e", at(10), 0)], "device_id string, ts timestamp, y int")
+    got = E.match_forecasts(made, happened, 300).collect()
+    assert [(r.ts, r.p, r.y) for r in got] == [(at(10), 0.7, 1)]

@@ -177,3 +177,28 @@ def test_irrigation_events_equal_the_sequential_rule(spark):
             expected.add((device, start, start + timedelta(minutes=minutes_), minutes_))
             last[device] = t
     assert got == expected and len(got) > 10
+
+
+def test_slot_audit_looks_again_and_crosses_midnight(spark):
+    late = 23 * 60 + 50
+    slots = spark.createDataFrame(
+        [("d", at(late), at(late + 20), 30), ("d", at(late + 14), at(late + 24), 3), ("d", at(late + 25), at(late + 60), 3), ("e", at(5), at(9), 1)],
+        "device_id string, start_ts timestamp, end_ts timestamp, duration_min int",
+    )
+    r = readings(spark, [("d", late + m, 20, 50, 1000, 40) for m in (1, 16, 20, 26, 29, 40)] + [("d", late + 33, 20, 50, 1000, 70)])
+    got = joins.audit_slots(slots, r).orderBy("device_id", "start_ts").collect()
+    assert [(s.outcome, s.checked_ts) for s in got] == [
+        ("started", at(late + 1)),
+        ("blocked", at(late + 16)),
+        ("skipped", at(late + 33)),
+        ("missed", None),
+    ]
+
+
+def test_missing_and_nan_rain_do_not_spread(spark):
+    weather = spark.createDataFrame(
+        [(at(60 * h), v) for h, v in enumerate([0.0, float("nan"), 0.3, None, 0.1, 0.2])], "ts timestamp, api_rain_1h double"
+    )
+    r = readings(spark, [("d", m, 1, 1, 1, 1) for m in (30, 90, 210, 290)])
+    got = [(x.rain_amount_next_60_mm, x.rain_next_60) for x in labels.rain_labels(r, weather).orderBy("ts").collect()]
+    assert got == [(0.0, 0), (0.3, 1), (0.1, 0), (0.2, 1)]

@@ -1,5 +1,6 @@
 import pandas as pd
-from helpers import random_readings, readings
+import pytest
+from helpers import at, random_readings, readings
 from pyspark.sql import functions as F
 
 from fieldflow.operators.ordered import (
@@ -7,6 +8,7 @@ from fieldflow.operators.ordered import (
     fit_cell_seconds,
     micros,
     number_cell,
+    number_rows,
     over_rows,
     in_order,
     neighbours,
@@ -79,3 +81,19 @@ def test_cell_width_shrinks_for_a_hot_cell(spark):
     width = fit_cell_seconds(df, ["device_id"], max_rows=100)
     fullest = df.groupBy(number_cell(micros("ts"), int(width * 1_000_000))).count().agg(F.max("count")).first()[0]
     assert width < 3600 and fullest <= 100
+
+
+def test_rows_without_key_or_time_keep_their_place(spark):
+    rows = [("d", at(0)), ("d", at(1)), ("d", None), (None, at(5)), (None, None), ("e", at(90))]
+    df = spark.createDataFrame(rows, "device_id string, ts timestamp")
+    got = sorted(((r.device_id or "", r.ts or at(-1), r.row_index) for r in number_rows(df).collect()), key=str)
+    assert got == sorted([("d", at(-1), 1), ("d", at(0), 2), ("d", at(1), 3), ("", at(-1), 1), ("", at(5), 2), ("e", at(90), 1)], key=str)
+    back = neighbours(df, prev=["ts"], next=["ts"], cell_seconds=30).where("device_id = 'd'").orderBy("ts").collect()
+    assert [(r.prev_ts, r.next_ts) for r in back] == [(None, at(0)), (None, at(1)), (at(0), None)]
+
+
+def test_a_fleet_on_one_tick_is_reported(spark):
+    df = readings(spark, [(f"d{i}", 1, 1, 1, 1, 1) for i in range(300)])
+    with pytest.warns(UserWarning, match="share a key"):
+        width = fit_cell_seconds(df, [], max_rows=100)
+    assert width == pytest.approx(0.001)

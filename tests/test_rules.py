@@ -210,3 +210,9 @@ def test_serving_features_fall_back_to_the_first_row(spark):
     assert (row.pressure_slope_1h, row.temp_drop_15m, row.rh_rise_15m, row.soil_moist_smooth) == (5.0, -5.0, 5.0, 35.0)
     one = features.serving_features(frames.limit(1), ["device_id", "target_ts"]).first()
     assert (one.pressure_slope_1h, one.api_pop, one.soil_moist_smooth) == (0.0, 0.0, one.last_soil_moist_pct)
+
+
+def test_missing_measures_have_no_band(spark):
+    steps = [(1.0, False, "low"), (None, False, "high")]
+    df = spark.createDataFrame([(0.5,), (2.0,), (None,), (float("nan"),)], "v double")
+    assert [r.b for r in df.select(scalars.band("v", steps).alias("b")).collect()] == ["low", "high", None, None]

@@ -96,3 +96,25 @@ def test_report_file_has_header_and_mark(spark, tmp_path):
 def test_decisions_only_where_made(spark):
     df = spark.createDataFrame([("confirm", "a", at(0)), ("skip", "b", at(1)), (None, "c", at(2)), ("", "d", at(3))], "decision string, decision_reason string, forecast_trigger_ts timestamp")
     assert [(r.decision, r.reason) for r in sinks.decision_rows(df).orderBy("date").collect()] == [(True, "a"), (False, "b")]
+
+
+def test_newest_payload_stands_for_its_key_and_other_devices_stay(spark, tmp_path):
+    rows = [("a", "2024-01-01", 1, 10), ("a", "2024-01-01", 2, 20), ("a", "2024-01-02", 1, 30), ("b", "2024-01-01", 1, 40)]
+    df = spark.createDataFrame(rows, "device_id string, date string, payload_ts int, v int")
+    newest = sinks.newest_payload(df)
+    assert sorted(r.v for r in newest.collect()) == [20, 30, 40]
+    path = str(tmp_path / "slots")
+    sinks.replace_dates(newest, path)
+    sinks.replace_dates(newest.where("device_id = 'a' and v = 20").withColumn("v", F.lit(99)), path)
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [30, 40, 99]
+
+
+def test_appended_rows_add_up(spark, tmp_path):
+    from fieldflow.streaming import ingest
+
+    df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "date string, v int")
+    for _ in range(2):
+        sinks.append_rows(df, str(tmp_path / "rows"), "date")
+        ingest.write_batch(df, str(tmp_path / "batches"), 7)
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "batches")).count() == 2

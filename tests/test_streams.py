@@ -1,10 +1,14 @@
 import json
+from collections import Counter
+import time
+from datetime import datetime
 
 from helpers import at, random_readings
 from pyspark.sql import functions as F
 
 from fieldflow.operators import clean
 from fieldflow.queries import QUERIES
+from fieldflow.queries.inputs import stored_rows
 from fieldflow.streaming import ingest, state
 
 
@@ -73,15 +77,16 @@ def test_routes_hold_every_message(spark, sf_dir):
 
 
 def test_stream_replaces_dates(spark, sf_dir):
-    before = QUERIES["schedule_report"](spark, sf_dir).groupBy("date").agg(F.sum("duration_min").alias("minutes")).collect()
-    three = {r.date for r in QUERIES["schedule_report"](spark, sf_dir).where("duration_min = 3").collect()}
+    rows = stored_rows(spark, sf_dir).collect()
+    three = {(r.device_id, r.date) for r in rows if r.duration_min == 3}
+    expected = Counter()
+    for r in rows:
+        if (r.device_id, r.date) not in three:
+            expected[r.date] += r.duration_min
+        elif r.duration_min == 3:
+            expected[r.date] += 6
     after = {r.date: r.minutes for r in QUERIES["stream_schedule_replace"](spark, sf_dir).collect()}
-    assert set(after) == {r.date for r in before} and three
-    for r in before:
-        if r.date not in three:
-            assert after[r.date] == r.minutes
-        else:
-            assert after[r.date] % 6 == 0
+    assert three and after == dict(expected)
 
 
 def test_ingest_query_drops_redelivered_messages(spark, sf_dir):
@@ -89,3 +94,19 @@ def test_ingest_query_drops_redelivered_messages(spark, sf_dir):
     accepted = QUERIES["telemetry_validate"](spark, sf_dir).where("reject_reason IS NULL").count()
     empty = rows["empty reading"] // 2
     assert rows["stored"] == accepted - empty
+
+
+def test_silence_is_noticed_without_a_later_message(spark, tmp_path):
+    rows = [("a", datetime(2024, 1, 1, 0, 0, 3), "online"), ("a", datetime(2024, 1, 1), "offline"), ("b", datetime(2024, 1, 1), "offline")]
+    spark.createDataFrame(rows, "device_id string, ts timestamp, status string").write.parquet(str(tmp_path / "in"))
+    stream = ingest.file_stream(spark, str(tmp_path / "in"), "device_id string, ts timestamp, status string")
+    writer = state.presence_stream(stream, 2.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.trigger(processingTime="1 second").start(str(tmp_path / "out"))
+    expected = {("a", rows[0][1], "online"), ("b", rows[2][1], "offline"), ("a", datetime(2024, 1, 1, 0, 0, 5), "offline")}
+    found, deadline = set(), time.time() + 90
+    while found != expected and time.time() < deadline:
+        time.sleep(1)
+        if (tmp_path / "out" / "_spark_metadata").exists():
+            found = {tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
+    query.stop()
+    assert found == expected
