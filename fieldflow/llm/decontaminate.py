@@ -6,9 +6,10 @@ pointer moves on. Stretches at a small edit distance give embeddings at a small
 made of a few sampled steps is often equal. ``WALKS`` walks with ``KEYS`` samples each repeat the draw
 until the target recall is met; every hit is then checked by its exact edit distance.
 
-Windows are sized to the item: half its words, rounded down to a power of two, at least 8, so that some
-window inside a changed item is hardly touched. A document's windows start at every ``STRIDE``-th word, an
-item's at every word, so each alignment is met by several windows. Only stretches around
+Windows are sized to the item: two thirds of its words, rounded down to one of ``STRIDES``' sizes, so that
+some window inside a changed item is hardly touched. A document's windows start at every second or fourth
+word, an item's at every word, so each alignment is met by several windows. Keys that sample fewer than
+``DISTINCT`` words of an item would meet in any prose and are not indexed. Only stretches around
 windows whose key belongs to an item leave the scan, with the words that the check needs.
 
 The benchmark is the query set: its keys go to the scan in blocks of at most ``BLOCK_KEYS`` numbers, one
@@ -38,9 +39,9 @@ from fieldflow.session import cut_lineage
 
 MIN_WORDS = 8
 MAX_EDITS = 0.2
-WALKS, KEYS, SAMPLES = 4, 4, 4
-SIZES = (8, 16, 32, 64)
-STRIDE = 4
+WALKS, KEYS, SAMPLES = 4, 6, 5
+DISTINCT = 4  # sampled words that a key needs to tell anything
+STRIDES = {8: 2, 16: 4, 32: 4}  # window size: every how many words one starts in a document
 BLOCK_KEYS = 4_000_000
 SEED = 20
 
@@ -71,56 +72,62 @@ def word_hashes(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, table[coded.indices.to_numpy()] if len(words) else table, row
 
 
-def _samples() -> dict[int, list[list[np.ndarray]]]:
-    """size -> walk -> key -> the sampled steps; only steps that a pointer reaches inside the window."""
+def _samples() -> dict[int, dict[int, list[tuple[int, np.uint64]]]]:
+    """size -> step -> the keys that sample it, with a factor each; only steps a pointer makes inside the window."""
     rng = np.random.default_rng(SEED)
-    return {
-        size: [[np.sort(rng.choice(size * 3 // 2, SAMPLES, replace=False)) for _ in range(KEYS)] for _ in range(WALKS)]
-        for size in SIZES
-    }
+    out: dict = {size: {} for size in STRIDES}
+    for size, at in out.items():
+        for key in range(WALKS * KEYS):
+            for step in rng.choice(size * 3 // 2, SAMPLES, replace=False).tolist():
+                factor = rng.integers(0, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                at.setdefault((key // KEYS, step), []).append((key, factor))
+    return out
 
 
 STEPS = _samples()
 
 
-def window_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes) -> dict[int, np.ndarray]:
-    """size -> array (walk and key, start) of 64-bit keys of the windows at ``starts``.
+def _moves(padded: np.ndarray, walk: int) -> np.ndarray:
+    """64 random bits of every word; a blank's are 0, so a pointer that reaches one stays."""
+    with np.errstate(over="ignore"):
+        mixed = (padded ^ np.uint64(0xD6E8FEB86659FD93 * (walk + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC4CEB9FE1A85EC53)
+        mixed ^= mixed >> np.uint64(29)
+    return np.where(padded == 0, np.uint64(0), mixed).view(np.int64)
+
+
+def window_keys(hashes: np.ndarray, row: np.ndarray, starts: np.ndarray, size: int, told: np.ndarray | None = None) -> np.ndarray:
+    """(key, start): signed 64-bit keys of the windows of ``size`` words at ``starts``.
 
-    A pointer that reaches its row's end stays on a blank.
+    A blank follows each row's words. ``told``, shaped like the keys, gets how many words each has sampled.
     """
-    out = {size: np.zeros((WALKS * KEYS, len(starts)), dtype=np.uint64) for size in sizes}
-    padded = np.append(hashes, np.uint64(0))
+    places = np.arange(len(hashes)) + row
+    padded = np.zeros(len(hashes) + (row[-1] if len(row) else 0) + 2, dtype=np.uint64)
+    padded[places] = hashes
+    out = np.zeros((WALKS * KEYS, len(starts)), dtype=np.uint64)
+    last = None if told is None else np.full(out.shape, -1)
     for walk in range(WALKS):
-        with np.errstate(over="ignore"):
-            turned = (padded ^ np.uint64(0xD6E8FEB86659FD93 * (walk + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
-            turned ^= turned >> np.uint64(32)
-            more = turned * np.uint64(0xC4CEB9FE1A85EC53)
-            more ^= more >> np.uint64(29)
-        at = starts.copy()
-        for step in range(max(sizes) * 3 // 2):
-            inside = at < ends
-            here = np.where(inside, at, len(hashes))
-            word = padded[here]
-            for size in sizes:
-                for k, steps in enumerate(STEPS[size][walk]):
-                    if step in steps:
-                        key = out[size][walk * KEYS + k]
-                        with np.errstate(over="ignore"):
-                            key ^= word + np.uint64(step + 1)
-                            key *= np.uint64(0x9E3779B97F4A7C15)
-                            key ^= key >> np.uint64(31)
-            source = turned if step < 64 else more
-            at += ((source[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64) * inside
-    for size in sizes:  # keys of different sizes, walks and samples are different keys
-        label = np.arange(WALKS * KEYS, dtype=np.uint64)[:, None] * np.uint64(1024) + np.uint64(size)
-        with np.errstate(over="ignore"):
-            out[size] = (out[size] ^ label) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return out
+        moves = _moves(padded, walk)
+        at = places[starts]
+        for step in range(size * 3 // 2):
+            if sampled := STEPS[size].get((walk, step)):
+                word = padded[at]
+                for key, factor in sampled:
+                    out[key] += word * factor
+                    if told is not None:
+                        told[key] += (at != last[key]) & (word != 0)
+                        last[key] = at
+            at += moves[at] >> (step % 64) & 1
+    out ^= np.arange(WALKS * KEYS, dtype=np.uint64)[:, None] * np.uint64(1024) + np.uint64(size)
+    out *= np.uint64(0xC2B2AE3D27D4EB4F)  # keys of other sizes and samples are other keys
+    out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
 def size_of(n_words: int) -> int:
     """The window size for an item."""
-    return max([s for s in SIZES if s <= max(n_words // 2, SIZES[0])])
+    return max(s for s in STRIDES if s <= max(n_words * 2 // 3, min(STRIDES)))
 
 
 _INDEX = "key long, item long, size int, at int"
@@ -147,11 +154,13 @@ def _item_keys(batches):
             if b - a < MIN_WORDS:
                 continue
             size = size_of(b - a)
-            starts = np.arange(a, b - size + 1)
-            keys = window_keys(hashes, starts, np.full(len(starts), b), [size])[size]
-            columns = [keys.ravel().view(np.int64), np.full(keys.size, item), np.full(keys.size, size, np.int32)]
-            columns.append(np.tile(starts - a, len(keys)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "item", "size", "at"])
+            starts = np.arange(b - a - size + 1)
+            told = np.zeros((WALKS * KEYS, len(starts)), dtype=np.int64)
+            keys = window_keys(hashes[a:b], np.zeros(b - a, dtype=np.int64), starts, size, told)
+            columns = [keys.ravel(), np.full(keys.size, item), np.full(keys.size, size, np.int32)]
+            columns.append(np.tile(starts, len(keys)).astype(np.int32))
+            made = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "item", "size", "at"])
+            yield made.filter(pa.array(told.ravel() >= DISTINCT))
 
 
 def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
@@ -162,29 +171,28 @@ def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
 
     def scan(batches):
         tail = np.zeros(1 << 22, dtype=bool)  # turns most windows away before the exact look-up
-        tail[keys.view(np.uint64) & np.uint64((1 << 22) - 1)] = True
+        low = (1 << 22) - 1
+        tail[keys & low] = True
         for batch in batches:
             text = pc.fill_null(batch.column(2).cast(pa.string()), "")
             for a, b in slices(text):
                 words, hashes, row = word_hashes(text.slice(a, b - a))
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
-                starts = np.flatnonzero((np.arange(len(row)) - bounds[row]) % STRIDE == 0)
-                if not len(starts):
-                    continue
-                ends = bounds[row[starts] + 1]
+                place = np.arange(len(row)) - bounds[row]
                 window, key = [], []
-                for made in window_keys(hashes, starts, ends, sizes).values():
-                    for own in made:
-                        likely = np.flatnonzero(tail[own & np.uint64((1 << 22) - 1)])
-                        signed = own[likely].view(np.int64)
-                        right = keys[np.minimum(np.searchsorted(keys, signed), len(keys) - 1)] == signed
-                        window.append(likely[right])
-                        key.append(signed[right])
+                for size in sizes:
+                    starts = np.flatnonzero(place % STRIDES[size] == 0)
+                    for own in window_keys(hashes, row, starts, size):
+                        likely = np.flatnonzero(tail[own & low])
+                        tried = own[likely]
+                        right = keys[np.minimum(np.searchsorted(keys, tried), len(keys) - 1)] == tried
+                        window.append(starts[likely[right]])
+                        key.append(tried[right])
                 window, key = np.concatenate(window), np.concatenate(key)
                 if not len(window):
                     continue
                 order = np.argsort(window, kind="stable")
-                at, key = starts[window[order]], key[order]
+                at, key = window[order], key[order]
                 lo = np.maximum(at - reach, bounds[row[at]])
                 hi = np.minimum(at + reach, bounds[row[at] + 1])
                 fresh = np.append(True, (row[at[1:]] != row[at[:-1]]) | (lo[1:] > hi[:-1]))

@@ -42,7 +42,7 @@ RATIOS = {
 }
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words n_lines word_chars n_symbols n_shouted n_dup_lines n_repeat_words".split()
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(text: pa.Array):

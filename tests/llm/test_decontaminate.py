@@ -90,7 +90,7 @@ def test_blocks_of_keys_change_nothing(spark, leaked, monkeypatch):
     items, rows, _ = leaked
     docs, items = messy_docs(spark, rows=rows[::3]), bench(spark, items)
     whole = rows_of(dec.leak_report(docs, items))
-    monkeypatch.setattr(dec, "BLOCK_KEYS", 7_000)
+    monkeypatch.setattr(dec, "BLOCK_KEYS", 20_000)
     assert rows_of(dec.leak_report(docs, items)) == whole
 
 
