@@ -36,7 +36,7 @@ MIN_GROUP = 50
 #: measure: (numerator, denominator, least spread)
 RATIOS = {
     "symbol_share": ("n_symbols", "word_chars", 0.02),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.06),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.15),
     "shout_share": ("n_shouted", "n_words", 0.06),
     "word_length": ("word_chars", "n_words", 1.0),
 }
