@@ -123,6 +123,43 @@ def schedule_document(spark, d):
     return planning.schedule_documents(plans(spark, d), F.lit(NOW).cast("timestamp"))
 
 
+def placed_documents(spark, d):
+    return planning.schedule_documents(
+        plans(spark, d),
+        F.lit(NOW).cast("timestamp"),
+        location={"lat": 10.5, "lon": 106.25, "timezone": K.SITE_TZ},
+        sources={"sensor": "events", "weather": "events"},
+    )
+
+
+@query(
+    "device_id:s date:s season:s horizon_group:s rain_mm:d soil_moist_ref:d total_irrigation_min:i note:s",
+    "SELECT device_id, date, season, horizon_group, round(rain_mm, 2) AS rain_mm, round(soil_moist_ref, 2) AS soil_moist_ref, total_min AS total_irrigation_min, note FROM noted",
+    "sensor weather plan",
+)
+def document_days(spark, d):
+    """The day details, read back from the documents."""
+    parsed = placed_documents(spark, d).select("device_id", F.from_json("document", schemas.SCHEDULE_JSON).alias("doc"))
+    return parsed.select("device_id", F.explode("doc.days_detail").alias("day")).select("device_id", "day.*")
+
+
+@query(
+    "device_id:s lat:d lon:d timezone:s source_sensor:s source_weather:s days:i mode:s first_note:s irrigation_min_7d:i slots:i",
+    f"""SELECT device_id, 10.5e0 AS lat, 106.25e0 AS lon, '{K.SITE_TZ}' AS timezone, 'events' AS source_sensor, 'events' AS source_weather, count(*) AS days,
+      'scheduler_rule_based_v1' AS mode, coalesce(string_agg(note, ' | ' ORDER BY date) FILTER (horizon_group = 'd1_2'), '') AS first_note,
+      sum(total_min) AS irrigation_min_7d, (SELECT count(*) FROM slots s WHERE s.device_id = n.device_id) AS slots FROM noted n GROUP BY device_id""",
+    "sensor weather plan",
+)
+def document_heads(spark, d):
+    """Place, sources, summary and balance, read back from the documents."""
+    read = "location struct<lat: double, lon: double, timezone: string>, meta struct<days: int, source_sensor: string, source_weather: string>, " + schemas.SCHEDULE_JSON
+    doc = placed_documents(spark, d).select("device_id", F.from_json("document", read).alias("doc"))
+    return doc.select(
+        "device_id", "doc.location.*", "doc.meta.*", "doc.mode", F.col("doc.summary.horizon_1_2_days").alias("first_note"),
+        "doc.water_balance.irrigation_min_7d", F.size("doc.slots").alias("slots"),
+    )
+
+
 @query(
     "device_id:s start_ts:t end_ts:t duration_min:i rain_mm_day:d soil_moist_ref:d date:s horizon_group:s season:s forecast_trigger_ts:t",
     "SELECT *, start_ts - INTERVAL 10 MINUTE AS forecast_trigger_ts FROM slots",

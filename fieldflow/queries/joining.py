@@ -374,6 +374,33 @@ def wide_matrix(spark, d):
     return features.training_matrix(built, features.feature_names("wide", built.columns), "rain_next_60")
 
 
+def _frame_sql(c: str, k: int, function: str) -> str:
+    return f"CASE WHEN row_number() OVER w >= {k} THEN {function}({c}) OVER (PARTITION BY device_id ORDER BY ts ROWS {k - 1} PRECEDING) END"
+
+
+EXPANDED = {
+    f"{c}_{name}": sql
+    for c in K.BASE_COLUMNS
+    for name, sql in [
+        *[(f"lag{k}", f"lag({c}, {k}) OVER w") for k in features.PRO_LAGS],
+        *[(f"mean{k}", _frame_sql(c, k, "avg")) for k in features.PRO_FRAMES],
+        *[(f"std{k}", _frame_sql(c, k, "stddev_samp")) for k in features.PRO_FRAMES],
+        ("d30", f"{c} - lag({c}, 6) OVER w"),
+        ("d60", f"{c} - lag({c}, 12) OVER w"),
+    ]
+}
+
+
+@query(
+    _columns(EXPANDED),
+    f"SELECT device_id, ts, {', '.join(f'{sql} AS {n}' for n, sql in EXPANDED.items())} FROM sensor WINDOW w AS (PARTITION BY device_id ORDER BY ts)",
+    "sensor",
+)
+def wide_columns(spark, d):
+    """Every lag, mean, deviation and delta of the long feature set."""
+    return features.wide_features(number_rows(adapter.sensor_reading(spark, d)))
+
+
 @query(
     "device_id:s ts:t dew_point_c:d",
     "SELECT device_id, ts, 237.7e0 * g / (17.27e0 - g) AS dew_point_c FROM (SELECT device_id, ts, 17.27e0 * temp_c / (237.7e0 + temp_c) + ln(greatest(rh_pct, 1e-3) / 100e0) AS g FROM sensor)",
