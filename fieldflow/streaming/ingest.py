@@ -75,6 +75,7 @@ def ingest(messages: DataFrame, table: str, rejects: str, checkpoint: str, late:
     """Store accepted readings once per (device, ts) and rejected messages with their reason.
 
     Re-delivered messages are dropped while they are within the lateness; the batch merge removes later ones.
+    A rejected message is stored once per delivery: it has no valid time that could bound a memory of it.
     """
     parsed = parse_telemetry(messages)
     unique = accepted(parsed, site_tz).withWatermark("ts", late).dropDuplicatesWithinWatermark(["device_id", "ts"])
