@@ -73,7 +73,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """The documents that hold benchmark items; clean documents have no row."""
+    report = decontaminate.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items")
+    return report.where("contaminated").select("doc_id", "contaminated", "n_items", items, "least_edits")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from fieldflow.llm import frames
 
 DATE = "2024-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<!?/?[a-zA-Z!][^>]*>")
+# Inside a tag no pattern passes a "<", so marks that never close cost no more than their length.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|title|blockquote|pre)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<!?/?[a-zA-Z!][^<>]*>")
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
-_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^<>]*?\b(href|src)\s*=\s*(\"[^\"<>]*\"|'[^'<>]*'|[^\s<>]+)", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>", re.I)
+_TITLE_END = re.compile(r"</title|\Z", re.I)
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 
 
 def digest(block: bytes) -> str:
@@ -54,6 +56,12 @@ def plain_text(markup: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def title_of(markup: str) -> str | None:
+    """The first title's text; null without one."""
+    start = _TITLE.search(markup)
+    return entities.unescape(markup[start.end() : _TITLE_END.search(markup, start.end()).start()]).strip() if start else None
+
+
 def links_of(markup: str) -> list[dict]:
     """Tag, attribute and address of every link, in order."""
     found = _LINK.findall(_HIDDEN.sub(lambda m: m[0][: m[0].find(">") + 1] if m[1] else "", markup))
@@ -110,7 +118,7 @@ def _derive(batches):
         for key, uri, date, http, payload in zip(*(c.to_pylist() for c in batch.columns)):
             whole = digest(payload.encode())
             refers = response_id(key, uri, whole)
-            title, lang = _TITLE.search(payload), _LANG.search(payload)
+            lang = _LANG.search(payload)
             about = {
                 "envelope": {
                     "refers-to": refers,
@@ -123,7 +131,7 @@ def _derive(batches):
                     "http-status": int(http.split(" ")[1]),
                 },
                 "html": {
-                    "title": entities.unescape(title[1]).strip() if title else None,
+                    "title": title_of(payload),
                     "lang": lang[1] if lang else None,
                     "links": links_of(payload),
                 },

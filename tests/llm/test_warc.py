@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def test_text_and_links():
     assert warc.plain_text("a<script>x") == "a" and warc.plain_text("1 < 2 & 3 > 2") == "1 < 2 & 3 > 2"
 
 
+def test_marks_that_never_close_cost_no_more_than_their_length():
+    for mark in ("<a", "<script", "<title>", "<!--", "<a href='", "<html lang", "</"):
+        start = time.thread_time()
+        warc.plain_text(mark * 50_000)
+        warc.links_of(mark * 50_000)
+        warc.title_of(mark * 50_000)
+        assert time.thread_time() - start < 10
+
+
 def test_records_are_linked_and_digested(spark):
     meta, text = sorted(made(spark, [(1, "http://x/y", PAGE)]), key=lambda r: r.record_type, reverse=True)
     assert (meta.record_type, text.record_type) == ("metadata", "conversion")
