@@ -56,11 +56,16 @@ def _slot(date: Column, hour: int, minutes: int, device: Column) -> Column:
     )
 
 
+def upcoming_days(forecast: DataFrame, today: Column, days: int = 7) -> DataFrame:
+    """The forecast days from ``today`` on, at most ``days`` of them: what a plan is made for, whatever history there is."""
+    return forecast.where((F.col("date") >= today) & (F.col("date") < F.date_add(today, days)))
+
+
 def build_day_plans(forecast: DataFrame, soil: DataFrame) -> DataFrame:
     """One plan row per device and forecast day.
 
     Every device of ``soil`` gets every forecast day (the day list is one short array, one entry per
-    forecast day); a day without soil reference takes 35 %. Rules, in order: heavy rain that is likely
+    forecast day: narrow a long forecast by ``upcoming_days``); a day without soil reference takes 35 %. Rules, in order: heavy rain that is likely
     and not fog -> nothing; medium rain and not fog -> one minute at 07 h if critically dry; otherwise
     critically dry -> three minutes at 07 and 17 h, below ok -> two minutes at 07 h, else nothing.
     """
@@ -146,8 +151,11 @@ def daily_minutes(plans: DataFrame) -> DataFrame:
     )
 
 
-def water_balance(plans: DataFrame) -> DataFrame:
-    """Rain plus irrigation of a plan against the target of its first day's season."""
+def water_balance(plans: DataFrame, days: int | None = None) -> DataFrame:
+    """Rain plus irrigation of a plan, or of its first ``days`` days, against the target of its first day's season."""
+    if days:
+        place = F.row_number().over(Window.partitionBy("device_id").orderBy("date"))
+        plans = plans.withColumn("_place", place).where(F.col("_place") <= days).drop("_place")
     sums = plans.groupBy("device_id").agg(
         F.sum("rain_mm").alias("rain"),
         F.sum(_minutes()).alias("min"),

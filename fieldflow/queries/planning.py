@@ -13,6 +13,7 @@ from fieldflow.plans import planning, schedule
 from fieldflow.queries.inputs import (
     audit,
     decided_slots,
+    plan_date,
     plans,
     pump_messages,
     score,
@@ -92,6 +93,34 @@ def season_config(spark, d):
     return plans(spark, d)
 
 
+@query(
+    "device_id:s rain_mm_7d:d irrigation_min_7d:d irrigation_mm_7d:d target_mm_7d:d total_mm_7d:d status:s comment:s",
+    f"""WITH s AS (SELECT device_id, sum(rain_mm) AS rain, sum(total_min) AS mins, arg_min(target_mm_7d, date) AS target FROM (SELECT * FROM plan QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY date) <= 7) GROUP BY 1),
+    t AS (SELECT *, rain + mins * 0.4e0 AS total FROM s),
+    v AS (SELECT *, CASE WHEN total < 0.8e0 * target THEN 'deficit' WHEN total > 1.2e0 * target THEN 'excess' ELSE 'ok' END AS status FROM t)
+    SELECT device_id, round(rain, 2) AS rain_mm_7d, mins AS irrigation_min_7d, round(mins * 0.4e0, 2) AS irrigation_mm_7d, target AS target_mm_7d,
+      round(total, 2) AS total_mm_7d, status, CASE status WHEN 'deficit' THEN '{K.BALANCE_COMMENTS["deficit"]}' WHEN 'excess' THEN '{K.BALANCE_COMMENTS["excess"]}' ELSE '{K.BALANCE_COMMENTS["ok"]}' END AS comment FROM v""",
+    PLAN,
+)
+def water_balance_week(spark, d):
+    """Only the plan's first seven days count."""
+    return planning.water_balance(plans(spark, d), 7)
+
+
+@query(
+    "device_id:s date:s rain_mm:d branch:s",
+    "SELECT device_id, date, rain_mm, branch FROM noted WHERE CAST(date AS DATE) >= DATE '2024-04-01' AND CAST(date AS DATE) < DATE '2024-09-01'",
+    PLAN,
+)
+def horizon_plan(spark, d):
+    """Plans for a stretch of days cut from a longer forecast."""
+    day = plan_date("ts")
+    forecast = planning.daily_forecast(adapter.weather_hour(spark, d)).withColumn("date", plan_date("date"))
+    soil = adapter.sensor_reading(spark, d).groupBy("device_id", day.alias("date")).agg(F.avg("soil_moist_pct").alias("soil_moist_mean"))
+    first = F.lit("2024-04-01").cast("date")
+    return planning.build_day_plans(planning.upcoming_days(forecast, first, 153), soil)
+
+
 @query(
     "device_id:s rain_mm_7d:d irrigation_min_7d:d irrigation_mm_7d:d target_mm_7d:d total_mm_7d:d status:s comment:s",
     f"""WITH s AS (SELECT device_id, sum(rain_mm) AS rain, sum(total_min) AS mins, arg_min(target_mm_7d, date) AS target FROM plan GROUP BY 1),
