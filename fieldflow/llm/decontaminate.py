@@ -25,6 +25,9 @@ through.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,32 +100,37 @@ def _moves(padded: np.ndarray, walk: int) -> np.ndarray:
     return np.where(padded == 0, np.uint64(0), mixed).view(np.int64)
 
 
-def window_keys(hashes: np.ndarray, row: np.ndarray, starts: np.ndarray, size: int, told: np.ndarray | None = None) -> np.ndarray:
-    """(key, start): signed 64-bit keys of the windows of ``size`` words at ``starts``.
+def window_keys(
+    hashes: np.ndarray, row: np.ndarray, starts: np.ndarray, sizes: list[int], told: np.ndarray | None = None
+) -> list[np.ndarray]:
+    """For each size (key, start): signed 64-bit keys of the windows of that many words at ``starts``.
 
-    A blank follows each row's words. ``told``, shaped like the keys, gets how many words each has sampled.
+    The sizes share their walks. A blank follows each row's words. ``told``, shaped like the keys of the
+    only size, gets how many words each has sampled.
     """
     places = np.arange(len(hashes)) + row
     padded = np.zeros(len(hashes) + (row[-1] if len(row) else 0) + 2, dtype=np.uint64)
     padded[places] = hashes
-    out = np.zeros((WALKS * KEYS, len(starts)), dtype=np.uint64)
-    last = None if told is None else np.full(out.shape, -1)
+    out = [np.zeros((WALKS * KEYS, len(starts)), dtype=np.uint64) for _ in sizes]
+    last = None if told is None else np.full(told.shape, -1)
     for walk in range(WALKS):
         moves = _moves(padded, walk)
         at = places[starts]
-        for step in range(size * 3 // 2):
-            if sampled := STEPS[size].get((walk, step)):
-                word = padded[at]
-                for key, factor in sampled:
-                    out[key] += word * factor
+        for step in range(max(sizes) * 3 // 2):
+            word = None
+            for size, keys in zip(sizes, out):
+                for key, factor in STEPS[size].get((walk, step), ()):
+                    word = padded[at] if word is None else word
+                    keys[key] += word * factor
                     if told is not None:
                         told[key] += (at != last[key]) & (word != 0)
                         last[key] = at
             at += moves[at] >> (step % 64) & 1
-    out ^= np.arange(WALKS * KEYS, dtype=np.uint64)[:, None] * np.uint64(1024) + np.uint64(size)
-    out *= np.uint64(0xC2B2AE3D27D4EB4F)  # keys of other sizes and samples are other keys
-    out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+    for size, keys in zip(sizes, out):
+        keys ^= np.arange(WALKS * KEYS, dtype=np.uint64)[:, None] * np.uint64(1024) + np.uint64(size)
+        keys *= np.uint64(0xC2B2AE3D27D4EB4F)  # keys of other sizes and samples are other keys
+        keys ^= keys >> np.uint64(32)
+    return [keys.view(np.int64) for keys in out]
 
 
 def size_of(n_words: int) -> int:
@@ -156,7 +164,7 @@ def _item_keys(batches):
             size = size_of(b - a)
             starts = np.arange(b - a - size + 1)
             told = np.zeros((WALKS * KEYS, len(starts)), dtype=np.int64)
-            keys = window_keys(hashes[a:b], np.zeros(b - a, dtype=np.int64), starts, size, told)
+            (keys,) = window_keys(hashes[a:b], np.zeros(b - a, dtype=np.int64), starts, [size], told)
             columns = [keys.ravel(), np.full(keys.size, item), np.full(keys.size, size, np.int32)]
             columns.append(np.tile(starts, len(keys)).astype(np.int32))
             made = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "item", "size", "at"])
@@ -180,9 +188,10 @@ def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
                 place = np.arange(len(row)) - bounds[row]
                 window, key = [], []
-                for size in sizes:
-                    starts = np.flatnonzero(place % STRIDES[size] == 0)
-                    for own in window_keys(hashes, row, starts, size):
+                for stride in sorted({STRIDES[size] for size in sizes}):
+                    starts = np.flatnonzero(place % stride == 0)
+                    alike = [size for size in sizes if STRIDES[size] == stride]
+                    for own in chain.from_iterable(window_keys(hashes, row, starts, alike)):
                         likely = np.flatnonzero(tail[own & low])
                         tried = own[likely]
                         right = keys[np.minimum(np.searchsorted(keys, tried), len(keys) - 1)] == tried
@@ -216,8 +225,14 @@ def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
     return scan
 
 
-def least_edits(item: list[str], near: list[str]) -> int:
-    """The least edit distance, in words, of ``item`` to any stretch of ``near``."""
+def least_edits(item: list[str], near: list[str], most: float = float("inf")) -> int:
+    """The least edit distance, in words, of ``item`` to any stretch of ``near``.
+
+    Where more than ``most`` words of the item are not in ``near`` at all, their number, a lower bound.
+    """
+    missing = sum((Counter(item) - Counter(near)).values())
+    if missing > most:
+        return missing
     codes = {w: i for i, w in enumerate(dict.fromkeys(item))}
     a = np.array([codes[w] for w in item])
     b = np.array([codes.get(w, -1) for w in near])
@@ -230,8 +245,9 @@ def least_edits(item: list[str], near: list[str]) -> int:
 
 
 @F.arrow_udf(T.LongType())
-def edits(item: pa.Array, near: pa.Array) -> pa.Array:
-    return pa.array([least_edits(a, b) for a, b in zip(item.to_pylist(), near.to_pylist())], pa.int64())
+def edits(item: pa.Array, near: pa.Array, most: pa.Array) -> pa.Array:
+    rows = zip(item.to_pylist(), near.to_pylist(), most.to_pylist())
+    return pa.array([least_edits(a, b, m) for a, b, m in rows], pa.int64())
 
 
 def _digest() -> F.Column:
@@ -271,7 +287,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
     slack = F.floor(F.size("words") * F.lit(max_edits)).cast("int")
     begin = F.greatest(F.col("begin") - F.col("lo") - slack, F.lit(0))
     stretch = F.slice("near", begin + 1, F.size("words") + 2 * slack)
-    checked = joined.select("doc_id", "digest", "item_id", slack.alias("slack"), edits("words", stretch).alias("n_edits"))
+    checked = joined.select("doc_id", "digest", "item_id", slack.alias("slack"), edits("words", stretch, slack).alias("n_edits"))
     right = checked.where(F.col("n_edits") <= F.col("slack"))
     return right.groupBy("doc_id", "digest", "item_id").agg(F.min("n_edits").alias("n_edits"))
 

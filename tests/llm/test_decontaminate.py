@@ -48,7 +48,10 @@ def test_edit_distance_against_the_full_table():
     for _ in range(200):
         item = sentence(rng, rng.randrange(4, 12))
         near = sentence(rng, rng.randrange(0, 15)) + changed(rng, item, rng.randrange(0, 4)) + sentence(rng, 3)
-        assert dec.least_edits(item, near) == distance(item, near)
+        exact = distance(item, near)
+        assert dec.least_edits(item, near) == exact
+        for most in range(4):
+            assert dec.least_edits(item, near, most) == exact or most < dec.least_edits(item, near, most) <= exact
     assert dec.least_edits(["a", "b"], []) == 2
 
 
