@@ -25,7 +25,7 @@ from fieldflow.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 BROADCAST_ROWS = 50_000  # of four numbers and a source name each
 BITS = 24  # expected copies are whole numbers of 2^-24, so prefix sums are exact
 
