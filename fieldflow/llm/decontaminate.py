@@ -230,6 +230,8 @@ def least_edits(item: list[str], near: list[str], most: float = float("inf")) ->
 
     Where more than ``most`` words of the item are not in ``near`` at all, their number, a lower bound.
     """
+    if any(near[i : i + len(item)] == item for i, w in enumerate(near) if w == item[0]):
+        return 0
     missing = sum((Counter(item) - Counter(near)).values())
     if missing > most:
         return missing
