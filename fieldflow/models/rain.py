@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark import SparkContext
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -16,6 +17,9 @@ from fieldflow.operators import evaluate as E
 
 CLASSIFIER = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 REGRESSOR = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+# Rounds without a lower validation loss after which boosting counts as ended.
+CLASSIFIER_PATIENCE = 50
+REGRESSOR_PATIENCE = 80
 
 
 def add_class_weight(matrix: DataFrame, target: str = "rain_next_60", conservative: bool = True) -> DataFrame:
@@ -25,23 +29,73 @@ def add_class_weight(matrix: DataFrame, target: str = "rain_next_60", conservati
     return matrix.withColumn("weight", F.when(F.col(target) == 1, weight).otherwise(F.lit(1.0)))
 
 
+def best_round(losses: list[float], patience: int) -> int:
+    """Rounds to keep: up to the lowest loss seen before ``patience`` rounds in a row bring no lower one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_rounds(model, n: int):
+    """The fitted trees of the first ``n`` rounds as a model with the same parameters."""
+    java = model._java_obj
+    gateway, jvm = SparkContext._gateway, SparkContext._active_spark_context._jvm
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n])):
+        trees[i], weights[i] = tree, weight
+    # The number of features goes along, so that importances keep one entry per feature.
+    if isinstance(model, GBTClassificationModel):
+        cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses())
+    else:
+        cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    return model._copyValues(type(model)(cut))
+
+
+def _fit_with_patience(booster, rows: DataFrame, names: list[str], patience: int) -> PipelineModel:
+    """Boosting on the training rows up to the round that stopping with ``patience`` on the validation rows keeps.
+
+    Spark's own rule has no patience, so rounds are fitted without one, at first as many as a stop needs, then
+    four times as many, up to ``maxIter``, until the losses show the stop. A seeded fit only appends trees, so
+    the trees kept are those of a whole fit. Without validation rows all rounds stay.
+    """
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    assembled = assembler.transform(rows)
+    train, held = assembled.where("split = 'train'"), assembled.where("split = 'validation'")
+    rounds = booster.getMaxIter()
+    if held.isEmpty():
+        return PipelineModel([assembler, booster.fit(train)])
+    fitted = min(patience + 1, rounds)
+    while True:
+        model = booster.copy({booster.maxIter: fitted}).fit(train)
+        classifies = isinstance(model, GBTClassificationModel)
+        losses = model.evaluateEachIteration(held) if classifies else model.evaluateEachIteration(held, "squared")
+        kept = best_round(losses, patience)
+        if fitted == rounds or fitted - kept >= patience:
+            return PipelineModel([assembler, first_rounds(model, kept)])
+        fitted = min(4 * fitted, rounds)
+
+
 def train_classifier(matrix: DataFrame, names: list[str], target: str = "rain_next_60", rounds: int = 200, **params) -> PipelineModel:
-    """``matrix`` holds the features, the target and ``split``; validation rows stop the rounds early."""
-    weighted = add_class_weight(matrix, target).withColumn("held_out", F.col("split") == "validation")
-    booster = GBTClassifier(
-        labelCol=target, weightCol="weight", validationIndicatorCol="held_out", maxIter=rounds, **{**CLASSIFIER, **params}
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), booster]).fit(weighted)
+    """``matrix`` holds the features, the target and ``split``; validation rows tell which rounds are kept."""
+    booster = GBTClassifier(labelCol=target, weightCol="weight", maxIter=rounds, **{**CLASSIFIER, **params})
+    return _fit_with_patience(booster, add_class_weight(matrix, target), names, CLASSIFIER_PATIENCE)
 
 
 def train_regressor(
     matrix: DataFrame, names: list[str], target: str = "rain_amount_next_60_mm", rounds: int = 800, **params
 ) -> PipelineModel:
-    clipped = matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0))).withColumn(
-        "held_out", F.col("split") == "validation"
-    )
-    booster = GBTRegressor(labelCol=target, validationIndicatorCol="held_out", maxIter=rounds, **{**REGRESSOR, **params})
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), booster]).fit(clipped)
+    clipped = matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0)))
+    booster = GBTRegressor(labelCol=target, maxIter=rounds, **{**REGRESSOR, **params})
+    return _fit_with_patience(booster, clipped, names, REGRESSOR_PATIENCE)
+
+
+def trees_kept(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
 
 
 def score_rain(model: PipelineModel, features: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -91,7 +145,9 @@ def feature_importance(model: PipelineModel, names: list[str], top: int = 20) ->
     return SparkSession.active().createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain")).limit(top)
 
 
-def classifier_card(scored: DataFrame, names: list[str], target: str = "rain_next_60", params: dict | None = None) -> DataFrame:
+def classifier_card(
+    scored: DataFrame, names: list[str], target: str = "rain_next_60", params: dict | None = None, n_trees: int | None = None
+) -> DataFrame:
     """One row of metadata: features, settings, best threshold, validation metrics and counts.
 
     ``scored`` holds ``p``, the target and ``split`` for all rows.
@@ -107,6 +163,7 @@ def classifier_card(scored: DataFrame, names: list[str], target: str = "rain_nex
     ).select(
         F.lit(json.dumps(names)).alias("features"),
         F.lit(json.dumps(params or CLASSIFIER)).alias("hyperparameters"),
+        F.lit(n_trees).cast("int").alias("n_trees"),
         best.select("threshold").scalar().alias("threshold_default"),
         E.auc_roc(held).select("auc_roc").scalar().alias("auc_roc"),
         E.average_precision(held).select("average_precision").scalar().alias("pr_auc"),
@@ -118,7 +175,9 @@ def classifier_card(scored: DataFrame, names: list[str], target: str = "rain_nex
     )
 
 
-def regressor_card(scored: DataFrame, names: list[str], target: str = "rain_amount_next_60_mm", params: dict | None = None) -> DataFrame:
+def regressor_card(
+    scored: DataFrame, names: list[str], target: str = "rain_amount_next_60_mm", params: dict | None = None, n_trees: int | None = None
+) -> DataFrame:
     held = scored.where("split = 'validation'").select(F.col(target).alias("actual"), "predicted")
     metrics = E.regression_metrics(held)
     return scored.agg(
@@ -130,6 +189,7 @@ def regressor_card(scored: DataFrame, names: list[str], target: str = "rain_amou
     ).select(
         F.lit(json.dumps(names)).alias("features"),
         F.lit(json.dumps(params or REGRESSOR)).alias("hyperparameters"),
+        F.lit(n_trees).cast("int").alias("n_trees"),
         *[metrics.select(c).scalar().alias(c) for c in ("mae", "rmse", "r2")],
         "n_samples",
         "n_train",

@@ -366,20 +366,21 @@ def feature_importance(spark, d):
 
 
 @query(
-    "features:s hyperparameters:s threshold_default:d auc_roc:d pr_auc:d precision:d recall:d f1:d n_samples:i n_train:i n_val:i positive_rate:d"
+    "features:s hyperparameters:s n_trees:i threshold_default:d auc_roc:d pr_auc:d precision:d recall:d f1:d n_samples:i n_train:i n_val:i positive_rate:d"
 )
 def model_card(spark, d):
-    _, scores = _scores(spark, d)
-    return rain.classifier_card(scores, K.FEATURE_NAMES)
+    model, scores = _scores(spark, d)
+    return rain.classifier_card(scores, K.FEATURE_NAMES, n_trees=rain.trees_kept(model))
 
 
 def _amount_card(spark, d):
     matrix = model_matrix(spark, d)
     model = rain.train_regressor(matrix, K.FEATURE_NAMES)
-    return rain.regressor_card(cut_lineage(rain.score_amount(model, matrix), "amounts"), K.FEATURE_NAMES)
+    scores = cut_lineage(rain.score_amount(model, matrix), "amounts")
+    return rain.regressor_card(scores, K.FEATURE_NAMES, n_trees=rain.trees_kept(model))
 
 
-@query("features:s hyperparameters:s mae:d rmse:d r2:d n_samples:i n_train:i n_val:i target_mean:d target_max:d")
+@query("features:s hyperparameters:s n_trees:i mae:d rmse:d r2:d n_samples:i n_train:i n_val:i target_mean:d target_max:d")
 def amount_model_card(spark, d):
     return _amount_card(spark, d)
 

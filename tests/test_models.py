@@ -35,3 +35,31 @@ def test_regressor_is_never_negative(spark, matrix):
 def test_positive_weight(spark, matrix):
     weights = {r.rain_next_60: r.weight for r in rain.add_class_weight(matrix).select("rain_next_60", "weight").distinct().collect()}
     assert weights[0] == 1.0 and weights[1] >= 8.5
+
+
+def test_rounds_end_by_patience_and_not_at_the_first_small_gain():
+    assert rain.best_round([5.0, 4.99, 4.985, 4.99, 4.98, 6.0], patience=3) == 5
+    assert rain.best_round([5.0, 6.0, 6.0, 6.0, 1.0], patience=3) == 1
+    assert rain.best_round([3.0, 2.0, 1.0], patience=50) == 3
+
+
+def test_small_gains_do_not_end_a_fit(spark):
+    rows = spark.range(600).select(
+        (F.col("id") % 20).cast("double").alias("x"),
+        F.col("id").cast("double").alias("z"),
+        F.when(F.col("id") % 7 == 0, "validation").otherwise("train").alias("split"),
+    ).withColumn("rain_amount_next_60_mm", F.col("x") * F.col("x") / 40)
+    rows = spark.createDataFrame(rows.collect(), rows.schema).coalesce(1)
+    long = rain.train_regressor(rows, ["x", "z"], rounds=12, stepSize=0.001, maxDepth=2)
+    assert rain.trees_kept(long) == 12  # each round gains less than 1 %
+    short = rain.train_regressor(rows, ["x", "z"], rounds=4, stepSize=0.001, maxDepth=2)
+    cut = rain.first_rounds(long.stages[-1], 4)
+    assert [t.toDebugString.split("\n", 1)[1] for t in cut.trees] == [t.toDebugString.split("\n", 1)[1] for t in short.stages[-1].trees]
+    assert cut.treeWeights == short.stages[-1].treeWeights and cut.getMaxIter() == 12
+    assert len(cut.featureImportances) == 2
+
+
+def test_cards_tell_the_trees_kept(spark, matrix):
+    model = rain.train_regressor(matrix, K.FEATURE_NAMES, rounds=3, maxDepth=3)
+    card = rain.regressor_card(rain.score_amount(model, matrix), K.FEATURE_NAMES, n_trees=rain.trees_kept(model)).first()
+    assert 1 <= card.n_trees == model.stages[-1].getNumTrees <= 3
