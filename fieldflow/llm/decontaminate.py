@@ -8,10 +8,14 @@ until the target recall is met; every hit is then checked by its exact edit dist
 
 Windows are sized to the item: two thirds of its words, rounded down to one of ``STRIDES``' sizes, so that
 some window inside a changed item is hardly touched. A document's windows start at every second or fourth
-word, an item's at every word, so each alignment is met by several windows. Keys that sample fewer than
-``DISTINCT`` words of an item would meet in any prose and are not indexed. Only stretches around
+word, an item's at every word, so each alignment of a long item is met by several windows. Keys that sample
+fewer than ``DISTINCT`` words of an item would meet in any prose and are not indexed. Only stretches around
 windows whose key belongs to an item leave the scan, with the words that the check needs.
 
+Items of fewer than ``SHORT`` words have too few windows for that. They are also met by each run of ``RUN``
+equal words, looked up at every word. One edit in 8 or 9 words or two in 12 to 14 always leave such a run, and
+so do two in 10 or 11 words, but where they cut the item in parts of at most three words.
+
 The benchmark is the query set: its keys go to the scan in blocks of at most ``BLOCK_KEYS`` numbers, one
 scan per block, so what is sent is bounded whatever the benchmark's size.
 
@@ -46,6 +50,7 @@ WALKS, KEYS, SAMPLES = 4, 6, 5
 DISTINCT = 4  # sampled words that a key needs to tell anything
 STRIDES = {8: 2, 16: 4, 32: 4}  # window size: every how many words one starts in a document
 BLOCK_KEYS = 4_000_000
+RUN, SHORT = 4, 15  # items of fewer than SHORT words are also met by runs of RUN equal words
 SEED = 20
 
 _WORD_BYTES = np.full(256, 32, dtype=np.uint8)  # everything but letters, digits and non-ASCII is white
@@ -133,6 +138,17 @@ def window_keys(
     return [keys.view(np.int64) for keys in out]
 
 
+def run_keys(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit keys of all runs of ``RUN`` words in a row, and where they start."""
+    n = max(0, len(hashes) - RUN + 1)
+    starts = np.flatnonzero(row[:n] == row[len(row) - n :])
+    keys = np.full(len(starts), RUN, dtype=np.uint64)
+    for k in range(RUN):
+        keys = (keys ^ hashes[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64), starts
+
+
 def size_of(n_words: int) -> int:
     """The window size for an item."""
     return max(s for s in STRIDES if s <= max(n_words * 2 // 3, min(STRIDES)))
@@ -167,8 +183,13 @@ def _item_keys(batches):
             (keys,) = window_keys(hashes[a:b], np.zeros(b - a, dtype=np.int64), starts, [size], told)
             columns = [keys.ravel(), np.full(keys.size, item), np.full(keys.size, size, np.int32)]
             columns.append(np.tile(starts, len(keys)).astype(np.int32))
-            made = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "item", "size", "at"])
+            names = ["key", "item", "size", "at"]
+            made = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
             yield made.filter(pa.array(told.ravel() >= DISTINCT))
+            if b - a < SHORT:
+                keys, starts = run_keys(hashes[a:b], np.zeros(b - a, dtype=np.int64))
+                columns = [keys, np.full(len(keys), item), np.full(len(keys), RUN, np.int32), starts.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
@@ -188,15 +209,21 @@ def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
                 place = np.arange(len(row)) - bounds[row]
                 window, key = [], []
-                for stride in sorted({STRIDES[size] for size in sizes}):
+
+                def look_up(own, starts):
+                    likely = np.flatnonzero(tail[own & low])
+                    tried = own[likely]
+                    right = keys[np.minimum(np.searchsorted(keys, tried), len(keys) - 1)] == tried
+                    window.append(starts[likely[right]])
+                    key.append(tried[right])
+
+                if RUN in sizes:
+                    look_up(*run_keys(hashes, row))
+                for stride in sorted({STRIDES[size] for size in sizes if size != RUN}):
                     starts = np.flatnonzero(place % stride == 0)
-                    alike = [size for size in sizes if STRIDES[size] == stride]
+                    alike = [size for size in sizes if size != RUN and STRIDES[size] == stride]
                     for own in chain.from_iterable(window_keys(hashes, row, starts, alike)):
-                        likely = np.flatnonzero(tail[own & low])
-                        tried = own[likely]
-                        right = keys[np.minimum(np.searchsorted(keys, tried), len(keys) - 1)] == tried
-                        window.append(starts[likely[right]])
-                        key.append(tried[right])
+                        look_up(own, starts)
                 window, key = np.concatenate(window), np.concatenate(key)
                 if not len(window):
                     continue
@@ -252,6 +279,19 @@ def edits(item: pa.Array, near: pa.Array, most: pa.Array) -> pa.Array:
     return pa.array([least_edits(a, b, m) for a, b, m in rows], pa.int64())
 
 
+def _word_counts(batches):
+    for batch in batches:
+        _, _, row = word_hashes(pc.fill_null(batch.column(1), ""))
+        counts = pa.array(np.bincount(row, minlength=batch.num_rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), counts], ["item_id", "n_words"])
+
+
+def unsearched(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_words) of the items that match nothing, as they have fewer than ``MIN_WORDS`` words."""
+    picked = frames.pick(benchmark, item_id="long", text="string")
+    return picked.mapInArrow(_word_counts, "item_id long, n_words long").where(F.col("n_words") < MIN_WORDS)
+
+
 def _digest() -> F.Column:
     return F.xxhash64(F.col("text"))
 

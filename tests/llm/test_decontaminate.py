@@ -123,3 +123,28 @@ def test_words_are_letters_and_digits():
     words, hashes, row = dec.word_hashes(pa.array(["A-b c1! Ünï", "", "x"]))
     assert words.to_pylist() == ["a", "b", "c1", "Ünï", "x"] and row.tolist() == [0, 0, 0, 0, 2]
     assert len(set(hashes.tolist())) == 5
+
+
+def test_short_items_are_found_at_any_word(spark):
+    rng = random.Random(9)
+    lengths = (8, 9, 10, 11, 12, 14)
+    items = [(i, " ".join(sentence(rng, lengths[i % 6]))) for i in range(60)]
+    rows, exact, edited = [], [], []
+    for d in range(1200):
+        words = items[d % 60][1].split()
+        light = d < 240
+        made = words if light else changed(rng, words, len(words) // 5)
+        body = sentence(rng, 30 + d // 60 % 2) + made + sentence(rng, 20)
+        rows.append((d, " ".join(body), "en", "s"))
+        if light or distance(words, body) <= len(words) // 5:
+            (exact if light else edited).append(d)
+    found = {r.doc_id for r in dec.leak_report(messy_docs(spark, rows=rows), bench(spark, items)).where("contaminated").collect()}
+    assert set(exact) <= found
+    recall = len(found & set(edited)) / len(edited)
+    print("recall at the allowed edits", recall)
+    assert recall >= 0.98
+
+
+def test_items_too_short_to_search_are_told(spark):
+    items = bench(spark, [(1, "one two three"), (2, None), (3, "a b c d e f g h"), (4, "a b c d e f g, ")])
+    assert {(r.item_id, r.n_words) for r in dec.unsearched(items).collect()} == {(1, 3), (2, 0), (4, 7)}
