@@ -9,7 +9,8 @@ Records depend on their own response alone: one pass, no shuffle, and a lost tas
 
 Defined results: a null or empty payload gives a conversion of no bytes and metadata without links; a null
 URI is kept as null; identifiers are digests of (row key, URI, payload), so runs agree and repeated rows
-repeat their records; no responses give no records; further columns are passed over. Of an unclosed script,
+repeat their records; no responses give no records; further columns are passed over. A header name that
+comes again keeps all its values, as a list; a header block without a status has a null one. Of an unclosed script,
 style or comment the rest of the page is dropped, as a browser would.
 """
 
@@ -37,6 +38,7 @@ _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINK = re.compile(r"<(a|link|img|script|iframe)\b[^<>]*?\b(href|src)\s*=\s*(\"[^\"<>]*\"|'[^'<>]*'|[^\s<>]+)", re.I)
 _TITLE = re.compile(r"<title\b[^<>]*>", re.I)
 _TITLE_END = re.compile(r"</title|\Z", re.I)
+_STATUS = re.compile(r"HTTP/\S+ +([0-9]{3})(?![^ \r\n])")
 _LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -83,6 +85,22 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
 
 
+def status_of(http: str) -> int | None:
+    """The number in the first line; null without one."""
+    found = _STATUS.match(http)
+    return int(found[1]) if found else None
+
+
+def headers_of(http: str) -> dict[str, str | list[str]]:
+    """Header values by name; those of a name that comes again are a list, in their order."""
+    found: dict[str, list[str]] = {}
+    for line in http.split("\r\n\r\n")[0].split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            found.setdefault(name, []).append(value.strip(" \t"))
+    return {name: values if len(values) > 1 else values[0] for name, values in found.items()}
+
+
 _RECORD = "row_key long, record_type string, record_id string, refers_to string, uri string, date string, header string, block string, block_digest string, payload_digest string"
 
 
@@ -127,8 +145,8 @@ def _derive(batches):
                     "block-digest": digest((http + payload).encode()),
                     "payload-digest": whole,
                     "payload-length": len(payload.encode()),
-                    "http-headers": dict(x.split(": ", 1) for x in http.split("\r\n")[1:] if ": " in x),
-                    "http-status": int(http.split(" ")[1]),
+                    "http-headers": headers_of(http),
+                    "http-status": status_of(http),
                 },
                 "html": {
                     "title": title_of(payload),

@@ -73,3 +73,13 @@ def test_written_files_hold_every_record(spark, tmp_path):
     for kind in ("metadata", "conversion"):
         text = "".join(gzip.open(f, "rt", newline="").read() for f in (tmp_path / "w" / f"record_type={kind}").glob("part-*"))
         assert text.count("WARC/1.0\r\n") == 20 and text.endswith("\r\n\r\n")
+
+
+def test_repeated_headers_and_missing_status(spark):
+    blocks = ["HTTP/1.1 302 Found\r\nSet-Cookie: a=1\r\nVia:x\r\nSet-Cookie: b=2: c\r\n\r\n", None, "", "HTTP/1.1", "HTTP/1.1 \r\nA: b\r\n\r\n"]
+    schema = "row_key long, uri string, date string, http_header string, payload string"
+    records = spark.createDataFrame([(i, "u", warc.DATE, x, "<p>x") for i, x in enumerate(blocks)], schema)
+    made = {r.row_key: json.loads(r.block)["envelope"] for r in warc.derivatives(records).collect() if r.record_type == "metadata"}
+    assert made[0]["http-headers"] == {"Set-Cookie": ["a=1", "b=2: c"], "Via": "x"}
+    assert [made[i]["http-status"] for i in range(5)] == [302, None, None, None, None]
+    assert made[1]["http-headers"] == made[3]["http-headers"] == {} and made[4]["http-headers"] == {"A": "b"}
