@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from fieldflow.llm import (
     chat,
     decontaminate,
+    jaccard,
     langid,
     license_scan,
     line_dedup,
     mixing,
+    prefix_trie,
     quality,
     sharding,
     simhash,
+    spelling,
     warc,
 )
 
@@ -87,6 +90,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(_table(spark, sf_dir, "conversations"))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +115,9 @@ QUERIES = {
         op8_decontaminate,
         op9_quality_rules,
         op10_simhash_dedup,
+        op11_spelling_variants,
+        op12_prefix_trie,
+        op13_ngram_jaccard,
     )
 }
 ORACLES: dict[str, str] = {
