@@ -81,8 +81,9 @@ def shingle_sets(text: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np
         inside = k < size
         word = hashes[np.minimum(place + k, len(hashes) - 1)]
         mixed = np.where(inside, _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + word, k + 1), mixed)
-    order = np.lexsort((mixed, owner))
-    owner, mixed = owner[order], mixed[order]
+    ends = np.cumsum(n_shingles)
+    for a, b in zip((ends - n_shingles).tolist(), ends.tolist()):
+        mixed[a:b].sort()
     fresh = np.append(True, (owner[1:] != owner[:-1]) | (mixed[1:] != mixed[:-1])) if len(owner) else np.zeros(0, bool)
     return owner[fresh], mixed[fresh]
 
@@ -121,11 +122,9 @@ def parts_in_band(owner: np.ndarray, mixed: np.ndarray, band: np.ndarray, rates:
     """
     own_band = band[owner]
     n_parts = np.ceil(rates[own_band] * np.exp2(own_band + 1)).astype(np.uint64)
-    spread = _mix(mixed, 5)
-    part = np.where(n_parts == 0, mixed, (spread >> np.uint64(32)) * n_parts >> np.uint64(32))
+    # Hashes ascend in each set, and so do the parts that their upper halves name.
+    part = np.where(n_parts == 0, mixed, (mixed >> np.uint64(32)) * n_parts >> np.uint64(32))
     bits = _mix(mixed, 9)
-    order = np.lexsort((part, owner))
-    owner, part, bits, own_band = owner[order], part[order], bits[order], own_band[order]
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))) if len(owner) else np.zeros(0, int)
     if not len(first):
         return owner, part
@@ -146,9 +145,10 @@ def _described(shingle: int, percent: int):
                 need = most_apart(size, largest_partner(size, percent), percent) + 1
                 band = band_of(size)
                 spare = []
-                for rate in PART_RATES:
+                for rate in PART_RATES[:-1]:
                     who, _ = parts_in_band(owner, mixed, band, np.full(64, rate))
                     spare.append(np.bincount(who, minlength=n) - need)
+                spare.append(size - need)
                 columns = [batch.column(0).slice(a, n), pa.array(set_digests(owner, mixed, n)), pa.array(size), pa.array(band, pa.int64())]
                 spares = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(spare, 1).ravel()), len(PART_RATES)).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*columns, spares], ["doc_id", "class", "size", "band", "spare"])
@@ -270,22 +270,42 @@ def _buckets(members: DataFrame, by: list[str], pivot: F.Column) -> DataFrame:
         F.sum(F.col("found").cast("long")).alias("n_found"),
         F.sum((F.col("looks") & F.col("main")).cast("long")).alias("n_main_looks"),
         F.sum((F.col("found") & F.col("main")).cast("long")).alias("n_main_found"),
+        (F.min("comp") < F.max("comp")).alias("several"),
         pivot.alias("next_pivot"),
     )
     # Look-ups and what they find make pairs if either one is a main member.
     n_pairs = F.col("n_main_looks") * F.col("n_found") + F.col("n_looks") * F.col("n_main_found")
-    return members.join(counted.withColumn("n_pairs", n_pairs).where("n_pairs > 0"), by)
+    return members.join(counted.withColumn("n_pairs", n_pairs).where("several and n_pairs > 0"), by)
 
 
 def _paired(small: DataFrame, by: list[str], percent: int) -> DataFrame:
     """(kept key columns, a, b): every pair that a bucket brings together, once."""
-    left = small.where("looks").select(*by, F.col("class").alias("l"), F.col("size").alias("l_size"), F.col("main").alias("l_main"))
-    right = small.where("found").select(*by, F.col("class").alias("r"), F.col("size").alias("r_size"), F.col("main").alias("r_main"))
-    fit = F.least("l_size", "r_size") * 100 >= F.greatest("l_size", "r_size") * percent
-    met = left.join(right, by).where((F.col("l") != F.col("r")) & (F.col("l_main") | F.col("r_main")) & fit)
-    first, second = F.struct(F.col("l").alias("class"), F.col("l_size").alias("size")), F.struct(F.col("r").alias("class"), F.col("r_size").alias("size"))
-    chosen = met.select(*[c for c in by if c == "gid"], F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).distinct()
-    return chosen.select(*[c for c in by if c == "gid"], F.col("x.class").alias("a"), F.col("x.size").alias("a_size"), F.col("y.class").alias("b"), F.col("y.size").alias("b_size"))
+    side = F.struct("class", "size", "main", "comp")
+    left = small.where("looks").select(*by, side.alias("x"))
+    right = small.where("found").select(*by, side.alias("y"))
+    fit = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
+    met = left.join(right, by).where(fit & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.main") | F.col("y.main")))
+    group = [c for c in by if c == "gid"]
+    first, second = F.struct("x.class", "x.size"), F.struct("y.class", "y.size")
+    chosen = met.select(*group, F.least(first, second).alias("x"), F.greatest(first, second).alias("y")).distinct()
+    sides = [F.col(f"{c}.{f}").alias(n) for c, f, n in (("x", "class", "a"), ("x", "size", "a_size"), ("y", "class", "b"), ("y", "size", "b_size"))]
+    return chosen.select(*group, *sides)
+
+
+def _look_ups(met: DataFrame, by: str) -> DataFrame:
+    """Which keys a set looks itself up by: as few of the rarest as it needs.
+
+    ``met``: the key, class, size, own (a key it may look up), spare (how many own keys, shared or not, it can do without)
+    and n_key (sets with that key, two at least).
+    """
+    per_class = Window.partitionBy("class")
+    place = F.row_number().over(per_class.orderBy(F.col("own").desc(), "n_key", by))
+    own = F.sum(F.col("own").cast("long")).over(per_class)
+    # How much of a set is shared with how many others.
+    central = F.sum(F.when(F.col("own"), F.log2("n_key")).otherwise(0.0)).over(per_class) / F.col("size")
+    ranked = met.withColumn("place", place).withColumn("n_own", own).withColumn("central", central)
+    looks = F.col("own") & (F.col("place") <= F.col("n_own") - F.col("spare"))
+    return ranked.select(by, "class", "size", "central", looks.alias("looks"), F.lit(True).alias("found"), looks.alias("main"), F.col("class").alias("comp"))
 
 
 def _checked_by_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -301,16 +321,18 @@ def _checked_by_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFra
 def _round(state: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Links among the members of each pivot's group, and the next state if crowded buckets are left.
 
-    ``state``: gid, pivot, p_size, class, size, main, delta (the tokens that only one of member and pivot has).
+    ``state``: gid, pivot, p_size, class, size, main, comp (its component so far), delta (the tokens that only one of member and pivot
+    has) and linked (whether these are few enough).
     """
-    state = state.withColumn("linked", F.size("delta") <= _allowed("size", "p_size", percent))
     links = state.where("linked").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
     # A member that is no main one must be near a main one: their differences to the pivot are of about equal size.
-    reach = state.where("main").groupBy("gid").agg(F.max(F.size("delta")).alias("reach"))
+    reach = state.groupBy("gid").agg(
+        F.max(F.when(F.col("main"), F.size("delta"))).alias("reach"), (F.min("comp") < F.max("comp")).alias("several")
+    ).where("several")  # what is one component already needs no more links
     most = F.floor(F.col("size") * (100 - percent) / percent).cast("long") + 1
     near = state.join(reach, "gid").where(F.col("main") | (F.size("delta") <= F.col("reach") + most))
     v = (F.size("delta") + (F.col("size") - F.col("p_size")) * (100 - percent) / (100 + percent)) / 2
-    tokens = near.select("gid", "class", "size", "main", "linked", F.ceil(v).alias("prefix"), F.size("delta").alias("n_delta"), F.explode("delta").alias("token"))
+    tokens = near.select("gid", "class", "size", "main", "comp", "linked", F.ceil(v).alias("prefix"), F.size("delta").alias("n_delta"), F.explode("delta").alias("token"))
     tokens = cut_lineage(tokens, "jaccard-tokens")
     index = tokens.groupBy("gid", "token").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("n_index"))
     index = index.where("n > 1 and n_index > 0")
@@ -334,16 +356,20 @@ def _round(state: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataF
     if last:
         return links, None
     # Each crowded bucket's members move on to its closest unlinked member.
-    moved = met.where(crowded).groupBy("gid", F.col("next_pivot").alias("pivot"), "class", "size").agg(F.max("main").alias("main"))
+    moved = met.where(crowded).groupBy("gid", F.col("next_pivot").alias("pivot"), "class", "size", "comp").agg(F.max("main").alias("main"))
     moved = moved.where("class <> pivot")
     pivots = state.select("gid", F.col("class").alias("pivot"), F.col("size").alias("p_size"), F.col("delta").alias("p_delta"))
     after = moved.join(deltas, ["gid", "class"]).join(pivots, ["gid", "pivot"]).select(
-        F.xxhash64("gid", "pivot").alias("gid"), "pivot", "p_size", "class", "size", "main", _apart("delta", "p_delta").alias("delta")
+        F.xxhash64("gid", "pivot").alias("gid"), "pivot", "p_size", "class", "size", "main", "comp", _apart("delta", "p_delta").alias("delta")
     )
-    after = cut_lineage(after, "jaccard-state")
+    after = cut_lineage(_with_linked(after, percent), "jaccard-state")
     return links, after if after.limit(1).count() else None
 
 
+def _with_linked(state: DataFrame, percent: int) -> DataFrame:
+    return state.withColumn("linked", F.size("delta") <= _allowed("size", "p_size", percent))
+
+
 def near_links(docs: DataFrame, described: DataFrame, shingle: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
     """(a, b): links between different classes that reach what all links would reach.
 
@@ -352,38 +378,51 @@ def near_links(docs: DataFrame, described: DataFrame, shingle: int = SHINGLE, pe
     texts = frames.pick(docs, text="string")
     rates = _rates(described)
     dealt = texts.mapInArrow(_part_keys(shingle, percent, rates), "key long, class long, own boolean").repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("own").alias("any_own"))
-    met = dealt.join(shared.where("lo <> hi and any_own").select("key"), "key").distinct()
-    met = cut_lineage(met.withColumn("n_key", F.count("*").over(Window.partitionBy("key"))), "jaccard-keys")
+    key = Window.partitionBy("key")
+    shared = dealt.withColumn("lo", F.min("class").over(key)).withColumn("hi", F.max("class").over(key))
+    shared = shared.withColumn("any_own", F.max("own").over(key)).where("lo <> hi and any_own").select("key", "class", "own")
+    met = cut_lineage(shared.distinct().withColumn("n_key", F.count("*").over(key)), "jaccard-keys")
     at = F.array(*[F.lit(PART_RATES.index(rate)) for rate in rates.tolist()])
     info = described.where("size > 0").select("class", "size", F.col("spare")[at[F.col("band").cast("int")]].alias("spare"))
-    per_class = Window.partitionBy("class")
-    ranked = met.join(info.groupBy("class").agg(F.max("size").alias("size"), F.max("spare").alias("spare")), "class")
-    ranked = ranked.withColumn("rank", F.row_number().over(per_class.orderBy(F.col("own").desc(), "n_key", "key")))
-    own = F.sum(F.col("own").cast("long")).over(per_class)
-    shares = F.sum(F.when(F.col("own"), F.log2("n_key")).otherwise(0.0)).over(per_class) / F.col("size")
-    ranked = ranked.withColumn("looks", F.col("own") & (F.col("rank") <= own - F.col("spare"))).withColumn("central", shares)
-    ranked = ranked.withColumn("found", F.lit(True)).withColumn("main", F.col("looks")).drop("rank", "own", "spare", "n_key")
-    ranked = cut_lineage(ranked, "jaccard-ranked")
+    info = info.groupBy("class").agg(F.max("size").alias("size"), F.max("spare").alias("spare"))
     central = F.max(F.when(F.col("looks"), F.struct("central", "class")))["class"]
-    buckets = cut_lineage(_buckets(ranked, ["key"], central), "jaccard-buckets")
     crowded = F.col("n_looks") > PAIRED
+
+    ranked = cut_lineage(_look_ups(met.join(info, "class"), "key"), "jaccard-look-ups")
+    buckets = cut_lineage(_buckets(ranked, ["key"], central), "jaccard-buckets")
     pairs = cut_lineage(_paired(buckets.where(~crowded), ["key"], percent), "jaccard-pairs")
-    star = buckets.where(crowded).groupBy(F.col("next_pivot").alias("pivot"), "class", "size").agg(F.max("main").alias("main"))
-    star = cut_lineage(star, "jaccard-star")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(star.select("class")).distinct()
-    wanted = cut_lineage(wanted, "jaccard-wanted")
+    many = cut_lineage(buckets.where(crowded).select("class", "size").distinct(), "jaccard-crowd")
+
+    wanted = cut_lineage(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(many.select("class")).distinct(), "jaccard-wanted")
     found, bits = _bit_map(wanted)
     sets = texts.mapInArrow(_wanted_sets(shingle, found, bits), "class long, tokens array<long>, sketch array<long>")
     sets = sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     sets = cut_lineage(sets, "jaccard-sets")
+
+    # Sets in crowded buckets look each other up again, by their rarest single shingles.
+    token = Window.partitionBy("token")
+    single = many.join(sets, "class").select("class", "size", F.explode("tokens").alias("token"))
+    single = single.withColumn("n_key", F.count("*").over(token)).where("n_key > 1")
+    single = single.withColumn("partner", F.expr(f"size * 100 div {percent}"))
+    spare = F.col("size") - _allowed("size", "partner", percent) - 1
+    ranked = cut_lineage(_look_ups(single.withColumn("own", F.lit(True)).withColumn("spare", spare), "token"), "jaccard-look-ups")
+    buckets = cut_lineage(_buckets(ranked, ["token"], central), "jaccard-buckets")
+    pairs = cut_lineage(pairs.union(_paired(buckets.where(~crowded), ["token"], percent)).distinct(), "jaccard-pairs")
+    star = buckets.where(crowded).groupBy(F.col("next_pivot").alias("pivot"), "class", "size").agg(F.max("main").alias("main"))
+    star = cut_lineage(star.where("class <> pivot"), "jaccard-star")
+
     links = _checked_by_sets(pairs, sets, percent)
     tokens = sets.select("class", "tokens")
-    p_sizes = tokens.select(F.col("class").alias("pivot"), F.size("tokens").cast("long").alias("p_size"), F.col("tokens").alias("p_tokens"))
-    state = star.where("class <> pivot").join(tokens, "class").join(p_sizes, "pivot").select(
+    pivots = tokens.select(F.col("class").alias("pivot"), F.size("tokens").cast("long").alias("p_size"), F.col("tokens").alias("p_tokens"))
+    state = star.join(tokens, "class").join(pivots, "pivot").select(
         F.col("pivot").alias("gid"), "pivot", "p_size", "class", "size", "main", _apart("tokens", "p_tokens").alias("delta")
     )
-    state = cut_lineage(state, "jaccard-state")
+    state = cut_lineage(_with_linked(state, percent), "jaccard-state")
+    if not state.limit(1).count():
+        return links
+    links = cut_lineage(links.union(state.where("linked").select("class", "pivot")), "jaccard-links")
+    so_far = roots(links).select(F.col("node").alias("class"), F.col("root").alias("comp"))
+    state = cut_lineage(state.join(so_far, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "jaccard-state")
     for k in range(ROUNDS):
         more, state = _round(state, percent, k == ROUNDS - 1)
         links = links.union(more)
