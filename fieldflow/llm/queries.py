@@ -175,4 +175,78 @@ judged AS (
     WHEN roles = 'system' THEN 'briefed' ELSE 'rejected' END AS state FROM chats)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
   formatted_chars, state, state IN ('asked', 'answered') AS valid FROM judged""",
+    "op11_spelling_variants": r"""
+WITH runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+-- CRC-32 bit by bit: each byte goes in with the first of its eight steps
+fed AS (
+  SELECT *, flatten(list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'),
+    lambda h: [('0x' || h)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS steps FROM counted),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, steps),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))) AS h FROM fed),
+made AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(generate_series(1, length(word)))::INT AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS most FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN near END AS form,
+    CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+roots AS (
+  WITH RECURSIVE up AS (
+    SELECT word, word AS root, 0 AS step FROM formed
+    UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN formed f ON f.word = up.root WHERE f.form IS NOT NULL)
+  SELECT word, arg_max(root, step) AS root FROM up GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)""",
+    "op12_prefix_trie": r"""
+WITH numbered AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+chats AS (SELECT conv_id, list(said ORDER BY place) AS turns FROM numbered GROUP BY conv_id),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))) % 4 AS h FROM chats),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN chats b ON b.conv_id = c.conv_id - c.conv_id % 20),
+steps AS (SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS depth FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(turns[depth].text), '[^\x20\x09-\x0D]+')) END AS words
+  FROM steps GROUP BY turns[1:depth], depth),
+kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path, depth)),
+above AS (SELECT *, unnest(generate_series(0, depth)) AS top FROM known),
+sums AS (
+  SELECT path[1:top] AS path, top AS depth, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM above GROUP BY ALL)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256
+FROM known k JOIN sums s USING (path, depth) LEFT JOIN nodes p ON p.depth = k.depth - 1 AND p.path = k.path[1:k.depth - 1]""",
+    "op13_ngram_jaccard": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT r, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM docs WHERE len(words) > 0),
+sets AS (SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS shingle FROM places),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM sets a JOIN sets b USING (shingle) WHERE a.r <> b.r GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach AS (
+  WITH RECURSIVE far AS (SELECT r AS a, r AS b FROM docs UNION SELECT far.a, links.b FROM far JOIN links ON links.a = far.b)
+  SELECT a, min(doc_id) AS component_id FROM far JOIN docs ON docs.r = far.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM docs LEFT JOIN sizes USING (r) JOIN reach ON reach.a = docs.r""",
 }
