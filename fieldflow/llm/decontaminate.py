@@ -8,23 +8,24 @@ until the target recall is met; every hit is then checked by its exact edit dist
 
 Windows are sized to the item: two thirds of its words, rounded down to one of ``STRIDES``' sizes, so that
 some window inside a changed item is hardly touched. A document's windows start at every second or fourth
-word, an item's at every word, so each alignment of a long item is met by several windows. Keys that sample
-fewer than ``DISTINCT`` words of an item would meet in any prose and are not indexed. Only stretches around
-windows whose key belongs to an item leave the scan, with the words that the check needs.
+word, an item's at every word. Keys that sample fewer than ``DISTINCT`` words of an item would meet in any prose and
+are not indexed.
 
-Items of fewer than ``SHORT`` words have too few windows for that. They are also met by each run of ``RUN``
-equal words, looked up at every word. One edit in 8 or 9 words or two in 12 to 14 always leave such a run, and
-so do two in 10 or 11 words, but where they cut the item in parts of at most three words.
+Before any walk an exact test turns most of a document away. ``k`` edits leave ``n - k`` words of an item in at
+most ``k + 1`` pieces, so each match holds ``ceil((n - k) / (k + 1))`` words in a row as the item has them. That is four
+(``RUN``) or more for 8, 9, 12 to 14 and 16 words and over, three for 6, 7, 10, 11 and 15. Only windows within reach of such a
+run of a benchmark item are walked. Items of fewer than ``SHORT`` words have too few windows for walks alone:
+for them each run is a candidate itself, so none of their matches is missed. Items of fewer than eight words have runs
+only; those of fewer than five are found word for word.
 
-The benchmark is the query set: its keys go to the scan in blocks of at most ``BLOCK_KEYS`` numbers, one
-scan per block, so what is sent is bounded whatever the benchmark's size.
+The benchmark is the query set: items go to the scan in blocks of about ``BLOCK_KEYS`` keys, an item's keys together, one
+scan per block, so what is sent is bounded by that number and the longest item.
 
 An item matches where the edit distance of its words to a stretch of the document is at most
-``MAX_EDITS`` of its length. Words are runs of letters and digits, A-Z lower-cased. Defined results: items
-with fewer than ``MIN_WORDS`` words, null ones included, can't be told from ordinary prose and match
-nothing; null and empty documents are clean; repeated items and rows give equal results; an empty benchmark
-leaves all documents clean; rows with the same doc_id and text share a verdict; further columns are handed
-through.
+``MAX_EDITS`` of its length, rounded down. Words are runs of letters and digits, A-Z lower-cased. Defined results: items
+without any word, null ones included, match nothing; null and empty documents are clean; repeated items and rows give equal
+results; an empty benchmark leaves all documents clean; rows with the same doc_id and text share a verdict; further
+columns are handed through.
 """
 
 from __future__ import annotations
@@ -44,13 +45,12 @@ from fieldflow.llm import frames
 from fieldflow.llm.quality import slices, words_of
 from fieldflow.session import cut_lineage
 
-MIN_WORDS = 8
 MAX_EDITS = 0.2
 WALKS, KEYS, SAMPLES = 4, 6, 5
 DISTINCT = 4  # sampled words that a key needs to tell anything
 STRIDES = {8: 2, 16: 4, 32: 4}  # window size: every how many words one starts in a document
 BLOCK_KEYS = 4_000_000
-RUN, SHORT = 4, 15  # items of fewer than SHORT words are also met by runs of RUN equal words
+RUN, SHORT = 4, 15  # items of fewer than SHORT words are also met by runs of equal words; none is longer than RUN
 SEED = 20
 
 _WORD_BYTES = np.full(256, 32, dtype=np.uint8)  # everything but letters, digits and non-ASCII is white
@@ -138,12 +138,18 @@ def window_keys(
     return [keys.view(np.int64) for keys in out]
 
 
-def run_keys(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signed 64-bit keys of all runs of ``RUN`` words in a row, and where they start."""
-    n = max(0, len(hashes) - RUN + 1)
+def run_length(n_words: int, max_edits: float = MAX_EDITS) -> int:
+    """How many words in a row, ``RUN`` at most, every match of an item has as the item has them."""
+    k = int(n_words * max_edits)
+    return min(RUN, -(-(n_words - k) // (k + 1)))
+
+
+def run_keys(hashes: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit keys of all runs of ``length`` words in a row, and where they start."""
+    n = max(0, len(hashes) - length + 1)
     starts = np.flatnonzero(row[:n] == row[len(row) - n :])
-    keys = np.full(len(starts), RUN, dtype=np.uint64)
-    for k in range(RUN):
+    keys = np.full(len(starts), length, dtype=np.uint64)
+    for k in range(length):
         keys = (keys ^ hashes[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
     return keys.view(np.int64), starts
@@ -154,77 +160,104 @@ def size_of(n_words: int) -> int:
     return max(s for s in STRIDES if s <= max(n_words * 2 // 3, min(STRIDES)))
 
 
-_INDEX = "key long, item long, size int, at int"
+_INDEX = "key long, item long, size int, at int, candidate boolean"
 _ITEM = "item long, item_id long, words array<string>"
 _HIT = "doc_id long, digest long, lo int, words array<string>, starts array<int>, keys array<long>"
 
 
 def _item_words(batches):
-    """(item, item_id, words) of every item that is long enough; ``item`` is its text's digest."""
+    """(item, item_id, words) of every item that has words; ``item`` is its text's digest."""
     for batch in batches:
         words, _, row = word_hashes(pc.fill_null(batch.column(2), ""))
         bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
         own = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words)
         made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["item", "item_id", "words"])
-        yield made.filter(pc.greater_equal(pc.list_value_length(own), MIN_WORDS))
+        yield made.filter(pc.greater(pc.list_value_length(own), 0))
 
 
-def _item_keys(batches):
-    """(key, item, size, at) of every window of every item, from (item, text)."""
-    for batch in batches:
-        _, hashes, row = word_hashes(pc.fill_null(batch.column(1), ""))
-        for i, item in enumerate(batch.column(0).to_pylist()):
-            a, b = np.searchsorted(row, [i, i + 1])
-            if b - a < MIN_WORDS:
-                continue
-            size = size_of(b - a)
-            starts = np.arange(b - a - size + 1)
-            told = np.zeros((WALKS * KEYS, len(starts)), dtype=np.int64)
-            (keys,) = window_keys(hashes[a:b], np.zeros(b - a, dtype=np.int64), starts, [size], told)
-            columns = [keys.ravel(), np.full(keys.size, item), np.full(keys.size, size, np.int32)]
-            columns.append(np.tile(starts, len(keys)).astype(np.int32))
-            names = ["key", "item", "size", "at"]
-            made = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-            yield made.filter(pa.array(told.ravel() >= DISTINCT))
-            if b - a < SHORT:
-                keys, starts = run_keys(hashes[a:b], np.zeros(b - a, dtype=np.int64))
-                columns = [keys, np.full(len(keys), item), np.full(len(keys), RUN, np.int32), starts.astype(np.int32)]
+def _item_keys(max_edits: float):
+    def keys(batches):
+        """(key, item, size, at, candidate) of every window and run of every item, from (item, text)."""
+        names = ["key", "item", "size", "at", "candidate"]
+        for batch in batches:
+            _, hashes, row = word_hashes(pc.fill_null(batch.column(1), ""))
+            for i, item in enumerate(batch.column(0).to_pylist()):
+                a, b = np.searchsorted(row, [i, i + 1])
+                if a == b:
+                    continue
+                alone, length = np.zeros(b - a, dtype=np.int64), run_length(b - a, max_edits)
+                found, starts = run_keys(hashes[a:b], alone, length)
+                columns = [found, np.full(len(found), item), np.full(len(found), length, np.int32), starts.astype(np.int32)]
+                columns.append(np.full(len(found), b - a < SHORT))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                if b - a < min(STRIDES):
+                    continue
+                size = size_of(b - a)
+                starts = np.arange(b - a - size + 1)
+                told = np.zeros((WALKS * KEYS, len(starts)), dtype=np.int64)
+                (found,) = window_keys(hashes[a:b], alone, starts, [size], told)
+                columns = [found.ravel(), np.full(found.size, item), np.full(found.size, size, np.int32)]
+                columns += [np.tile(starts, len(found)).astype(np.int32), np.full(found.size, True)]
+                made = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                yield made.filter(pa.array(told.ravel() >= DISTINCT))
 
+    return keys
 
-def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
-    """Documents to the stretches around windows whose key an item has, with those windows and keys.
+
+class _Keys:
+    """Sorted distinct keys, with a bit map of their tails that turns most others away before the exact look-up."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.low = (1 << 22) - 1
+        self.tail = np.zeros(self.low + 1, dtype=bool)
+        self.tail[self.keys & self.low] = True
+
+    def find(self, tried: np.ndarray) -> np.ndarray:
+        """Places in ``tried`` of keys that are here."""
+        likely = np.flatnonzero(self.tail[tried & self.low])
+        if not len(self.keys):
+            return likely
+        place = np.minimum(np.searchsorted(self.keys, tried[likely]), len(self.keys) - 1)
+        return likely[self.keys[place] == tried[likely]]
+
+
+def _scanner(index: dict[str, np.ndarray], reach: int):
+    """Documents to the stretches around windows and runs whose key an item has, with those and their keys.
 
     A stretch reaches ``reach`` words to both sides; stretches that touch are one, so words leave once.
     """
+    is_run = index["size"] < min(STRIDES)
+    lengths = np.unique(index["size"][is_run]).tolist()
+    sizes = np.unique(index["size"][~is_run]).tolist()
+    parts = index["key"][~is_run], index["key"][is_run], index["key"][is_run & index["candidate"]]
 
     def scan(batches):
-        tail = np.zeros(1 << 22, dtype=bool)  # turns most windows away before the exact look-up
-        low = (1 << 22) - 1
-        tail[keys & low] = True
+        windows, runs, short_runs = map(_Keys, parts)
         for batch in batches:
             text = pc.fill_null(batch.column(2).cast(pa.string()), "")
             for a, b in slices(text):
                 words, hashes, row = word_hashes(text.slice(a, b - a))
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
-                place = np.arange(len(row)) - bounds[row]
                 window, key = [], []
-
-                def look_up(own, starts):
-                    likely = np.flatnonzero(tail[own & low])
-                    tried = own[likely]
-                    right = keys[np.minimum(np.searchsorted(keys, tried), len(keys) - 1)] == tried
-                    window.append(starts[likely[right]])
-                    key.append(tried[right])
-
-                if RUN in sizes:
-                    look_up(*run_keys(hashes, row))
-                for stride in sorted({STRIDES[size] for size in sizes if size != RUN}):
-                    starts = np.flatnonzero(place % stride == 0)
-                    alike = [size for size in sizes if size != RUN and STRIDES[size] == stride]
-                    for own in chain.from_iterable(window_keys(hashes, row, starts, alike)):
-                        look_up(own, starts)
-                window, key = np.concatenate(window), np.concatenate(key)
+                near = np.zeros(len(row) + 1, dtype=np.int64)  # +1 where a stretch that may match begins, -1 after it
+                for length in lengths:
+                    own, starts = run_keys(hashes, row, length)
+                    met = runs.find(own)
+                    np.add.at(near, np.maximum(starts[met] - reach, bounds[row[starts[met]]]), 1)
+                    np.add.at(near, np.minimum(starts[met] + reach, bounds[row[starts[met]] + 1]), -1)
+                    met = met[short_runs.find(own[met])]
+                    window.append(starts[met])
+                    key.append(own[met])
+                place = np.flatnonzero(np.cumsum(near)[:-1])
+                for stride in sorted({STRIDES[size] for size in sizes}):
+                    starts = place[(place - bounds[row[place]]) % stride == 0]
+                    for own in chain.from_iterable(window_keys(hashes, row, starts, [s for s in sizes if STRIDES[s] == stride])):
+                        met = windows.find(own)
+                        window.append(starts[met])
+                        key.append(own[met])
+                window = np.concatenate(window) if window else place
+                key = np.concatenate(key) if key else place
                 if not len(window):
                     continue
                 order = np.argsort(window, kind="stable")
@@ -236,13 +269,13 @@ def _scanner(keys: np.ndarray, sizes: list[int], reach: int):
                 last = np.append(first[1:], len(at)) - 1
                 doc, cut = row[at[first]], pa.array(np.append(first, len(at)), pa.int32())
                 base = bounds[row[at]]
-                near = [words.slice(x, y - x).to_pylist() for x, y in zip(lo[first].tolist(), hi[last].tolist())]
+                held = [words.slice(x, y - x).to_pylist() for x, y in zip(lo[first].tolist(), hi[last].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(doc + a)),
                         batch.column(1).take(pa.array(doc + a)),
                         pa.array(lo[first] - bounds[doc], pa.int32()),
-                        pa.array(near, pa.list_(pa.string())),
+                        pa.array(held, pa.list_(pa.string())),
                         pa.ListArray.from_arrays(cut, pa.array(at - base, pa.int32())),
                         pa.ListArray.from_arrays(cut, pa.array(key, pa.int64())),
                     ],
@@ -287,9 +320,9 @@ def _word_counts(batches):
 
 
 def unsearched(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_words) of the items that match nothing, as they have fewer than ``MIN_WORDS`` words."""
+    """(item_id, n_words) of the items that match nothing, as they have no words."""
     picked = frames.pick(benchmark, item_id="long", text="string")
-    return picked.mapInArrow(_word_counts, "item_id long, n_words long").where(F.col("n_words") < MIN_WORDS)
+    return picked.mapInArrow(_word_counts, "item_id long, n_words long").where("n_words = 0")
 
 
 def _digest() -> F.Column:
@@ -302,21 +335,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
     texts = frames.pick(benchmark, item_id="long", text="string").withColumn("item", F.xxhash64("text"))
     items = cut_lineage(texts.select("item", "item_id", "text").mapInArrow(_item_words, _ITEM), "benchmark-items")
     once = texts.groupBy("item").agg(F.first("text").alias("text"))
-    index = cut_lineage(once.mapInArrow(_item_keys, _INDEX), "benchmark-keys")
-    n_keys, sizes = index.agg(F.count_distinct("key"), F.sort_array(F.collect_set("size"))).first()
+    index = cut_lineage(once.mapInArrow(_item_keys(max_edits), _INDEX), "benchmark-keys")
+    n_keys = index.count()
     longest = items.agg(F.max(F.size("words"))).first()[0]
     picked = frames.pick(docs, doc_id="long", text="string").select("doc_id", _digest().alias("digest"), "text")
     hits = spark.createDataFrame([], _HIT)
     blocks = -(-n_keys // BLOCK_KEYS)
     for block in range(blocks):
-        mine = index.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key").distinct()
-        keys = np.sort(np.array([r.key for r in mine.collect()], dtype=np.int64))  # about BLOCK_KEYS numbers at most
-        if len(keys):
-            scan = _scanner(keys, list(sizes), int(longest * (1 + max_edits)) + 1)
-            hits = hits.union(picked.mapInArrow(scan, _HIT))
+        mine = index.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        table = mine.select("key", "size", "candidate").toArrow()  # about BLOCK_KEYS keys
+        if len(table):
+            columns = {c: table.column(c).to_numpy() for c in table.column_names}
+            hits = hits.union(picked.mapInArrow(_scanner(columns, int(longest * (1 + max_edits)) + 1), _HIT))
     hits = cut_lineage(hits, "benchmark-hits")
     windows = hits.select("doc_id", "digest", "lo", F.explode(F.arrays_zip("starts", "keys")).alias("w"))
-    met = windows.select("doc_id", "digest", "lo", "w.starts", F.col("w.keys").alias("key")).join(index, "key")
+    met = windows.select("doc_id", "digest", "lo", "w.starts", F.col("w.keys").alias("key")).join(index.where("candidate"), "key")
     tries = met.select("doc_id", "digest", "lo", "item", (F.col("starts") - F.col("at")).alias("begin")).distinct()
     tries = tries.withColumnsRenamed({"doc_id": "t_id", "digest": "t_digest", "lo": "t_lo"})
     own = (

@@ -112,7 +112,7 @@ def test_odd_benchmarks(spark):
     rows = [(1, text, None, None), (1, "something else", None, None), (None, "x " + text, None, None), (2, "few words", None, None), (3, None, None, None)]
     got = dec.leak_report(messy_docs(spark, rows=rows), items)
     assert rows_of(got.select("doc_id", "contaminated", "item_ids")) == sorted(
-        [(1, True, [1, 2]), (1, False, []), (None, True, [1, 2]), (2, False, []), (3, False, [])], key=str
+        [(1, True, [1, 2]), (1, False, []), (None, True, [1, 2]), (2, True, [5]), (3, False, [])], key=str
     )
     none = bench(spark, [])
     assert not any(r.contaminated for r in dec.leak_report(messy_docs(spark), none).collect())
@@ -145,6 +145,64 @@ def test_short_items_are_found_at_any_word(spark):
     assert recall >= 0.98
 
 
-def test_items_too_short_to_search_are_told(spark):
-    items = bench(spark, [(1, "one two three"), (2, None), (3, "a b c d e f g h"), (4, "a b c d e f g, ")])
-    assert {(r.item_id, r.n_words) for r in dec.unsearched(items).collect()} == {(1, 3), (2, 0), (4, 7)}
+def test_items_without_words_are_told(spark):
+    items = bench(spark, [(1, "one two three"), (2, None), (3, "a b c"), (4, "..., ")])
+    assert {(r.item_id, r.n_words) for r in dec.unsearched(items).collect()} == {(2, 0), (4, 0)}
+
+
+def spread(rng, words, n_edits):
+    """Words replaced at equal distances."""
+    words = list(words)
+    for k in range(n_edits):
+        words[(2 * k + 1) * len(words) // (2 * n_edits)] = rng.choice(VOCAB)
+    return words
+
+
+def test_recall_by_length(spark):
+    """Every length, at even and odd words, edits drawn at random and evenly spaced."""
+    rng = random.Random(12)
+    lengths = [*range(3, 34), 40, 60, 100, 200]
+    items, rows, by_length = [], [], {}
+    for n in lengths:
+        for k in range(6):
+            item = len(items)
+            items.append((item, " ".join(sentence(rng, n))))
+            words = items[-1][1].split()
+            for j in range(8):
+                made = (changed if j % 2 else spread)(rng, words, n // 5)
+                body = sentence(rng, 20 + j // 2 % 2) + made + sentence(rng, 20)
+                if distance(words, body) <= n // 5:
+                    by_length.setdefault(n, []).append((len(rows), item))
+                rows.append((len(rows), " ".join(body), "en", "s"))
+    found = dec.leak_report(messy_docs(spark, rows=rows, extra=False), bench(spark, items)).collect()
+    held = {(r.doc_id, i) for r in found for i in r.item_ids}
+    recall = {n: sum(p in held for p in pairs) / len(pairs) for n, pairs in by_length.items()}
+    print(recall)
+    assert all(r == 1 for n, r in recall.items() if n < dec.SHORT)
+    assert all(r >= 0.95 for r in recall.values()) or min(recall.values()) >= 0.9 and sum(recall.values()) >= 0.97 * len(recall)
+
+
+def test_short_items_word_for_word(spark):
+    items = bench(spark, [(1, "the capital of france is paris"), (2, "yes indeed"), (3, "one two three four five")])
+    texts = ["We know: The capital of France is Paris.", "the capital of spain is paris", "the capital of spain is madrid", "Yes, indeed!", "yes and indeed", "one two four five", "one three five"]
+    got = dec.leak_report(messy_docs(spark, rows=[(i, t, None, None) for i, t in enumerate(texts)]), items)
+    assert {r.doc_id: r.item_ids for r in got.collect() if r.contaminated} == {0: [1], 1: [1], 3: [2], 5: [3]}
+
+
+def test_reports_equal_all_pairs(spark):
+    """Documents against items by full tables: nothing is found that is not there, and short items wholly."""
+    rng = random.Random(31)
+    few = VOCAB[:14]
+    items = [(i, " ".join(rng.choice(few) for _ in range(rng.randrange(1, 13)))) for i in range(25)]
+    rows = [(d, " ".join(rng.choice(few) for _ in range(rng.randrange(0, 40))), None, None) for d in range(120)]
+    got = {r.doc_id: r.item_ids for r in dec.leak_report(messy_docs(spark, rows=rows), bench(spark, items)).collect()}
+    for d, text, _, _ in rows:
+        want = [i for i, t in items if distance(t.split(), text.split()) <= len(t.split()) // 5]
+        assert got[d] == want
+
+
+def test_runs_that_edits_leave():
+    assert {n: dec.run_length(n) for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15)} == {
+        1: 1, 2: 2, 4: 4, 5: 2, 6: 3, 7: 3, 8: 4, 9: 4, 10: 3, 11: 3, 12: 4, 14: 4, 15: 3
+    }
+    assert all(dec.run_length(n) == 4 for n in range(16, 5000))
