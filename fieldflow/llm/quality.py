@@ -5,9 +5,12 @@ into sketches per language and of everything; upper fences come from the sketche
 drop documents that lie far outside of what is usual for their language and source. Two rules stay fixed:
 too few words, and too many words in repeated five-word windows.
 
-A fence is ``q75 + REACH * max(q75 - q25, SPREAD)``: it moves with the group, and ``SPREAD``, the least
-spread of a measure, keeps groups of nearly equal documents from losing clean ones. Groups with fewer
-than ``MIN_GROUP`` measured documents use their language's fence, and languages that small the overall one.
+Measures are shares of counts. Fences are drawn over smoothed shares, ``(k + 1) / (n + 1)``: where hardly any
+document has a symbol or a repeated line, quartiles of plain shares are all 0 and tell nothing, while smoothed ones show how finely
+documents of the group's lengths can tell a share at all. A fence is ``q75 + REACH * (q75 - q25)`` of its group, drawn
+towards that of its language, and a language's towards the overall one, in the ratio of ``SHRINK`` documents to their own
+number; nothing is fixed per measure. A document fails where its share, less one standard error of a
+count, ``(k - sqrt(k)) / n``, lies above the fence: one repeated line in a short text is no evidence.
 
 Sketches are partial aggregates, so a source with a third of all rows is no hot key, and the joined fence
 table has one row per (language, source).
@@ -32,13 +35,13 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 REACH = 3.0
-MIN_GROUP = 50
-#: measure: (numerator, denominator, least spread)
+SHRINK = 50  # documents that weigh as much as the next higher group's fence
+#: measure: (numerator, denominator)
 RATIOS = {
-    "symbol_share": ("n_symbols", "word_chars", 0.02),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.15),
-    "shout_share": ("n_shouted", "n_words", 0.06),
-    "word_length": ("word_chars", "n_words", 1.0),
+    "symbol_share": ("n_symbols", "word_chars"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "shout_share": ("n_shouted", "n_words"),
+    "word_length": ("word_chars", "n_words"),
 }
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words n_lines word_chars n_symbols n_shouted n_dup_lines n_repeat_words".split()
@@ -126,25 +129,31 @@ def base_failed(min_words: int = MIN_WORDS) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def ratio(name: str) -> Column:
-    top, bottom, _ = RATIOS[name]
-    return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
+def smoothed(name: str) -> Column:
+    top, bottom = RATIOS[name]
+    return (F.col(top) + 1) / (F.col(bottom) + 1)
 
 
-def fences(measured: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def assured(name: str) -> Column:
+    """A share less one standard error of its count."""
+    top, bottom = RATIOS[name]
+    return F.when(F.col(bottom) > 0, (F.col(top) - F.sqrt(top)) / F.col(bottom)).otherwise(F.lit(0.0))
+
+
+def fences(measured: DataFrame, reach: float = REACH, shrink: float = SHRINK) -> DataFrame:
     """(lang, source, one upper fence per measure) for every group in ``measured``.
 
     Documents that fail the fixed rules do not shape the fences.
     """
     good = measured.where(~F.col("base_failed"))
-    sketch = [F.kll_sketch_agg_double(ratio(m)).alias(m) for m in RATIOS]
+    sketch = [F.kll_sketch_agg_double(smoothed(m)).alias(m) for m in RATIOS]
     groups = cut_lineage(good.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketch), "quality-sketches")
     merge = [F.kll_merge_agg_double(m).alias(m) for m in RATIOS]
     by_lang = groups.groupBy("lang").agg(F.sum("n").alias("n"), *merge)
 
     def limit(m: str, at: str) -> Column:
         quantile = lambda q: F.kll_sketch_get_quantile_double(F.col(f"{at}.{m}"), F.lit(q))
-        return quantile(0.75) + reach * F.greatest(quantile(0.75) - quantile(0.25), F.lit(RATIOS[m][2]))
+        return quantile(0.75) + reach * (quantile(0.75) - quantile(0.25))
 
     whole = groups.agg(*merge).where(F.lit(groups.limit(1).count() > 0)).alias("o")
     overall = whole.select(*[limit(m, "o").alias(m) for m in RATIOS]).first()  # one row of as many numbers as measures
@@ -153,12 +162,13 @@ def fences(measured: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP
         .join(groups.alias("g"), F.col("k.lang").eqNullSafe(F.col("g.lang")) & F.col("k.source").eqNullSafe(F.col("g.source")), "left")
         .join(by_lang.alias("l"), F.col("k.lang").eqNullSafe(F.col("l.lang")), "left")
     )
-    pick = lambda m: (
-        F.when(F.col("g.n") >= min_group, limit(m, "g"))
-        .when(F.col("l.n") >= min_group, limit(m, "l"))
-        .otherwise(F.lit(overall[m] if overall else None).cast("double"))
-    )
-    return joined.select("k.lang", "k.source", *[pick(m).alias(f"max_{m}") for m in RATIOS])
+
+    def drawn(m: str, at: str, above: Column) -> Column:
+        n = F.col(f"{at}.n")
+        return F.when(n.isNull(), above).otherwise((n * limit(m, at) + shrink * above) / (n + shrink))
+
+    top = lambda m: F.lit(overall[m] if overall else None).cast("double")
+    return joined.select("k.lang", "k.source", *[drawn(m, "g", drawn(m, "l", top(m))).alias(f"max_{m}") for m in RATIOS])
 
 
 def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -166,7 +176,7 @@ def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
     within = ~F.col("base_failed")
     for m in RATIOS:  # without any good document there is no fence
-        within = within & F.coalesce(ratio(m) <= F.col(f"max_{m}"), F.lit(True))
+        within = within & F.coalesce(assured(m) <= F.col(f"max_{m}"), F.lit(True))
     return measured.join(limits, same, "left").withColumn("kept", within)
 
 

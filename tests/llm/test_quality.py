@@ -85,11 +85,35 @@ def test_fences_against_exact_quantiles(spark):
     docs = messy_docs(spark, rows=rows)
     measured = quality.quality_report(docs)
     limits = {(r.lang, r.source): r for r in quality.fences(measured.select("*")).collect()}
-    for (lang, source), r in limits.items():
-        own = [plain(t) for _, t, ln, s in rows if (ln, s) == (lang, source)]
-        lengths = np.array([m[2] / m[0] for m in own])
+
+    def exact(rows):
+        lengths = np.array([(m[2] + 1) / (m[0] + 1) for m in (plain(t) for _, t, *_ in rows)])
         a, b = np.quantile(lengths, [0.25, 0.75])
-        assert abs(r.max_word_length - (b + 3 * max(b - a, 1.0))) < 0.3
+        return len(rows), b + 3 * (b - a)
+
+    _, whole = exact(rows)
+    for (lang, source), r in limits.items():
+        n, by_lang = exact([x for x in rows if x[2] == lang])
+        by_lang = (n * by_lang + 50 * whole) / (n + 50)
+        n, own = exact([x for x in rows if x[2:] == (lang, source)])
+        assert abs(r.max_word_length - (n * own + 50 * by_lang) / (n + 50)) < 0.2
+
+
+def test_sources_that_differ_in_spread_alone(spark):
+    """The same text passes where lengths of words vary, and fails where they hardly do."""
+    rng = np_rng(4)
+    text = lambda n: " ".join("x" * n + f"{rng.randrange(10**6):06d}" for _ in range(40))
+    rows = [(i, text(rng.choice([2, 4, 6]) if i % 2 else 4), "en", "wide" if i % 2 else "narrow") for i in range(2000)]
+    rows += [(5000, text(9), "en", "wide"), (5001, text(9), "en", "narrow")]
+    got = {r.doc_id: r.kept for r in quality.quality_report(messy_docs(spark, rows=rows)).collect()}
+    assert got[5000] and not got[5001] and all(got[i] for i in range(2000))
+
+
+def test_one_repeated_line_is_no_evidence(spark):
+    rows = [(i, "\n".join(prose(np_rng(9 * i + k), 12) for k in range(6)), "en", "s") for i in range(300)]
+    rows.append((900, rows[0][1] + "\n" + rows[0][1].split("\n")[0].split(" ")[0] + "\n" + rows[0][1].split("\n")[0].split(" ")[0], "en", "s"))
+    got = {r.doc_id: r.kept for r in quality.quality_report(messy_docs(spark, rows=rows)).collect()}
+    assert got[900]
 
 
 def test_small_groups_use_their_language(spark):
