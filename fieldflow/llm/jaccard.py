@@ -15,8 +15,9 @@ Verification. What small buckets bring together is compared by narrow sketches (
 crowded bucket is never paired. Its most central member becomes a pivot, and each member is known from then on by
 its difference to the pivot. Members linked to a pivot share its component. For the rest, the same pigeonhole holds on
 differences: two sets whose differences to the pivot add up to no more than they may differ are both
-linked to it; others share a part of their differences, at least one of the rarest
-``(|x| + (size(x) - size(pivot)) * q - 1) / 2 + 1`` shingles of either one (q as above). Such buckets are paired if they are small and
+linked to it; others share shingles of their differences. The one with the smaller difference lacks at most half of what
+the two may differ in, so it finds the other by one more than that of its rarest; a linked member finds those not linked by
+the rarest ``(|x| + (size(x) - size(pivot)) * q) / 2``, rounded up (q as above). Such buckets are paired if they are small and
 get a pivot of their own if not. So rows stay linear in a large group of near copies, and no link between
 components is lost. After ``ROUNDS`` rounds whatever is left is paired in full.
 
@@ -331,20 +332,28 @@ def _round(state: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataF
     ).where("several")  # what is one component already needs no more links
     most = F.floor(F.col("size") * (100 - percent) / percent).cast("long") + 1
     near = state.join(reach, "gid").where(F.col("main") | (F.size("delta") <= F.col("reach") + most))
-    v = (F.size("delta") + (F.col("size") - F.col("p_size")) * (100 - percent) / (100 + percent)) / 2
-    tokens = near.select("gid", "class", "size", "main", "comp", "linked", F.ceil(v).alias("prefix"), F.size("delta").alias("n_delta"), F.explode("delta").alias("token"))
+    q = (100 - percent) / (100 + percent)
+    v = F.ceil((F.size("delta") + (F.col("size") - F.col("p_size")) * q) / 2)
+    half = F.floor(_allowed("size", "partner", percent) / 2).cast("long") + 1
+    # A linked member may be the one with the larger difference of two, the other being smaller and not linked.
+    found = ~F.col("linked") | (F.size("delta") >= F.floor((F.col("size") * percent / 100 + F.col("p_size")) * q))
+    near = near.withColumn("partner", F.expr(f"size * 100 div {percent}")).withColumn("n_delta", F.size("delta"))
+    tokens = near.select(
+        "gid", "class", "size", "main", "comp", "linked", found.alias("found"), "n_delta",
+        F.when(F.col("linked"), F.least(v, half)).otherwise(half).alias("prefix"), F.explode("delta").alias("token"),
+    )
     tokens = cut_lineage(tokens, "jaccard-tokens")
-    index = tokens.groupBy("gid", "token").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("n_index"))
+    index = tokens.groupBy("gid", "token").agg(F.count("*").alias("n"), F.sum(F.col("found").cast("long")).alias("n_index"))
     index = index.where("n > 1 and n_index > 0")
     place = Window.partitionBy("gid", "class")
-    useful = tokens.join(index, ["gid", "token"]).withColumn("others", F.col("n_index") - (~F.col("linked")).cast("long"))
+    useful = tokens.join(index, ["gid", "token"]).withColumn("others", F.col("n_index") - F.col("found").cast("long"))
     ranked = useful.withColumn("rank", F.row_number().over(place.orderBy(F.col("others") > 0, "others", "token")))
     ranked = ranked.withColumn("n_met", F.count("*").over(place))
-    # Tokens that no other unlinked member has are the rarest of all, and nothing is found by them.
-    look = F.col("rank") <= F.col("prefix") - (F.col("n_delta") - F.col("n_met"))
-    ranked = ranked.withColumn("looks", look & (F.col("others") > 0)).withColumn("found", ~F.col("linked"))
+    # Tokens by which no other member is found are the rarest of all, and nothing is found by them.
+    look = F.col("rank") <= F.least("prefix", "n_delta") - (F.col("n_delta") - F.col("n_met"))
+    ranked = ranked.withColumn("looks", look & (F.col("others") > 0))
     ranked = cut_lineage(ranked.where("looks or found").drop("rank", "n_met", "others", "prefix", "n", "n_index"), "jaccard-ranked")
-    closest = F.min(F.when(F.col("found"), F.struct("n_delta", "class")))["class"]
+    closest = F.min(F.when(~F.col("linked"), F.struct("n_delta", "class")))["class"]
     met = cut_lineage(_buckets(ranked, ["gid", "token"], closest), "jaccard-met")
     crowded = (F.col("n_pairs") > PAIRED_LATER * F.col("n_all")) & F.lit(not last)
     pairs = _paired(met.where(~crowded), ["gid", "token"], percent)
@@ -399,12 +408,13 @@ def near_links(docs: DataFrame, described: DataFrame, shingle: int = SHINGLE, pe
     sets = sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     sets = cut_lineage(sets, "jaccard-sets")
 
-    # Sets in crowded buckets look each other up again, by their rarest single shingles.
+    # Sets in crowded buckets look each other up again, by their rarest single shingles. The smaller of two sets
+    # lacks at most half of what they may differ in.
     token = Window.partitionBy("token")
     single = many.join(sets, "class").select("class", "size", F.explode("tokens").alias("token"))
     single = single.withColumn("n_key", F.count("*").over(token)).where("n_key > 1")
     single = single.withColumn("partner", F.expr(f"size * 100 div {percent}"))
-    spare = F.col("size") - _allowed("size", "partner", percent) - 1
+    spare = F.col("size") - F.floor(_allowed("size", "partner", percent) / 2).cast("long") - 1
     ranked = cut_lineage(_look_ups(single.withColumn("own", F.lit(True)).withColumn("spare", spare), "token"), "jaccard-look-ups")
     buckets = cut_lineage(_buckets(ranked, ["token"], central), "jaccard-buckets")
     pairs = cut_lineage(pairs.union(_paired(buckets.where(~crowded), ["token"], percent)).distinct(), "jaccard-pairs")
