@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import json
 
-from pyspark import SparkContext
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldflow.operators import evaluate as E
+from fieldflow.session import cut_lineage, scratch
 
 CLASSIFIER = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 REGRESSOR = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-# Rounds without a lower validation loss after which boosting counts as ended.
+# Rounds without a better validation AUC (classifier) or squared error (regressor) after which boosting counts as ended.
 CLASSIFIER_PATIENCE = 50
 REGRESSOR_PATIENCE = 80
 
@@ -40,58 +43,108 @@ def best_round(losses: list[float], patience: int) -> int:
     return best + 1
 
 
-def first_rounds(model, n: int):
-    """The fitted trees of the first ``n`` rounds as a model with the same parameters."""
-    java = model._java_obj
-    gateway, jvm = SparkContext._gateway, SparkContext._active_spark_context._jvm
-    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n])):
-        trees[i], weights[i] = tree, weight
-    # The number of features goes along, so that importances keep one entry per feature.
-    if isinstance(model, GBTClassificationModel):
-        cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses())
-    else:
-        cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
-    return model._copyValues(type(model)(cut))
-
-
-def _fit_with_patience(booster, rows: DataFrame, names: list[str], patience: int) -> PipelineModel:
-    """Boosting on the training rows up to the round that stopping with ``patience`` on the validation rows keeps.
-
-    Spark's own rule has no patience, so rounds are fitted without one, at first as many as a stop needs, then
-    four times as many, up to ``maxIter``, until the losses show the stop. A seeded fit only appends trees, so
-    the trees kept are those of a whole fit. Without validation rows all rounds stay.
+def tree_nodes(model: PipelineModel) -> DataFrame:
+    """One row per node of a boosted model: tree, node (in preorder), feature (position, null at leaves), gain, n, prediction.
+
+    ``gain`` is what the split takes off the squared error of the rows it sees (weights counted), ``n`` their number.
     """
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    assembled = assembler.transform(rows)
-    train, held = assembled.where("split = 'train'"), assembled.where("split = 'validation'")
-    rounds = booster.getMaxIter()
-    if held.isEmpty():
-        return PipelineModel([assembler, booster.fit(train)])
-    fitted = min(patience + 1, rounds)
-    while True:
-        model = booster.copy({booster.maxIter: fitted}).fit(train)
-        classifies = isinstance(model, GBTClassificationModel)
-        losses = model.evaluateEachIteration(held) if classifies else model.evaluateEachIteration(held, "squared")
-        kept = best_round(losses, patience)
-        if fitted == rounds or fitted - kept >= patience:
-            return PipelineModel([assembler, first_rounds(model, kept)])
-        fitted = min(4 * fitted, rounds)
+    booster = model.stages[-1]
+    path = scratch(_session(), "trees")
+    booster.save(path)
+    node = F.col("nodeData")
+    inner = node["leftChild"] >= 0
+    return _session().read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        node["id"].alias("node"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, node["gain"] * node["impurityStats"][0]).alias("gain"),
+        node["rawCount"].alias("n"),
+        node["prediction"].alias("prediction"),
+    )
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active()
+
+
+def staged_margins(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``margins``: what the trees of the first 1, 2, ... rounds add up to, all from one pass.
+
+    A row's leaf in each tree is the model's own; the value of a leaf is looked up in a table of all leaves, which
+    has at most 2^depth numbers per tree.
+    """
+    booster = model.stages[-1].copy().setLeafCol("leaves")
+    weights = booster.treeWeights
+    leaves: list[list[float]] = [[] for _ in weights]
+    for r in tree_nodes(model).where("feature is null").orderBy("tree", "node").collect():  # bounded by rounds and depth
+        leaves[r.tree].append(r.prediction * weights[r.tree])
+    table = np.zeros((len(leaves), max(map(len, leaves))))
+    for i, values in enumerate(leaves):
+        table[i, : len(values)] = values
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def running(found: pa.Array) -> pa.Array:
+        at = found.flatten().to_numpy().astype(np.int64).reshape(-1, len(table))
+        sums = np.cumsum(table[np.arange(len(table)), at], axis=1)
+        offsets = np.arange(len(at) + 1, dtype=np.int32) * len(table)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
+
+    assembled = PipelineModel(model.stages[:-1]).transform(rows)
+    scored = booster.transform(assembled).withColumn("margins", running(vector_to_array("leaves")))
+    return scored.select(*rows.columns, "margins")
+
+
+def auc_per_round(model: PipelineModel, rows: DataFrame, target: str) -> list[float]:
+    """AUC on ``rows`` with the trees of the first 1, 2, ... rounds, from one keyed score curve."""
+    staged = staged_margins(model, rows).select(F.col(target).alias("y"), F.posexplode("margins").alias("round", "p"))
+    found = {r["round"]: r.auc_roc for r in E.rank_metrics(staged, ["round"]).collect()}  # one row per round
+    return [found.get(i) or 0.0 for i in range(len(model.stages[-1].treeWeights))]
+
+
+def _refit(booster, train: DataFrame, assembler, model: PipelineModel, kept: int) -> PipelineModel:
+    """The model of the first ``kept`` rounds: a seeded fit only appends trees, so fewer rounds give the same ones."""
+    if kept == len(model.stages[-1].treeWeights):
+        return model
+    return PipelineModel([assembler, booster.copy({booster.maxIter: kept}).fit(train)])
 
 
 def train_classifier(matrix: DataFrame, names: list[str], target: str = "rain_next_60", rounds: int = 200, **params) -> PipelineModel:
-    """``matrix`` holds the features, the target and ``split``; validation rows tell which rounds are kept."""
+    """``matrix`` holds the features, the target and ``split``.
+
+    All rounds are fitted once; the AUC of each on the validation rows tells where stopping with patience ends, and the
+    best round up to there is kept. Without validation rows of both classes all rounds stay.
+    """
     booster = GBTClassifier(labelCol=target, weightCol="weight", maxIter=rounds, **{**CLASSIFIER, **params})
-    return _fit_with_patience(booster, add_class_weight(matrix, target), names, CLASSIFIER_PATIENCE)
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    rows = add_class_weight(matrix, target)
+    train = cut_lineage(assembler.transform(rows.where("split = 'train'")).select("features", target, "weight"), "train")
+    model = PipelineModel([assembler, booster.fit(train)])
+    held = rows.where("split = 'validation'")
+    if held.select(target).distinct().count() < 2:
+        return model
+    kept = best_round([-auc for auc in auc_per_round(model, held, target)], CLASSIFIER_PATIENCE)
+    return _refit(booster, train, assembler, model, kept)
 
 
 def train_regressor(
     matrix: DataFrame, names: list[str], target: str = "rain_amount_next_60_mm", rounds: int = 800, **params
 ) -> PipelineModel:
-    clipped = matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0)))
+    """As the classifier, by squared error; rounds are fitted in lots of at first as many as a stop needs, then four times as many."""
     booster = GBTRegressor(labelCol=target, maxIter=rounds, **{**REGRESSOR, **params})
-    return _fit_with_patience(booster, clipped, names, REGRESSOR_PATIENCE)
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    clipped = assembler.transform(matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0)))).select("features", target, "split")
+    train, held = (cut_lineage(clipped.where(F.col("split") == part), part) for part in ("train", "validation"))
+    if held.isEmpty():
+        return PipelineModel([assembler, booster.fit(train)])
+    fitted = min(REGRESSOR_PATIENCE + 1, rounds)
+    while True:
+        model = PipelineModel([assembler, booster.copy({booster.maxIter: fitted}).fit(train)])
+        kept = best_round(model.stages[-1].evaluateEachIteration(held, "squared"), REGRESSOR_PATIENCE)
+        if fitted == rounds or fitted - kept >= REGRESSOR_PATIENCE:
+            return _refit(booster, train, assembler, model, kept)
+        fitted = min(4 * fitted, rounds)
 
 
 def trees_kept(model: PipelineModel) -> int:
@@ -137,12 +190,11 @@ def slot_scorer(classifier: PipelineModel, regressor: PipelineModel | None = Non
 
 
 def feature_importance(model: PipelineModel, names: list[str], top: int = 20) -> DataFrame:
-    """Features by importance. The vector has one entry per feature, so this is driver-sized by nature."""
-    from pyspark.sql import SparkSession
-
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(names, values)]
-    return SparkSession.active().createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain")).limit(top)
+    """Features by the mean gain of the splits that use them; 0 for those that no split uses."""
+    gains = tree_nodes(model).where("feature is not null").groupBy("feature").agg(F.avg("gain").alias("gain"))
+    named = _session().createDataFrame(list(enumerate(names)), "feature int, name string")
+    joined = named.join(gains, "feature", "left")
+    return joined.select(F.col("name").alias("feature"), F.coalesce("gain", F.lit(0.0)).alias("gain")).orderBy(F.desc("gain"), "feature").limit(top)
 
 
 def classifier_card(

@@ -59,14 +59,14 @@ def target_stats(df: DataFrame, target: str = "rain_amount_next_60_mm") -> DataF
     ).withColumn("median_mm", median / 1_000_000)
 
 
-def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Positives and negatives per distinct score, written once: the rows themselves are read a single time.
+def score_counts(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score (of each key), written once: the rows themselves are read a single time.
 
     Rows without a score or a label cannot be ranked and take no part, here and in every rate made from these.
     """
     known = df.where(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull())
     return cut_lineage(
-        known.groupBy(p).agg(
+        known.groupBy(*by, p).agg(
             F.sum(F.col(y)).cast("bigint").alias("pos"), F.sum(1 - F.col(y)).cast("bigint").alias("neg")
         ),
         "score-counts",
@@ -115,6 +115,29 @@ def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return curve.agg(_ratio(F.sum(F.col("pos") * precision), F.sum("pos").cast("double")).alias("average_precision"))
 
 
+def rank_metrics(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
+    """``auc_roc`` and ``average_precision`` of every key, from one curve over (key, distinct score).
+
+    Cells are cut over all keys' scores, so none holds more than ``CELL_ROWS`` rows, be it one key's or many keys'.
+    A key without positives or without negatives has null for what it cannot tell.
+    """
+    counts = score_counts(df, y, p, by)
+    curve = in_order(counts, by, [p], score_cell(counts, p, CELL_ROWS), {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
+    positives, negatives = F.sum("pos"), F.sum("neg")
+    beaten_by = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2))
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    return curve.groupBy(*by).agg(
+        (1 - _ratio_or_null(beaten_by, positives * negatives)).alias("auc_roc"),
+        _ratio_or_null(F.sum(F.col("pos") * precision), positives).alias("average_precision"),
+        positives.alias("positives"),
+        negatives.alias("negatives"),
+    )
+
+
+def _ratio_or_null(top: Column, bottom: Column) -> Column:
+    return F.when(bottom > 0, top / bottom.cast("double"))
+
+
 def pr_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Precision and recall with every observed score as threshold."""
     counts = score_counts(df, y, p)

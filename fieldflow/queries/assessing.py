@@ -277,6 +277,21 @@ def time_folds(spark, d):
     return evaluate.fold_metrics(evaluate.time_folds(scored(spark, d), FOLDS))
 
 
+@query(
+    "fold:i part:s auc_roc:d average_precision:d positives:i negatives:i",
+    """WITH d AS (SELECT *, datediff('day', CAST((SELECT min(ts) FROM scored) AS DATE), CAST(ts AS DATE)) + 1 AS day FROM scored),
+    f AS (SELECT y, p, v.fold, CASE WHEN day <= v.a THEN 'train' ELSE 'test' END AS part FROM d JOIN (VALUES (1, 20, 23), (2, 23, 26), (3, 26, 30)) AS v(fold, a, b) ON d.day <= v.b),
+    c AS (SELECT fold, part, p, sum(y) AS pos, sum(1 - y) AS neg FROM f GROUP BY ALL),
+    r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM c WINDOW w AS (PARTITION BY fold, part ORDER BY p DESC))
+    SELECT fold, part, 1 - sum(pos * (fp - neg / 2e0)) / nullif(sum(pos) * sum(neg), 0) AS auc_roc,
+      sum(pos * (tp * 1e0 / (tp + fp))) / nullif(sum(pos), 0) AS average_precision, sum(pos) AS positives, sum(neg) AS negatives FROM r GROUP BY 1, 2""",
+    "sensor scored",
+)
+def fold_rank_metrics(spark, d):
+    """AUC and average precision of every fold's parts from one keyed score curve."""
+    return evaluate.rank_metrics(evaluate.time_folds(scored(spark, d), FOLDS), ["fold", "part"])
+
+
 @query(
     "date:s " + METRIC_COLUMNS,
     f"""WITH forecasts AS (SELECT *, ts - INTERVAL 7 SECOND AS made FROM scored),
@@ -310,16 +325,40 @@ def model_matrix(spark, d):
     return cut_lineage(evaluate.time_split(matrix.select("*", "target.*").drop("target")), "matrix")
 
 
-def _scores(spark, d):
+#: What an application has fitted: one model of each kind per folder of tables, shared by its queries.
+_FITTED: dict[tuple[str, str, str], tuple] = {}
+
+
+def _fitted(spark, d, kind, fit):
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _FITTED:
+        _FITTED[key] = fit(model_matrix(spark, d))
+    return _FITTED[key]
+
+
+def fitted_classifier(spark, d):
     """The fitted classifier and its scores of all rows, labelled at the threshold its validation rows suggest."""
-    matrix = model_matrix(spark, d)
-    model = rain.train_classifier(matrix, K.FEATURE_NAMES)
-    return model, cut_lineage(rain.score_at_best(model, matrix), "scores")
+
+    def fit(matrix):
+        model = rain.train_classifier(matrix, K.FEATURE_NAMES)
+        return model, cut_lineage(rain.score_at_best(model, matrix), "scores")
+
+    return _fitted(spark, d, "classifier", fit)
+
+
+def fitted_regressor(spark, d):
+    """The fitted regressor and its predictions of all rows."""
+
+    def fit(matrix):
+        model = rain.train_regressor(matrix, K.FEATURE_NAMES)
+        return model, cut_lineage(rain.score_amount(model, matrix), "amounts")
+
+    return _fitted(spark, d, "regressor", fit)
 
 
 @query("split:s n:i mean_score:d")
 def train_rain_model(spark, d):
-    _, scores = _scores(spark, d)
+    _, scores = fitted_classifier(spark, d)
     return scores.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_score"))
 
 
@@ -333,7 +372,7 @@ SPLIT_LABELS = """split AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY ts,
 )
 def rain_model_checks(spark, d):
     """What must hold whatever the trees learn: rows and positives per part, scores in [0, 1], labels that follow one threshold."""
-    _, scores = _scores(spark, d)
+    _, scores = fitted_classifier(spark, d)
     at = scores.agg(F.min(F.when(F.col("label") == 1, F.col("p"))).alias("least"), F.max(F.when(F.col("label") == 0, F.col("p"))).alias("most"))
     bounds = at.select(F.coalesce(F.col("least") <= F.col("most"), F.lit(False)).cast("int")).scalar()
     return scores.groupBy("split").agg(
@@ -347,21 +386,20 @@ def rain_model_checks(spark, d):
 
 @query("split:s n:i mae:d rmse:d r2:d")
 def train_amount_model(spark, d):
-    matrix = model_matrix(spark, d)
-    scored_rows = rain.score_amount(rain.train_regressor(matrix, K.FEATURE_NAMES), matrix)
+    _, scored_rows = fitted_regressor(spark, d)
     held = scored_rows.where("split = 'validation'").withColumn("actual", F.col("rain_amount_next_60_mm"))
     return evaluate.regression_metrics(held).withColumn("split", F.lit("validation"))
 
 
 @query("device_id:s ts:t p:d label:i threshold:d")
 def score_rain(spark, d):
-    _, scores = _scores(spark, d)
+    _, scores = fitted_classifier(spark, d)
     return scores.where("split = 'validation'")
 
 
 @query("feature:s gain:d")
 def feature_importance(spark, d):
-    model, _ = _scores(spark, d)
+    model, _ = fitted_classifier(spark, d)
     return rain.feature_importance(model, K.FEATURE_NAMES)
 
 
@@ -369,14 +407,12 @@ def feature_importance(spark, d):
     "features:s hyperparameters:s n_trees:i threshold_default:d auc_roc:d pr_auc:d precision:d recall:d f1:d n_samples:i n_train:i n_val:i positive_rate:d"
 )
 def model_card(spark, d):
-    model, scores = _scores(spark, d)
+    model, scores = fitted_classifier(spark, d)
     return rain.classifier_card(scores, K.FEATURE_NAMES, n_trees=rain.trees_kept(model))
 
 
 def _amount_card(spark, d):
-    matrix = model_matrix(spark, d)
-    model = rain.train_regressor(matrix, K.FEATURE_NAMES)
-    scores = cut_lineage(rain.score_amount(model, matrix), "amounts")
+    model, scores = fitted_regressor(spark, d)
     return rain.regressor_card(scores, K.FEATURE_NAMES, n_trees=rain.trees_kept(model))
 
 

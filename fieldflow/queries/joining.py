@@ -484,10 +484,9 @@ def pre_irrigation_check(spark, d):
 def model_checked_slots(spark, d):
     """The check with fitted models in place of the rule; what must hold whatever the trees learn."""
     from fieldflow.models import rain
-    from fieldflow.queries.assessing import model_matrix
+    from fieldflow.queries.assessing import fitted_classifier, fitted_regressor
 
-    matrix = model_matrix(spark, d)
-    models = rain.train_classifier(matrix, K.FEATURE_NAMES), rain.train_regressor(matrix, K.FEATURE_NAMES)
+    models = fitted_classifier(spark, d)[0], fitted_regressor(spark, d)[0]
     checked = pre_irrigation.check_slots(
         irrigation(spark, d), adapter.sensor_reading(spark, d), adapter.weather_hour(spark, d), rain.slot_scorer(*models)
     )

@@ -1,6 +1,10 @@
 import json
 
+import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
@@ -53,10 +57,66 @@ def test_small_gains_do_not_end_a_fit(spark):
     long = rain.train_regressor(rows, ["x", "z"], rounds=12, stepSize=0.001, maxDepth=2)
     assert rain.trees_kept(long) == 12  # each round gains less than 1 %
     short = rain.train_regressor(rows, ["x", "z"], rounds=4, stepSize=0.001, maxDepth=2)
-    cut = rain.first_rounds(long.stages[-1], 4)
-    assert [t.toDebugString.split("\n", 1)[1] for t in cut.trees] == [t.toDebugString.split("\n", 1)[1] for t in short.stages[-1].trees]
-    assert cut.treeWeights == short.stages[-1].treeWeights and cut.getMaxIter() == 12
-    assert len(cut.featureImportances) == 2
+    first = [t.toDebugString.split("\n", 1)[1] for t in long.stages[-1].trees[:4]]
+    assert first == [t.toDebugString.split("\n", 1)[1] for t in short.stages[-1].trees]  # so a refit may stand for a cut
+
+
+def plain_auc(pairs):
+    wins = [(a > b) + (a == b) / 2 for a, y in pairs if y == 1 for b, z in pairs if z == 0]
+    return sum(wins) / len(wins)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """A fit of a few rounds that the training rows and the validation rows judge differently."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 3))
+    y = (x[:, 0] + 0.4 * x[:, 1] * x[:, 2] + rng.normal(size=700) > 0.8).astype(int)
+    part = np.where(np.arange(700) % 4 == 0, "validation", "train")
+    rows = [(*map(float, r), int(t), str(s)) for r, t, s in zip(x, y, part)]
+    matrix = spark.createDataFrame(rows, "a double, b double, c double, rain_next_60 int, split string").coalesce(1)
+    assembler = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features")
+    train = assembler.transform(rain.add_class_weight(matrix).where("split = 'train'"))
+    booster = GBTClassifier(labelCol="rain_next_60", weightCol="weight", maxIter=12, **{**rain.CLASSIFIER, "maxDepth": 3})
+    return matrix, PipelineModel([assembler, booster.fit(train)])
+
+
+def test_auc_of_every_round_against_all_pairs(small):
+    matrix, model = small
+    held = matrix.where("split = 'validation'")
+    staged = rain.staged_margins(model, held).collect()
+    raw = [r[0] for r in rain.score_rain(model, held).select("p").collect()]
+    assert np.allclose([1 / (1 + np.exp(-2 * r.margins[-1])) for r in staged], raw)
+    want = [plain_auc([(r.margins[k], r.rain_next_60) for r in staged]) for k in range(12)]
+    got = rain.auc_per_round(model, held, "rain_next_60")
+    assert np.allclose(got, want)
+
+
+def test_the_round_with_the_best_auc_is_kept(small, monkeypatch):
+    matrix, whole = small
+    aucs = rain.auc_per_round(whole, matrix.where("split = 'validation'"), "rain_next_60")
+    for patience in (1, 2, 50):
+        monkeypatch.setattr(rain, "CLASSIFIER_PATIENCE", patience)
+        model = rain.train_classifier(matrix, ["a", "b", "c"], rounds=12, maxDepth=3)
+        assert rain.trees_kept(model) == rain.best_round([-a for a in aucs], patience)
+
+
+def test_gain_against_a_walk_of_the_trees(small):
+    _, model = small
+    splits = {}
+
+    def walk(node):
+        if node.numDescendants():
+            stats = node.impurityStats().stats()
+            splits.setdefault(node.split().featureIndex(), []).append(node.gain() * stats[0])
+            walk(node.leftChild())
+            walk(node.rightChild())
+
+    for tree in model.stages[-1]._java_obj.trees():
+        walk(tree.rootNode())
+    want = {n: float(np.mean(splits[i])) if i in splits else 0.0 for i, n in enumerate("abc")}
+    got = {r.feature: r.gain for r in rain.feature_importance(model, ["a", "b", "c"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, want[k]) for k in want)
 
 
 def test_cards_tell_the_trees_kept(spark, matrix):
