@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
 from fieldflow.operators.ordered import fit_cell_seconds, in_order, row_index, time_cell
-from fieldflow.operators.spans import asof_nearest, contained_pairs, coverage_spans, span_lookup
+from fieldflow.operators.slots import audit_slots as audit_slots
+from fieldflow.operators.spans import asof_nearest, coverage_spans, span_lookup
 from fieldflow.session import cut_lineage
 
 WEATHER_COLUMNS = ["api_pop", "api_rain_1h", "api_temp_c", "api_rh_pct", "api_uvi", "api_weather_code"]
@@ -115,60 +116,3 @@ def overlay(slots: DataFrame, updates: DataFrame, keys: Sequence[str] = ("device
         c: F.when(found, F.col(f"_new.{c}")).otherwise(F.col(c) if c in slots.columns else F.lit(None)) for c in fields
     }
     return joined.withColumns(values).drop("_new")
-
-
-def audit_slots(slots: DataFrame, readings: DataFrame, soil_ref: float = K.SLOT_SOIL_REF) -> DataFrame:
-    """What the device would do with each slot.
-
-    The first reading inside [start, end) at which no pump runs decides: soil under the reference starts
-    the pump, else the slot is skipped. Without readings a slot was missed; if the pump of earlier slots ran
-    at all of them, it is ``blocked``. A pump runs for its slot's minutes, also over midnight.
-
-    A run ends at most its minutes after its slot, so slots that start later than that begin a new stretch;
-    the fold over slots sees one stretch of overlapping slots and the readings inside them.
-    """
-    reach = F.col("end_ts") + F.make_dt_interval(mins=F.col("duration_min"))
-    earlier = Window.partitionBy("device_id").orderBy("start_ts", "end_ts").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce((F.col("start_ts") > F.max(reach).over(earlier)).cast("int"), F.lit(1))
-    upto = Window.partitionBy("device_id").orderBy("start_ts", "end_ts").rowsBetween(Window.unboundedPreceding, 0)
-    stretched = cut_lineage(
-        slots.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(upto)).drop("_fresh"), "slots"
-    )
-    seen = (
-        contained_pairs(stretched.select("device_id", "start_ts", "end_ts"), readings.select("device_id", "ts", "soil_moist_pct"), "start_ts", "end_ts")
-        .groupBy("device_id", "start_ts", "end_ts")
-        .agg(F.sort_array(F.collect_list(F.struct("ts", "soil_moist_pct"))).alias("seen"))
-    )
-    stretches = stretched.join(seen, ["device_id", "start_ts", "end_ts"], "left").groupBy("device_id", "_stretch").agg(
-        F.sort_array(F.collect_list(F.struct("start_ts", "end_ts", "duration_min", "seen"))).alias("slots")
-    )
-
-    def step(acc, s):
-        free = F.filter(s["seen"], lambda r: acc["busy_until"].isNull() | (r["ts"] >= acc["busy_until"]))
-        first, looked = F.get(free, 0), F.get(s["seen"], 0)
-        outcome = (
-            F.when(looked.isNull(), "missed")
-            .when(first.isNull(), "blocked")
-            .when(first["soil_moist_pct"] < soil_ref, "started")
-            .otherwise("skipped")
-        )
-        at = F.coalesce(first, looked)
-        done = F.struct(
-            s["start_ts"].alias("start_ts"),
-            s["end_ts"].alias("end_ts"),
-            s["duration_min"].alias("duration_min"),
-            at["ts"].alias("checked_ts"),
-            at["soil_moist_pct"].alias("soil_at_start"),
-            outcome.alias("outcome"),
-        )
-        stop = at["ts"] + F.make_dt_interval(mins=s["duration_min"])
-        return F.struct(
-            F.when(outcome == "started", stop).otherwise(acc["busy_until"]).alias("busy_until"),
-            F.concat(acc["done"], F.array(done)).alias("done"),
-        )
-
-    minutes = slots.schema["duration_min"].dataType.simpleString()
-    item = f"start_ts: timestamp, end_ts: timestamp, duration_min: {minutes}, checked_ts: timestamp, soil_at_start: double, outcome: string"
-    start = F.struct(F.lit(None).cast("timestamp").alias("busy_until"), F.array().cast(f"array<struct<{item}>>").alias("done"))
-    folded = stretches.select("device_id", F.explode(F.aggregate("slots", start, step, lambda a: a["done"])).alias("s"))
-    return folded.select("device_id", F.to_date("s.start_ts").alias("date"), "s.*")
