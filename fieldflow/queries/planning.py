@@ -396,10 +396,13 @@ def online_devices(spark, d):
     return devices.online_devices(status_messages(spark, d), now, silence_seconds=7200)
 
 
+SILENCES = """WITH n AS (SELECT device_id, ts, coalesce(lead(ts) OVER (PARTITION BY device_id ORDER BY ts), TIMESTAMP '2024-01-31 00:00:00') AS nxt FROM sensor)
+    SELECT device_id, ts AS silent_from, nxt AS silent_until, (epoch_us(nxt) - epoch_us(ts)) / 1e6 AS silent_seconds FROM n WHERE (epoch_us(nxt) - epoch_us(ts)) / 1e6 > 900"""
+
+
 @query(
     "device_id:s silent_from:t silent_until:t silent_seconds:d",
-    """WITH n AS (SELECT device_id, ts, coalesce(lead(ts) OVER (PARTITION BY device_id ORDER BY ts), TIMESTAMP '2024-01-31 00:00:00') AS nxt FROM sensor)
-    SELECT device_id, ts AS silent_from, nxt AS silent_until, (epoch_us(nxt) - epoch_us(ts)) / 1e6 AS silent_seconds FROM n WHERE (epoch_us(nxt) - epoch_us(ts)) / 1e6 > 900""",
+    SILENCES,
     "sensor",
 )
 def silent_devices(spark, d):
@@ -534,6 +537,21 @@ def stream_device_state(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("device_id:s silent_from:t silent_until:t silent_seconds:d", SILENCES, "sensor")
+def stream_silences(spark, d):
+    """The silences from the stream of readings. A later reading of another device moves the watermark past the data."""
+    base, source = scratch(spark, "silences"), scratch(spark, "reading-files")
+    readings = adapter.sensor_reading(spark, d).select("device_id", "ts")
+    readings.write.parquet(source)
+    stream = state.silence_stream(ingest.file_stream(spark, source, "device_id string, ts timestamp"), late="1 minute")
+    run = lambda: finish(ingest.append_stream(stream, f"{base}/out", f"{base}/state"))
+    run()
+    later = readings.agg((F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts"))
+    later.select(F.lit("clock").alias("device_id"), "ts").write.mode("append").parquet(source)
+    run()
+    return state.silences(spark.read.parquet(f"{base}/out"), at("2024-01-31 00:00:00"))
+
+
 @query(
     "date:s rows:i minutes:i",
     """WITH t AS (SELECT DISTINCT device_id, date FROM stored WHERE duration_min = 3),

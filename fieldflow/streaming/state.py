@@ -6,11 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldflow.functions import constants as K
+from fieldflow.operators.ordered import micros, neighbours
+from fieldflow.operators.spans import SECOND
 
 FIELDS = ["ts", *K.BASE_COLUMNS]
 BUFFER_SCHEMA = "device_id string, buffer_rows int, rows array<struct<ts: timestamp, temp_c: double, rh_pct: double, pressure_hpa: double, soil_moist_pct: double>>"
@@ -91,6 +93,42 @@ def session_stream(messages: DataFrame, silence: str = "6 seconds", late: str =
     )
 
 
+def silence_stream(readings: DataFrame, limit_minutes: float = 15.0, late: str = "10 minutes") -> DataFrame:
+    """A warning for each time a device says nothing for longer than the limit, sent out once the watermark is past it.
+
+    ``awake_from`` and ``silent_from`` are the first and last reading before the silence, ``warned_at`` the moment
+    the limit was passed. Only event time decides: a replay warns of the same silences, however the readings are cut
+    into micro-batches, and a reading that comes late, but within ``late``, ends a silence before it is warned of.
+    State is one open run of readings per device (a null device is one too); runs are merged inside each partition
+    before the shuffle. Readings without a time are left out.
+    """
+    limit = F.expr(f"INTERVAL '{limit_minutes * 60:.6f}' SECOND")
+    return (
+        readings.where("ts is not null")
+        .select("device_id", "ts")
+        .withWatermark("ts", late)
+        .groupBy("device_id", F.session_window("ts", f"{round(limit_minutes * 60_000_000) + 1} microseconds"))
+        .agg(
+            F.min("ts").alias("awake_from"),
+            F.max("ts").alias("silent_from"),
+            F.count(F.lit(1)).alias("readings"),
+        )
+        .select("device_id", "awake_from", "silent_from", (F.col("silent_from") + limit).alias("warned_at"), "readings")
+    )
+
+
+def silences(warnings: DataFrame, now: Column, **cells) -> DataFrame:
+    """Warnings of ``silence_stream`` with the end of each silence: the device's next reading, or ``now``."""
+    paired = neighbours(warnings.select("device_id", "awake_from", "silent_from"), ts="silent_from", next=["awake_from"], **cells)
+    until = F.coalesce("next_awake_from", now)
+    return paired.select(
+        "device_id",
+        "silent_from",
+        until.alias("silent_until"),
+        ((micros(until) - micros("silent_from")) / SECOND).alias("silent_seconds"),
+    )
+
+
 def presence_stream(messages: DataFrame, silence_seconds: float = 6.0) -> DataFrame:
     """``device_id``, ``ts``, ``status`` whenever a device's state changes; silence makes it offline by a timer.
 

@@ -110,3 +110,37 @@ def test_silence_is_noticed_without_a_later_message(spark, tmp_path):
             found = {tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
     query.stop()
     assert found == expected
+
+
+def warnings_of(spark, folder, lots, per_trigger):
+    """Each lot is one file, in order; then another device's reading an hour on."""
+    schema = "device_id string, ts timestamp"
+    source, out = f"{folder}/in", f"{folder}/out"
+    for lot in [*lots, [("clock", at(5000))]]:
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.01)
+    stream = state.silence_stream(ingest.file_stream(spark, source, schema, maxFilesPerTrigger=str(per_trigger)), late="30 minutes")
+    run(ingest.append_stream(stream, out, f"{folder}/state"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def test_silence_warnings_follow_event_time_alone(spark, tmp_path):
+    """Exactly the limit is no silence; a late reading closes one; the cut into micro-batches does not matter."""
+    lots = [
+        [("a", at(0)), ("a", at(15)), ("b", at(3)), (None, at(4)), ("a", None)],
+        [("a", at(30.1)), ("b", at(25))],
+        [("b", at(14)), ("a", at(31))],
+        [("a", at(100)), ("b", at(101)), ("b", at(101))],
+    ]
+    expected = {
+        ("a", at(0), at(15), at(30), 2), ("a", at(30.1), at(31), at(46), 2), ("a", at(100), at(100), at(115), 1),
+        ("b", at(3), at(25), at(40), 3), ("b", at(101), at(101), at(116), 2), (None, at(4), at(4), at(19), 1),
+    }
+    for per_trigger in (1, 9):
+        found = warnings_of(spark, str(tmp_path / str(per_trigger)), lots, per_trigger)
+        assert {tuple(r) for r in found.collect()} == expected
+    ended = {tuple(r)[:3] for r in state.silences(found, F.lit(at(200)).cast("timestamp")).collect()}
+    assert ended == {
+        ("a", at(15), at(30.1)), ("a", at(31), at(100)), ("a", at(100), at(200)),
+        ("b", at(25), at(101)), ("b", at(101), at(200)), (None, at(4), at(200)),
+    }
