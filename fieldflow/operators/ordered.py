@@ -9,6 +9,7 @@ each key by time first and stitch the cells together through a small per-cell ta
 * ``over_rows``       lag / lead / rolling frames, on chunks of equal row count with an exact halo; a
                       ``row_index`` column that is already there is used as it is, so number the rows once,
                       early, and carry the number through row-preserving steps
+* ``over_time``     count, sum, mean and deviation over the last minutes, whatever the cadence
 * ``exact_median``    median from value counts and their running sums
 
 The per-cell table has one row per key and occupied cell, so its size follows the time span, not
@@ -184,6 +185,64 @@ def over_rows(
     return out if numbered or keep_index else out.drop("row_index")
 
 
+def over_time(
+    df: DataFrame,
+    columns: Sequence[str],
+    minutes: Sequence[int],
+    by: Sequence[str] = ("device_id",),
+    ts: str = "ts",
+    digits: int = 6,
+    cell_seconds: float | None = None,
+) -> DataFrame:
+    """``<c>_n<m>m``, ``_sum<m>m``, ``_mean<m>m`` and ``_std<m>m`` over the last ``m`` minutes, for any cadence.
+
+    A frame is [ts - m minutes, ts] and holds all rows of the key at its ends, those of the same instant too, as a
+    RANGE frame does. Its sums are the running sums up to ``ts`` less those before the frame: each instant sends one
+    mark per frame to the place just before it, so the work is the same for a frame of ten rows and one of a million.
+    Values count in units of 10^-``digits`` and sums are exact whole numbers: no digits are lost to the difference,
+    and results do not depend on partitioning. Nulls and NaN are left out of a frame (count 0, the rest null; ``std``
+    needs two values). A row without a time has count 0; a null key is a key.
+    """
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0))
+    keyed = df.withColumns({"_key": key, "_at": micros(ts)})
+    unit = lambda c: F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) * F.lit(10.0**digits)).cast("decimal(19,0)")
+    whole = "decimal(38,0)"
+    parts = {}
+    for i, c in enumerate(columns):
+        parts |= {f"_n{i}": F.count(unit(c)), f"_s{i}": F.sum(unit(c)), f"_q{i}": F.sum(unit(c) * unit(c))}
+    instants = keyed.where("_at is not null").groupBy("_key", "_at").agg(
+        *[F.coalesce(v, F.lit(0)).cast(whole).alias(n) for n, v in parts.items()]
+    )
+    reach = F.array(F.lit(None).cast("bigint"), *[F.lit(m * 60 * 1_000_000).cast("bigint") for m in minutes])
+    marked = cut_lineage(instants.withColumn("_back", F.explode(reach)), "frame-marks").withColumns(
+        {"_own": F.col("_at"), "_row": F.col("_back").isNull()}
+    )
+    marked = marked.withColumn("_at", F.col("_at") - F.coalesce("_back", F.lit(0)))
+    marked = marked.withColumn("_when", F.timestamp_micros("_at"))
+    width = cell_seconds or fit_cell_seconds(marked, ["_key"], "_when")
+    sums = {f"_to{n}": F.when(F.col("_row"), F.col(n)).otherwise(F.lit(0).cast(whole)) for n in parts}
+    # A mark stands before the rows of its instant: false sorts first.
+    running = in_order(marked.withColumnRenamed("_key", "_k"), ["_k"], ["_at", "_row"], time_cell("_when", width), sums)
+    pick = lambda n, back: F.max(F.when(F.col("_back").eqNullSafe(back), F.col(f"_to{n}")))
+    frames = running.groupBy(F.col("_k").alias("_key"), F.col("_own").alias("_at")).agg(
+        *[pick(n, F.lit(None)).alias(f"_upto{n}") for n in parts],
+        *[pick(n, F.lit(m * 60 * 1_000_000)).alias(f"_m{m}{n}") for m in minutes for n in parts],
+    )
+    out = {}
+    for m in minutes:
+        for i, c in enumerate(columns):
+            n, s, q = (F.col(f"_upto_{x}{i}") - F.col(f"_m{m}_{x}{i}") for x in "nsq")
+            some = n > 0
+            spread = (n * q - s * s).cast("double") / (n * (n - 1)).cast("double")
+            out |= {
+                f"{c}_n{m}m": F.coalesce(n.cast("bigint"), F.lit(0)),
+                f"{c}_sum{m}m": F.when(some, s.cast("double") / 10.0**digits),
+                f"{c}_mean{m}m": F.when(some, s.cast("double") / n.cast("double") / 10.0**digits),
+                f"{c}_std{m}m": F.when(n > 1, F.sqrt(spread) / 10.0**digits),
+            }
+    return keyed.join(frames, ["_key", "_at"], "left").select(*df.columns, *[v.alias(k) for k, v in out.items()])
+
+
 def exact_median(df: DataFrame, by: Sequence[str], value: str, cell_width: int = 1_000_000) -> DataFrame:
     """Median of an integer column per key, without holding a key's values in one buffer.
 

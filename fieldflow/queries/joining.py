@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldflow.functions import constants as K
 from fieldflow.functions import scalars
 from fieldflow.operators import evaluate, features, joins, labels
-from fieldflow.operators.ordered import fit_cell_seconds, number_rows, over_rows, row_index, time_cell
+from fieldflow.operators.ordered import fit_cell_seconds, number_rows, over_rows, over_time, row_index, time_cell
 from fieldflow.plans import pre_irrigation
 from fieldflow.queries.inputs import (
     decided_slots,
@@ -234,6 +234,25 @@ def _full(fn, c, k):
 ROLLING = [f"{c}_{f}{k}" for c in K.BASE_COLUMNS for k in features.PRO_FRAMES for f in ("mean", "std")]
 
 
+FRAME_MINUTES = [30, 60, 180]
+FRAME_PARTS = {"n": ("i", "count({c})"), "sum": ("d", "sum({c})"), "mean": ("d", "avg({c})"), "std": ("d", "stddev_samp({c})")}
+FRAMES = [(c, f, m) for m in FRAME_MINUTES for c in ("temp_c", "soil_moist_pct") for f in FRAME_PARTS]
+
+
+@query(
+    " ".join(["device_id:s ts:t", *[f"{c}_{f}{m}m:{FRAME_PARTS[f][0]}" for c, f, m in FRAMES]]),
+    "SELECT device_id, ts, "
+    + ", ".join(f"{FRAME_PARTS[f][1].format(c=c)} OVER w{m} AS {c}_{f}{m}m" for c, f, m in FRAMES)
+    + " FROM sensor WINDOW "
+    + ", ".join(f"w{m} AS (PARTITION BY device_id ORDER BY ts RANGE BETWEEN INTERVAL {m} MINUTE PRECEDING AND CURRENT ROW)" for m in FRAME_MINUTES),
+    "sensor",
+)
+def time_range_features(spark, d):
+    """Count, sum, mean and deviation over the last 30, 60 and 180 minutes, for an irregular cadence."""
+    readings = adapter.sensor_reading(spark, d).select("device_id", "ts", "temp_c", "soil_moist_pct")
+    return over_time(readings, ["temp_c", "soil_moist_pct"], FRAME_MINUTES)
+
+
 @query(
     _columns(ROLLING),
     "SELECT device_id, ts, "

@@ -1,3 +1,6 @@
+from datetime import timedelta
+
+import numpy as np
 import pandas as pd
 import pytest
 from helpers import at, random_readings, readings
@@ -10,6 +13,7 @@ from fieldflow.operators.ordered import (
     number_cell,
     number_rows,
     over_rows,
+    over_time,
     in_order,
     neighbours,
     row_index,
@@ -97,3 +101,30 @@ def test_a_fleet_on_one_tick_is_reported(spark):
     with pytest.warns(UserWarning, match="share a key"):
         width = fit_cell_seconds(df, [], max_rows=100)
     assert width == pytest.approx(0.001)
+
+
+def test_time_frames_equal_a_plain_count(spark):
+    """A device with most rows in one hour, repeated instants, nulls, NaN, a null device, rows without a time."""
+    rng = np.random.default_rng(11)
+    minutes = [*rng.integers(0, 60, 300), *rng.integers(0, 3000, 100).tolist()]
+    rows = [(str(rng.choice(["hot", "hot", "b"])), at(float(m)), round(float(rng.normal(1000, 5)), 2)) for m in minutes]
+    rows += [("b", at(70), None), ("b", at(71), float("nan")), (None, at(10), 4.5), (None, at(40), 5.5), ("hot", None, 1.0)]
+    df = spark.createDataFrame(rows, "device_id string, ts timestamp, v double")
+    for cell in (None, 420):
+        got = over_time(df, ["v"], [30, 180], cell_seconds=cell).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            for m in (30, 180):
+                frame = [
+                    v for d, t, v in rows
+                    if r.ts and t and d == r.device_id and r.ts - timedelta(minutes=m) <= t <= r.ts and v is not None and v == v
+                ]
+                assert r[f"v_n{m}m"] == len(frame)
+                if not frame:
+                    assert r[f"v_sum{m}m"] is r[f"v_mean{m}m"] is r[f"v_std{m}m"] is None
+                else:
+                    assert r[f"v_sum{m}m"] == pytest.approx(sum(frame), abs=1e-6)
+                    assert r[f"v_mean{m}m"] == pytest.approx(np.mean(frame), abs=1e-9)
+                    std = np.std(frame, ddof=1) if len(frame) > 1 else None
+                    assert r[f"v_std{m}m"] == (None if std is None else pytest.approx(std, abs=1e-9))
+    assert over_time(df.limit(0), ["v"], [30]).count() == 0
