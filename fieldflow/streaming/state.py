@@ -107,7 +107,7 @@ def silence_stream(readings: DataFrame, limit_minutes: float = 15.0, late: str =
         readings.where("ts is not null")
         .select("device_id", "ts")
         .withWatermark("ts", late)
-        .groupBy("device_id", F.session_window("ts", f"{round(limit_minutes * 60_000_000) + 1} microseconds"))
+        .groupBy("device_id", F.session_window("ts", f"{round(limit_minutes * 60_000_000)} microseconds"))
         .agg(
             F.min("ts").alias("awake_from"),
             F.max("ts").alias("silent_from"),
@@ -118,10 +118,13 @@ def silence_stream(readings: DataFrame, limit_minutes: float = 15.0, late: str =
 
 
 def silences(warnings: DataFrame, now: Column, **cells) -> DataFrame:
-    """Warnings of ``silence_stream`` with the end of each silence: the device's next reading, or ``now``."""
-    paired = neighbours(warnings.select("device_id", "awake_from", "silent_from"), ts="silent_from", next=["awake_from"], **cells)
+    """Warnings of ``silence_stream`` with the end of each silence: the device's next reading, or ``now``.
+
+    A silence that had not passed the limit by ``now`` is left out: the stream may know more than ``now`` does.
+    """
+    paired = neighbours(warnings.drop("readings"), ts="silent_from", next=["awake_from"], **cells)
     until = F.coalesce("next_awake_from", now)
-    return paired.select(
+    return paired.where(until > F.col("warned_at")).select(
         "device_id",
         "silent_from",
         until.alias("silent_until"),

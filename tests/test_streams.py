@@ -1,7 +1,7 @@
 import json
 from collections import Counter
 import time
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from helpers import at, random_readings
 from pyspark.sql import functions as F
@@ -129,12 +129,13 @@ def test_silence_warnings_follow_event_time_alone(spark, tmp_path):
     lots = [
         [("a", at(0)), ("a", at(15)), ("b", at(3)), (None, at(4)), ("a", None)],
         [("a", at(30.1)), ("b", at(25))],
-        [("b", at(14)), ("a", at(31))],
+        [("b", at(14)), ("a", at(31)), ("e", at(29)), ("e", at(44) + timedelta(microseconds=1))],
         [("a", at(100)), ("b", at(101)), ("b", at(101))],
     ]
     expected = {
         ("a", at(0), at(15), at(30), 2), ("a", at(30.1), at(31), at(46), 2), ("a", at(100), at(100), at(115), 1),
         ("b", at(3), at(25), at(40), 3), ("b", at(101), at(101), at(116), 2), (None, at(4), at(4), at(19), 1),
+        ("e", at(29), at(29), at(44), 1), ("e", *[at(44) + timedelta(microseconds=1)] * 2, at(59) + timedelta(microseconds=1), 1),
     }
     for per_trigger in (1, 9):
         found = warnings_of(spark, str(tmp_path / str(per_trigger)), lots, per_trigger)
@@ -143,4 +144,7 @@ def test_silence_warnings_follow_event_time_alone(spark, tmp_path):
     assert ended == {
         ("a", at(15), at(30.1)), ("a", at(31), at(100)), ("a", at(100), at(200)),
         ("b", at(25), at(101)), ("b", at(101), at(200)), (None, at(4), at(200)),
+        ("e", at(29), at(44) + timedelta(microseconds=1)), ("e", at(44) + timedelta(microseconds=1), at(200)),
     }
+    early = {tuple(r)[:2] for r in state.silences(found, F.lit(at(116)).cast("timestamp")).collect()}
+    assert ("b", at(101)) not in early and ("a", at(100)) in early
