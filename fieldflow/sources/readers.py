@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from fieldflow import schemas
 from fieldflow.functions import constants as K
@@ -13,7 +14,7 @@ from fieldflow.functions.scalars import dew_point, parse_timestamp
 from fieldflow.session import use_utc
 
 
-def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet") -> DataFrame:
     reader = use_utc(spark).read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", "true").option("enforceSchema", "false")
@@ -59,7 +60,16 @@ def read_labels(
 
 
 def read_forecast(spark: SparkSession, path: str, fmt: str = "csv", schema: str = schemas.WEATHER_HOUR) -> DataFrame:
-    return require_columns(read_table(spark, path, schema, fmt), ["ts", "api_rain_1h", "api_pop"])
+    """Hourly forecast. Time, rain and rain chance must be columns of the file itself.
+
+    Columns are taken by name, in any order; others of the schema that the file lacks are null, further ones are left out.
+    """
+    reader = use_utc(spark).read.format(fmt)
+    held = require_columns((reader.option("header", "true") if fmt == "csv" else reader).load(path), ["ts", "api_rain_1h", "api_pop"])
+    declared = {f.name: f.dataType for f in StructType.fromDDL(schema)}
+    own = StructType([StructField(f.name, declared.get(f.name, f.dataType)) for f in held.schema])
+    rows = read_table(spark, path, own, fmt)
+    return rows.select(*[F.col(c) if c in held.columns else F.lit(None).cast(t).alias(c) for c, t in declared.items()])
 
 
 def read_irrigation(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from helpers import at, readings
@@ -118,3 +118,27 @@ def test_appended_rows_add_up(spark, tmp_path):
         ingest.write_batch(df, str(tmp_path / "batches"), 7)
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
     assert spark.read.parquet(str(tmp_path / "batches")).count() == 2
+
+
+def test_forecast_file_becomes_days(spark, tmp_path):
+    """Columns in another order, one that is not ours, several of ours absent."""
+    f = tmp_path / "forecast.csv"
+    f.write_text(
+        "api_pop,site,ts,api_weather_code,api_rain_1h\n"
+        "0.2,x,2024-01-01 00:00:00,500,1.5\n0.7,x,2024-01-01 23:00:00,500,\n0.1,x,2024-01-02 00:00:00,,0.25\n"
+    )
+    hourly = readers.read_forecast(spark, str(f))
+    assert hourly.columns[:2] == ["ts", "api_temp_c"] and "site" not in hourly.columns
+    days = [tuple(r) for r in planning.daily_forecast(hourly).orderBy("date").collect()]
+    assert days == [(date(2024, 1, 1), 1.5, 0.7, 500), (date(2024, 1, 2), 0.25, 0.1, 0)]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_forecast_needs_its_columns_in_the_file(spark, tmp_path, fmt):
+    rows = spark.createDataFrame([(at(0), 0.5)], "ts timestamp, api_pop double")
+    rows.write.option("header", "true").format(fmt).save(str(tmp_path / "f"))
+    with pytest.raises(ValueError, match="missing columns: api_rain_1h"):
+        readers.read_forecast(spark, str(tmp_path / "f"), fmt)
+    rows.withColumn("api_rain_1h", F.lit(2.0)).write.option("header", "true").format(fmt).save(str(tmp_path / "g"))
+    row = readers.read_forecast(spark, str(tmp_path / "g"), fmt).first()
+    assert (row.ts, row.api_pop, row.api_rain_1h, row.api_uvi) == (at(0), 0.5, 2.0, None)
