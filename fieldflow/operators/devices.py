@@ -17,20 +17,21 @@ from fieldflow.session import cut_lineage
 def device_sessions(messages: DataFrame, silence_seconds: float = 6.0, **cells) -> DataFrame:
     """Runs of status messages of a device with no silence above the limit, and the last status of each.
 
-    Only session starts leave the first step; a session's end is what stood before the next start.
+    Of messages at one instant the greatest status counts as the last. Only session starts leave the first step; a session's end is what stood before the next start.
     """
     gap = int(silence_seconds * SECOND)
     marked = neighbours(
         messages.select("device_id", "ts", "status"),
         sums={"pos": F.lit(1).cast("bigint")},
         prev=["ts", "status"],
+        then=["status"],
         **cells,
     )
     starts = marked.where(F.col("prev_ts").isNull() | (micros("ts") - micros("prev_ts") > gap))
     paired = neighbours(starts.drop("status"), next=["prev_ts", "prev_status", "pos"], **cells)
     last = cut_lineage(
         messages.groupBy("device_id").agg(
-            F.max("ts").alias("_last"), F.max_by("status", "ts").alias("_last_status"), F.count(F.lit(1)).alias("_n")
+            F.max("ts").alias("_last"), F.max(F.struct("ts", "status"))["status"].alias("_last_status"), F.count(F.lit(1)).alias("_n")
         ),
         "last-messages",
     )
@@ -44,8 +45,11 @@ def device_sessions(messages: DataFrame, silence_seconds: float = 6.0, **cells)
 
 
 def online_devices(messages: DataFrame, now: Column | None = None, silence_seconds: float = 6.0) -> DataFrame:
-    """Devices whose last word was "online" and, given ``now``, not longer ago than the silence allows."""
-    latest = messages.groupBy("device_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    """Devices whose last word was "online" and, given ``now``, not longer ago than the silence allows.
+
+    Of messages at one instant the greatest status counts, so "online" stands over "offline".
+    """
+    latest = messages.groupBy("device_id").agg(F.max(F.struct("ts", "status")).alias("_m")).select("device_id", "_m.*")
     heard = F.lit(True) if now is None else micros(now) - micros("ts") <= int(silence_seconds * SECOND)
     return latest.agg(
         F.count_if((F.col("status") == "online") & heard).alias("online"), F.count(F.lit(1)).alias("known")
@@ -68,13 +72,14 @@ def pump_runs(
 ) -> DataFrame:
     """ON..OFF pairs of each device (repeats dropped) with the stop rules they broke.
 
-    ``messages``: device_id, ts, pump, planned_minutes. A run whose OFF never came is left open.
+    ``messages``: device_id, ts, pump, planned_minutes. A run whose OFF never came is left open. At one instant
+    OFF goes before ON.
     """
-    changes = neighbours(messages, prev=["pump"], **cells).where(
+    changes = neighbours(messages, prev=["pump"], then=["pump", "planned_minutes"], **cells).where(
         F.col("prev_pump").isNull() | (F.col("prev_pump") != F.col("pump"))
     )
     runs = (
-        neighbours(changes.drop("prev_pump"), next=["ts"], **cells)
+        neighbours(changes.drop("prev_pump"), next=["ts"], then=["pump"], **cells)
         .where("pump = 'ON'")
         .select("device_id", F.col("ts").alias("on_ts"), F.col("next_ts").alias("off_ts"), "planned_minutes")
     )

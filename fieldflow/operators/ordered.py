@@ -124,10 +124,18 @@ def in_order(
 
 
 def neighbours(
-    df: DataFrame, by: Sequence[str] = ("device_id",), ts: str = "ts", cell_seconds: float | None = None, **wanted
+    df: DataFrame,
+    by: Sequence[str] = ("device_id",),
+    ts: str = "ts",
+    cell_seconds: float | None = None,
+    then: Sequence[str] = (),
+    **wanted,
 ) -> DataFrame:
-    """``in_order`` by a timestamp column, cut into time cells, measured on ``df`` if no width is given."""
-    return in_order(df, by, [ts], time_cell(ts, cell_seconds or fit_cell_seconds(df, by, ts)), **wanted)
+    """``in_order`` by a timestamp column, cut into time cells, measured on ``df`` if no width is given.
+
+    ``then`` orders rows of one instant.
+    """
+    return in_order(df, by, [ts, *then], time_cell(ts, cell_seconds or fit_cell_seconds(df, by, ts)), **wanted)
 
 
 def row_index(

@@ -87,7 +87,7 @@ def session_stream(messages: DataFrame, silence: str = "6 seconds", late: str =
             F.min("ts").alias("session_start"),
             F.max("ts").alias("session_end"),
             F.count(F.lit(1)).alias("messages"),
-            F.max_by("status", "ts").alias("last_status"),
+            F.max(F.struct("ts", "status"))["status"].alias("last_status"),
         )
         .drop("session_window")
     )

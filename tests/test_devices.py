@@ -106,3 +106,18 @@ def test_a_device_that_fell_silent_is_not_online(spark):
     df = spark.createDataFrame([("a", at(0), "online"), ("b", at(9), "online"), ("c", at(9), "offline")], "device_id string, ts timestamp, status string")
     got = devices.online_devices(df, F.lit(at(9.05)).cast("timestamp")).first()
     assert (got.online, got.known) == (1, 3)
+
+
+def test_messages_of_one_instant_have_an_order(spark):
+    """Online and offline, ON and OFF at one time: the same result for any order and partitioning."""
+    status = [("a", at(0), "online"), ("a", at(0), "offline"), ("b", at(0), "offline"), ("b", at(0.05), "offline"), ("b", at(0.05), "online")]
+    pump = [("a", at(0), "ON", 1), ("a", at(5), "ON", 2), ("a", at(5), "OFF", 2), ("a", at(9), "OFF", 2)]
+    dry = readings(spark, [("a", 1, 20, 50, 1000, 30)])
+    for turn in (1, -1):
+        m = spark.createDataFrame(status[::turn], "device_id string, ts timestamp, status string").repartition(3)
+        assert devices.online_devices(m).first().online == 2
+        sessions = {(r.device_id, r.messages, r.last_status) for r in devices.device_sessions(m).collect()}
+        assert sessions == {("a", 2, "online"), ("b", 3, "online")}
+        p = spark.createDataFrame(pump[::turn], "device_id string, ts timestamp, pump string, planned_minutes int").repartition(3)
+        runs = {(r.on_ts, r.off_ts) for r in devices.pump_runs(p, dry).collect()}
+        assert runs == {(at(0), at(5)), (at(5), at(9))}
