@@ -12,8 +12,9 @@ language, drawn by a digest of the identifier; prediction reads every row and wh
 the distinct words of a slice are scored once, all words of a length together.
 
 Words are runs of letters and non-ASCII characters, lower-cased; bytes of any text are pieces, so nothing
-is unknown. Runs over ``BLOCK`` bytes are scored in blocks of that size, which bounds the tables and keeps
-probabilities above the smallest double.
+is unknown. Pieces of any length count. Words over ``BLOCK`` bytes are swept a block at a time: the sums of the last places
+are carried on, divided by the newest one, whose logarithm is kept, so a word of any length is summed over all its
+segmentations without a table of its length and without underflow.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text if there
 is nothing to learn from; ties go to the first language by name; rows with a null language are predicted
@@ -38,11 +39,11 @@ from fieldflow.session import cut_lineage
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MAX_ROWS = 2_000
 ROUNDS = 3
-MAX_PIECE = 16
-BLOCK = 32
+BLOCK = 32  # bytes
 FLOOR = 1e-8  # of a piece's probability: 32 of them still fit a double
 SHARED = 0.02  # weight of the mean over languages in each model
-CHUNK = 8_192
+CHUNK = 8_192  # words of one length that are worked on together
+LONG_CHUNK, LONG_BYTES = 1_024, 1 << 20  # words over a block, and the bytes of all of them
 UNKNOWN = "und"
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
@@ -50,15 +51,23 @@ for _b in [*range(65, 91), *range(97, 123), *range(128, 256)]:
     _LETTERS[_b] = _b
 
 
+def _in_words(piece: bytes) -> bool:
+    """Whether a word can hold the piece: letters and non-ASCII bytes, after a blank or not."""
+    return all(_LETTERS[b] != 32 for b in piece[piece[:1] == b" " :])
+
+
 class Pieces:
     """The vocabulary, and the pieces that start anywhere in words of one length."""
 
     def __init__(self, pieces: list[bytes]):
         singles = {bytes([b]) for b in range(256)}
-        kept = sorted(singles | {p for p in pieces if 0 < len(p) <= MAX_PIECE})
+        kept = sorted(singles | {p for p in pieces if p})
         self.size = len(kept)
+        self.longest = max(len(p) for p in kept if len(p) == 1 or _in_words(p))
+        # Sums of neighbouring places differ by up to FLOOR ** longest.
+        self.real = np.float64 if self.longest <= 36 else np.longdouble
         self.by_length = []
-        for k in range(1, MAX_PIECE + 1):
+        for k in range(1, self.longest + 1):
             ids = np.array([i for i, p in enumerate(kept) if len(p) == k], dtype=np.int64)
             own = np.frombuffer(b"".join(kept[i] for i in ids), np.uint8).reshape(len(ids), k)
             hashes = _rolled(own, k)[k - 1][:, 0] if len(ids) else np.zeros(0, np.uint64)
@@ -69,7 +78,7 @@ class Pieces:
         """For k = 1, 2, ...: the piece words[:, i : i + k] at every i, or ``size`` if it is none."""
         n, length = words.shape
         out = []
-        for k, hashes in enumerate(_rolled(words, min(length, MAX_PIECE)), 1):
+        for k, hashes in enumerate(_rolled(words, min(length, self.longest)), 1):
             known, ids = self.by_length[k - 1]
             if not len(known):
                 out.append(np.full(hashes.shape, self.size))
@@ -124,16 +133,83 @@ def expected_counts(at: list[np.ndarray], p: np.ndarray, length: int, weight: np
     return total
 
 
+def log_forward(pieces: Pieces, p: np.ndarray, words: np.ndarray, every: bool = False) -> np.ndarray:
+    """Log of the summed probability of all segmentations of words [n, length], a column a language.
+
+    With ``every`` the logs at all places, [n, length + 1, language].
+    """
+    (n, length), reach = words.shape, pieces.longest
+    sums = np.zeros((n, reach + BLOCK, p.shape[1]), dtype=pieces.real)
+    sums[:, reach - 1] = 1.0  # the place before the block; the ones before it stand to its left
+    scale = np.zeros((n, p.shape[1]))
+    logs = [scale[:, None]]
+    for a in range(0, length, BLOCK):
+        b, lo = min(a + BLOCK, length), max(0, a - reach + 1)
+        ends = np.full((n, b - lo + 1, reach), pieces.size)  # by place, the piece of each length that ends there
+        for k, ids in enumerate(pieces.at(words[:, lo:b]), 1):
+            ends[:, k:, k - 1] = ids
+        for j in range(1, b - a + 1):
+            before = sums[:, j - 1 : reach - 1 + j][:, ::-1]
+            sums[:, reach - 1 + j] = (before * p[ends[:, a - lo + j]]).sum(axis=1)
+        if every:
+            logs.append(np.log(sums[:, reach : reach + b - a]).astype(float) + scale[:, None])
+        newest = sums[:, reach - 1 + b - a].copy()
+        scale = scale + np.log(newest).astype(float)
+        sums[:, :reach] = sums[:, b - a : b - a + reach] / newest[:, None]
+    return np.concatenate(logs, axis=1) if every else scale
+
+
+def log_backward(pieces: Pieces, p: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations from each place on, [n, length + 1]; ``p`` is one language's."""
+    (n, length), reach = words.shape, pieces.longest
+    known = np.zeros((n, reach), dtype=pieces.real)
+    known[:, 0] = 1.0  # from the block's end on
+    scale = np.zeros(n)
+    logs = np.zeros((n, length + 1))
+    for b in range(length, 0, -BLOCK):
+        a = max(0, b - BLOCK)
+        starts = np.full((n, b - a, reach), pieces.size)
+        for k, ids in enumerate(pieces.at(words[:, a : min(length, b + reach - 1)]), 1):
+            own = ids[:, : b - a]
+            starts[:, : own.shape[1], k - 1] = own
+        sums = np.concatenate([np.zeros((n, b - a), dtype=pieces.real), known], axis=1)
+        for j in range(b - a - 1, -1, -1):
+            sums[:, j] = (sums[:, j + 1 : j + 1 + reach] * p[starts[:, j]]).sum(axis=1)
+        logs[:, a:b] = np.log(sums[:, : b - a]).astype(float) + scale[:, None]
+        scale = scale + np.log(sums[:, 0]).astype(float)
+        known = sums[:, :reach] / sums[:, :1]
+    return logs
+
+
+def long_counts(pieces: Pieces, p: np.ndarray, words: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What ``expected_counts`` gives, for words over a block; ``p`` is one language's."""
+    length = words.shape[1]
+    ahead, behind = log_forward(pieces, p[:, None], words, every=True)[:, :, 0], log_backward(pieces, p, words)
+    whole = ahead[:, -1:]
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    total = np.zeros(len(p))
+    for a in range(0, length, 16 * BLOCK):
+        b = min(a + 16 * BLOCK, length)
+        for k, ids in enumerate(pieces.at(words[:, a : min(length, b + pieces.longest - 1)]), 1):
+            own = ids[:, : b - a]
+            m = own.shape[1]
+            uses = np.exp(ahead[:, a : a + m] + behind[:, a + k : a + k + m] - whole + log_p[own]) * weight[:, None]
+            total += np.bincount(own.ravel(), uses.ravel(), len(p))
+    return total
+
+
 def by_length(words: list[bytes]):
     """(index, matrix of bytes) for all words of each length, a bounded number at a time."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(length, kind="stable")
     cuts = np.flatnonzero(np.diff(length[order])) + 1
     for same in np.split(order, cuts):
-        for at in range(0, len(same), CHUNK):
-            part = same[at : at + CHUNK]
-            if len(part) and (size := int(length[part[0]])):
-                yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), size)
+        size = int(length[same[0]]) if len(same) else 0
+        step = CHUNK if size <= BLOCK else max(1, min(LONG_CHUNK, LONG_BYTES // size))
+        for at in range(0, len(same) if size else 0, step):
+            part = same[at : at + step]
+            yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), size)
 
 
 def text_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -146,10 +222,9 @@ def text_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words_of(pa.StringArray.from_buffers(len(text), text.buffers()[1], pa.py_buffer(data.tobytes())))
 
 
-def blocks_of(word: str) -> list[bytes]:
-    """A word with the blank that starts it, in blocks."""
-    raw = b" " + word.encode()
-    return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+def started(word: str) -> bytes:
+    """A word with the blank that starts it."""
+    return b" " + word.encode()
 
 
 def _count_words(batches):
@@ -183,11 +258,12 @@ def _expect(model, languages: list[str]):
             words = batch.column(1).to_pylist()
             for own in np.unique(lang):
                 here = np.flatnonzero(lang == own)
-                split = [(block, counts[i]) for i in here for block in blocks_of(words[i])]
-                weight = np.array([n for _, n in split], dtype=np.float64)
-                for index, matrix in by_length([w for w, _ in split]):
-                    at = pieces.at(matrix)
-                    total[own] += expected_counts(at, p[:, own : own + 1], matrix.shape[1], weight[index])
+                weight = counts[here].astype(np.float64)
+                for index, matrix in by_length([started(words[i]) for i in here]):
+                    if matrix.shape[1] > BLOCK:
+                        total[own] += long_counts(pieces, p[:, own], matrix, weight[index])
+                    else:
+                        total[own] += expected_counts(pieces.at(matrix), p[:, own : own + 1], matrix.shape[1], weight[index])
         own, piece = np.nonzero(total[:, :-1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(own, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[own, piece])], ["l", "piece", "n"]
@@ -227,12 +303,10 @@ def learn(docs: DataFrame, pieces: Pieces, max_rows: int = MAX_ROWS, rounds: int
 
 def word_scores(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of every word under every language."""
-    blocks = [(block, i) for i, w in enumerate(words) for block in blocks_of(w)]
-    owner = np.array([i for _, i in blocks], dtype=np.int64)
     out = np.zeros((len(words), p.shape[1]))
-    for index, matrix in by_length([b for b, _ in blocks]):
-        logs = np.log(forward(pieces.at(matrix), p, matrix.shape[1])[:, -1])
-        np.add.at(out, owner[index], logs)
+    for index, matrix in by_length([started(w) for w in words]):
+        long = matrix.shape[1] > BLOCK
+        out[index] = log_forward(pieces, p, matrix) if long else np.log(forward(pieces.at(matrix), p, matrix.shape[1])[:, -1])
     return out
 
 

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,58 @@ def test_forward_sums_all_segmentations():
         assert counts[:-1] == pytest.approx(2 * uses[:-1] / expected[0])
 
 
-def test_words_of_all_lengths_and_blocks(pieces):
+def recursed(word, p, number):
+    """The sum over all segmentations, in exact fractions, by what a segmentation may end with."""
+    sums = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        sums.append(sum(sums[j - k] * p[number[word[j - k : j]]] for k in range(1, j + 1) if word[j - k : j] in number))
+    return sums[-1]
+
+
+def test_long_words_sum_all_segmentations():
+    """Words of 33 to 100 bytes and pieces of up to 40, against exact fractions; counts against the sum's slope."""
+    rng = np.random.default_rng(7)
+    extra = [b"ab", b" a", b"abc", b"ba" * 9, b"c" * 20, b"a" * 40]
+    for taken in (extra[:-1], extra):
+        own = langid.Pieces([*taken, b"no piece of any word", b"--------" * 9])
+        assert own.longest == max(map(len, taken))
+        names = sorted({bytes([b]) for b in range(256)} | {*taken, b"no piece of any word", b"--------" * 9})
+        number = {x: i for i, x in enumerate(names)}
+        p = 10.0 ** rng.uniform(-8, 0, (own.size + 1, 2))
+        p[-1] = 0
+        exact = [[Fraction(x) for x in p[:, k]] for k in range(2)]
+        for n in (33, 34, 64, 65, 77, 100):
+            words = [bytes(rng.choice(list(b"abc"), n - 1).tolist()) for _ in range(3)] + [b"a" * (n - 1), (b"ba" * n)[: n - 1]]
+            words = [b" " + w for w in words]
+            matrix = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n)
+            got = langid.log_forward(own, p, matrix)
+            for word, row in zip(words, got):
+                whole = [recursed(word, exact[k], number) for k in range(2)]
+                assert row == pytest.approx([math.log(x.numerator) - math.log(x.denominator) for x in whole])
+            behind = langid.log_backward(own, p[:, 0], matrix)
+            assert behind[:, 0] == pytest.approx(got[:, 0])
+        counts = langid.long_counts(own, p[:, 0], matrix[:1], np.array([2.0]))
+        whole = recursed(words[0], exact[0], number)
+        for piece in {*taken, b"a", b"b", b" "}:
+            i, step = number[piece], Fraction(1, 10**40)
+            more = [x + step * (j == i) for j, x in enumerate(exact[0])]
+            slope = (recursed(words[0], more, number) - whole) / step
+            assert counts[i] == pytest.approx(float(2 * exact[0][i] * slope / whole), abs=1e-9)
+
+
+def test_short_and_long_sweeps_agree(pieces):
+    rng = np.random.default_rng(2)
+    p = rng.uniform(1e-6, 1e-4, (pieces.size + 1, 3))
+    p[-1] = 0
+    matrix = np.frombuffer(" überraschungen der sprach".encode() * 2, np.uint8).reshape(2, -1)[:, : langid.BLOCK]
+    at = pieces.at(matrix)
+    assert langid.log_forward(pieces, p, matrix) == pytest.approx(np.log(langid.forward(at, p, matrix.shape[1])[:, -1]))
+    weight = np.array([1.0, 3.0])
+    expected = langid.expected_counts(at, p[:, :1], matrix.shape[1], weight)
+    assert langid.long_counts(pieces, p[:, 0], matrix, weight)[:-1] == pytest.approx(expected[:-1])
+
+
+def test_words_of_all_lengths(pieces):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdeéß") for _ in range(rng.choice([1, 3, 9, 40, 200]))) for _ in range(60)] + ["", "a"]
     p = np.full((pieces.size + 1, 2), 1 / pieces.size)
@@ -58,7 +111,7 @@ def test_words_of_all_lengths_and_blocks(pieces):
     assert np.isfinite(together).all()
     for word, row in zip(words, together):
         assert langid.word_scores(pieces, p, [word])[0] == pytest.approx(row)
-    assert all(len(b) <= langid.BLOCK for b in langid.blocks_of("é" * 1000))
+    assert np.isfinite(langid.word_scores(pieces, p, ["é" * 20_000])).all()
 
 
 @pytest.fixture(scope="module")
