@@ -10,6 +10,9 @@ The sum is never taken in one task per source: documents are dealt into cells (s
 of a digest) whose number follows the measured counts, cells are summed up first and placed by a running
 sum over the small cell table, and only positions inside a cell are numbered by a window.
 
+Rows without an identifier are dealt by a digest of their text, and rows that share identifier and size are ordered by it, so
+neither meets in one cell nor depends on the order of rows; only exact copies under one identifier stand together.
+
 Defined results: null sources are one source, last in order; empty documents have size 0 and take part
 like others; a source of size 0 has target 0 and no copies; repeated rows are documents of their own;
 no documents give no rows; further columns are handed through whatever they are called.
@@ -45,6 +48,11 @@ def _digest(text, seed: int) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 8), 16, 10).cast("long")
 
 
+def text_key(text) -> F.Column:
+    """60 bits of a text's MD5; a null text has the empty one's."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def _placed(docs: DataFrame, seed: int) -> DataFrame:
     """Adds what orders documents: source key, size class (sizes with the same five leading bits) and digest."""
     shift = F.greatest(F.length(F.bin("size")) - 5, F.lit(0))
@@ -52,7 +60,7 @@ def _placed(docs: DataFrame, seed: int) -> DataFrame:
         {
             "key": _key(F.col("source")),
             "size_class": (shift * 64 + F.call_function("shiftright", F.col("size"), shift)).cast("int"),
-            "digest": _digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed),
+            "digest": _digest(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("text_key"))), seed),
         }
     )
 
@@ -109,26 +117,29 @@ def _parts(placed: DataFrame, plan: DataFrame) -> DataFrame:
 def _drawn(
     docs: DataFrame, narrow: DataFrame, weights=WEIGHTS, most_copies=MOST_COPIES, seed=42, cell_rows=CELL_ROWS
 ) -> DataFrame:
-    """``docs`` (doc_id, source, size and more) with source_size, target and copies; ``narrow`` is the same rows."""
+    """``docs`` (doc_id, source, size, text_key and more) with source_size, target and copies; ``narrow`` is the same rows."""
     plan, starts = _cells(_placed(narrow, seed), weights, most_copies, seed, cell_rows)
     cell = ["key", "size_class", "part"]
-    inside = Window.partitionBy(*cell).orderBy("digest", "doc_id", "size")
+    inside = Window.partitionBy(*cell).orderBy("digest", "doc_id", "size", "text_key")
     numbered = _parts(_placed(docs, seed), plan).withColumn("place", F.row_number().over(inside)).join(starts, cell)
     upto = F.col("start") + F.col("place") * F.col("rate")
     return numbered.withColumn("copies", F.shiftright(upto, BITS) - F.shiftright(upto - F.col("rate"), BITS))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size), written once: texts are read once for it."""
+    """(doc_id, source, size, text_key), written once: texts are read once for it."""
     picked = frames.pick(docs, doc_id="long", source="string", text="string")
-    return cut_lineage(picked.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    return cut_lineage(_sized(picked), "mix-sizes")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"size": n_words(F.col("text")), "text_key": text_key(F.col("text"))}).drop("text")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: every column as given, each document as often as it was drawn."""
     rows = frames.with_row(docs, doc_id="long", source="string", text="string")
-    sized = rows.withColumn("size", n_words(F.col("text"))).drop("text")
-    drawn = _drawn(sized, _narrow(docs), **options).where(F.col("copies") > 0)
+    drawn = _drawn(_sized(rows), _narrow(docs), **options).where(F.col("copies") > 0)
     repeated = drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return frames.rows_of(repeated, docs.columns)
 

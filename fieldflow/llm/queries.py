@@ -124,7 +124,8 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS key,
-    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS text_key FROM documents),
 sources AS (SELECT key, sum(size)::BIGINT AS source_size FROM sized GROUP BY key),
 capped AS (
   SELECT key, source_size, 3e0 * source_size AS cap,
@@ -143,7 +144,8 @@ placed AS (
     ('0x' || substr(md5('42:offset:' || d.key), 1, 8))::BIGINT % 16777215 AS start,
     row_number() OVER (PARTITION BY d.key ORDER BY
       greatest(length(bin(d.size)) - 5, 0) * 64 + (d.size >> greatest(length(bin(d.size)) - 5, 0)),
-      ('0x' || substr(md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8))::BIGINT, d.doc_id, d.size) AS place
+      ('0x' || substr(md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '#' || d.text_key)), 1, 8))::BIGINT,
+      d.doc_id, d.size, d.text_key) AS place
   FROM sized d JOIN targets t ON t.key = d.key),
 drawn AS (SELECT *, ((start + place * rate) >> 24) - ((start + place * rate - rate) >> 24) AS copies FROM placed)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM drawn""",

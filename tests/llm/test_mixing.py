@@ -5,6 +5,8 @@ from collections import defaultdict
 import pytest
 from cases import empty_docs, messy_docs, messy_rows, prose, rows_of
 
+from pyspark.sql import functions as F
+
 from fieldflow.llm import mixing
 
 
@@ -85,6 +87,19 @@ def test_copies_cross_whole_numbers(spark):
         assert abs(sum(counts) - rate * len(own)) <= 1.001
 
 
+def test_rows_without_an_identifier_are_dealt_by_text(spark):
+    """A third of the rows without an identifier, another under one: no crowded cell, and no dependence on row order."""
+    rng = random.Random(8)
+    rows = [([None, 5, i][i % 3], prose(rng, 12), "en", "a" if i % 10 else "b") for i in range(3000)]
+    docs = messy_docs(spark, False, rows)
+    cells = mixing._parts(
+        mixing._placed(mixing._narrow(docs), 42), mixing._cells(mixing._placed(mixing._narrow(docs), 42), (5, 2, 1), 3, 42, 50)[0]
+    ).where("doc_id is null").groupBy("key", "size_class", "part").count()
+    assert cells.selectExpr("max(count)").first()[0] <= 100
+    first = rows_of(mixing.mix(docs, cell_rows=50))
+    assert first == rows_of(mixing.mix(docs.orderBy(F.rand(1)).repartition(5), cell_rows=50))
+
+
 def test_mix_repeats_whole_rows_and_agrees_with_report(spark):
     docs = messy_docs(spark)
     out = mixing.mix(docs)
