@@ -5,7 +5,8 @@ documents are repeated lines, and every document is put together again from its
 
 The count runs over (hash, document) pairs first and over hashes second, both with partial sums, so a line
 that a third of all documents hold is no hot key. What goes back to a document is the set of its own
-repeated hashes: a document without any needs no more than its own row, and texts move at most once.
+repeated hashes, found by identifier and text digest, so that rows without an identifier, or many rows under one, each get
+their own lines' hashes alone; a document without any needs no more than its own row, and texts move at most once.
 Two independent 64-bit hashes make a key, so that two lines do not meet by accident.
 
 Defined results: null or empty text is one empty line, which is kept; rows with the same doc_id count as
@@ -39,33 +40,34 @@ def line_hash(line: str) -> tuple[int, int] | None:
 
 
 def _exploded(batches):
-    """(doc_id, h1, h2), each hash once per row."""
+    """(doc_id, digest, h1, h2), each hash once per row."""
     for batch in batches:
-        ids, first, second = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        ids, digests, first, second = [], [], [], []
+        for doc_id, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
             hashes = {line_hash(line) for line in set(text.split("\n"))} if text else set()
             hashes.discard(None)
             ids.extend([doc_id] * len(hashes))
+            digests.extend([digest] * len(hashes))
             first.extend(h[0] for h in hashes)
             second.extend(h[1] for h in hashes)
-        columns = [pa.array(x, pa.int64()) for x in (ids, first, second)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2"])
+        columns = [pa.array(x, pa.int64()) for x in (ids, digests, first, second)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "h1", "h2"])
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, hashes): the hashes of a document's lines that at least ``min_docs`` documents hold."""
-    picked = frames.pick(docs, doc_id="long", text="string")
-    pairs = picked.mapInArrow(_exploded, "doc_id long, h1 long, h2 long")
+    """(doc_id, digest, hashes): the hashes of a text's lines that at least ``min_docs`` documents hold."""
+    picked = frames.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    pairs = picked.mapInArrow(_exploded, "doc_id long, digest long, h1 long, h2 long")
     pairs = cut_lineage(pairs, "line-pairs")
     often = (
-        pairs.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+        pairs.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     )
     # A line that most documents hold is met in SALTS tasks, not one.
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     salted = often.withColumn("salt", F.explode(every))
     hits = dealt.join(salted, ["h1", "h2", "salt"], "left_semi")
-    return hits.groupBy("doc_id").agg(F.collect_set("h1").alias("hashes"))
+    return hits.groupBy("doc_id", "digest").agg(F.collect_set("h1").alias("hashes"))
 
 
 _OUT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
@@ -89,8 +91,9 @@ def reassemble(text: pa.Array, hashes: pa.Array) -> pa.Array:
 
 
 def _joined(rows: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
-    hits = repeated_lines(docs, min_docs).withColumnRenamed("doc_id", "hit_id")
-    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").withColumn(
+    hits = repeated_lines(docs, min_docs).withColumnsRenamed({"doc_id": "hit_id", "digest": "hit_digest"})
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_digest"))
+    return rows.join(hits, same, "left").withColumn(
         "out", reassemble("text", "hashes")
     )
 

@@ -41,6 +41,15 @@ def test_against_dictionaries(spark):
         assert rows_of(got) == plain(rows, least)
 
 
+def test_many_rows_without_an_identifier(spark):
+    """Each row gets its own lines' hashes, not those of all rows without an identifier, or under one."""
+    rows = [(None if i % 3 else 7, f"shared {i % 40}\nown {i}\ncommon", None, None) for i in range(600)]
+    rows += [(1000 + i, f"shared {i % 20}\ncommon", None, None) for i in range(200)]
+    docs = messy_docs(spark, rows=rows)
+    assert rows_of(line_dedup.line_report(docs, 3)) == plain(rows, 3)
+    assert line_dedup.repeated_lines(docs, 3).selectExpr("max(size(hashes))").first()[0] == 2
+
+
 def test_a_line_counts_once_per_document(spark):
     rows = [(1, "a\na\na\nb", None, None), (2, "a", None, None), (2, "A", None, None)]
     assert rows_of(line_dedup.line_report(messy_docs(spark, rows=rows), 3)) == plain(rows, 3)
