@@ -5,12 +5,18 @@ JSON document with the response's headers and digests and what the page says of
 links); its conversion record is the page's text without markup, scripts and styles. Both refer to the
 response by its record identifier, keep its target URI and date, and carry their own block digest.
 
+A response that comes with its own WARC header block (column ``warc_header``) keeps what stands there: both records refer to its
+WARC-Record-ID, take its target URI and date, and the metadata holds all its header lines in order, digests included,
+beside the digests taken here. Identifiers are made up only where none is given.
+
 Records depend on their own response alone: one pass, no shuffle, and a lost task repeats only its part.
 
 Defined results: a null or empty payload gives a conversion of no bytes and metadata without links; a null
-URI is kept as null; identifiers are digests of (row key, URI, payload), so runs agree and repeated rows
+URI is kept as null; made-up identifiers are digests of (row key, URI, payload), so runs agree and repeated rows
 repeat their records; no responses give no records; further columns are passed over. A header name that
-comes again keeps all its values, as a list; a header block without a status has a null one. Of an unclosed script,
+comes again keeps all its values, as a list, names that differ in case being different, and all header lines also stand in a
+list in their order; a header block without a status has a null one; of a WARC header that comes again the first counts, in any
+case of letters. Of an unclosed script,
 style or comment the rest of the page is dropped, as a browser would.
 """
 
@@ -91,13 +97,17 @@ def status_of(http: str) -> int | None:
     return int(found[1]) if found else None
 
 
+def header_lines(block: str) -> list[list[str]]:
+    """[name, value] of every header line after the first line of a block, in order."""
+    lines = (line.partition(":") for line in block.split("\r\n\r\n")[0].split("\r\n")[1:])
+    return [[name, value.strip(" \t")] for name, colon, value in lines if colon]
+
+
 def headers_of(http: str) -> dict[str, str | list[str]]:
     """Header values by name; those of a name that comes again are a list, in their order."""
     found: dict[str, list[str]] = {}
-    for line in http.split("\r\n\r\n")[0].split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
-        if colon:
-            found.setdefault(name, []).append(value.strip(" \t"))
+    for name, value in header_lines(http):
+        found.setdefault(name, []).append(value)
     return {name: values if len(values) > 1 else values[0] for name, values in found.items()}
 
 
@@ -133,9 +143,12 @@ def _derive(batches):
     schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in fields])
     for batch in batches:
         out = []
-        for key, uri, date, http, payload in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, uri, date, http, payload, own in zip(*(c.to_pylist() for c in batch.columns)):
             whole = digest(payload.encode())
-            refers = response_id(key, uri, whole)
+            source = header_lines(own) if own else []
+            given = {name.lower(): value for name, value in reversed(source)}
+            uri, date = given.get("warc-target-uri", uri), given.get("warc-date", date)
+            refers = given.get("warc-record-id") or response_id(key, uri, whole)
             lang = _LANG.search(payload)
             about = {
                 "envelope": {
@@ -146,6 +159,7 @@ def _derive(batches):
                     "payload-digest": whole,
                     "payload-length": len(payload.encode()),
                     "http-headers": headers_of(http),
+                    "http-header-lines": header_lines(http),
                     "http-status": status_of(http),
                 },
                 "html": {
@@ -154,6 +168,8 @@ def _derive(batches):
                     "links": links_of(payload),
                 },
             }
+            if source:
+                about["envelope"]["warc-header-lines"] = source
             meta = json.dumps(about, ensure_ascii=False, sort_keys=True)
             for kind, mime, block in (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", plain_text(payload))):
                 record = _record(key, kind, uri, date, block, refers, {"Content-Type": mime})
@@ -168,10 +184,14 @@ def _derive(batches):
 def derivatives(records: DataFrame) -> DataFrame:
     """Two records for each response: row_key, record_type, record_id, refers_to, uri, date, header, block, digests.
 
+    A column ``warc_header``, if there is one, holds the response's own WARC header block, from its version line on.
     ``payload_digest`` is that of the response's payload; header and block joined by nothing, and two line
     ends after them, are the record as a file holds it.
     """
-    picked = frames.pick(records, row_key="long", uri="string", date="string", http_header="string", payload="string")
+    names = ["uri", "date", "http_header", "payload", *(["warc_header"] if "warc_header" in records.columns else [])]
+    picked = frames.pick(records, row_key="long", **dict.fromkeys(names, "string"))
+    if "warc_header" not in names:
+        picked = picked.withColumn("warc_header", F.lit(None).cast("string"))
     return picked.fillna("", ["http_header", "payload"]).mapInArrow(_derive, _RECORD)
 
 
