@@ -30,6 +30,7 @@ from fieldflow.session import cut_lineage
 HOUR = 3600
 CHUNK_ROWS = 8_192
 CELL_ROWS = 2_000_000
+FRAME_TASK_ROWS = 250_000
 NO_CELL = -(2**63)
 
 
@@ -79,12 +80,14 @@ def in_order(
     prev: Sequence[str] = (),
     next: Sequence[str] = (),
     descending: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Running sums (the current row included), ``prev_<c>`` and ``next_<c>`` in the order of each key.
 
     ``cell`` must be monotone in ``order``, which is total where ``prev`` and ``next`` are asked for. No row
     is lost: a null key is a key of its own, and rows with a null cell come before all others of their key
-    (after them if ``descending``).
+    (after them if ``descending``). ``tasks`` fixes into how many tasks the (key, cell) groups are dealt; without
+    it the session does, by bytes.
     """
     sums = sums or {}
     # Struct and cell are never null, so window and join share one plain shuffle and keep rows with null keys.
@@ -114,7 +117,8 @@ def in_order(
         local["_opens"] = F.lag(F.lit(1)).over(within).isNull()
     if next:
         local["_closes"] = F.lead(F.lit(1)).over(within).isNull()
-    joined = cells.withColumns(local).join(stitches, [*by, "_cell"])
+    dealt = cells.repartition(tasks, *by, "_cell") if tasks else cells
+    joined = dealt.withColumns(local).join(stitches, [*by, "_cell"])
     out = joined.withColumns(
         {n: F.col(f"_before_{n}") + F.col(f"_in_{n}") for n in sums}
         | {f"prev_{c}": F.when(F.col("_opens"), F.col(f"_before_cell_{c}")).otherwise(F.col(f"_prev_{c}")) for c in prev}
@@ -210,6 +214,8 @@ def over_time(
     Values count in units of 10^-``digits`` and sums are exact whole numbers: no digits are lost to the difference,
     and results do not depend on partitioning. Nulls and NaN are left out of a frame (count 0, the rest null; ``std``
     needs two values). A row without a time has count 0; a null key is a key.
+
+    Marks are wide and pack well, so tasks are cut by their number, not by shuffled bytes: about ``FRAME_TASK_ROWS`` each.
     """
     key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0))
     keyed = df.withColumns({"_key": key, "_at": micros(ts)})
@@ -227,12 +233,13 @@ def over_time(
     )
     marked = marked.withColumn("_at", F.col("_at") - F.coalesce("_back", F.lit(0)))
     marked = marked.withColumn("_when", F.timestamp_micros("_at"))
-    width = cell_seconds or fit_cell_seconds(marked, ["_key"], "_when")
+    width = cell_seconds or fit_cell_seconds(marked, ["_key"], "_when", max_rows=FRAME_TASK_ROWS)
+    tasks = marked.count() // FRAME_TASK_ROWS + 1
     sums = {f"_to{n}": F.when(F.col("_row"), F.col(n)).otherwise(F.lit(0).cast(whole)) for n in parts}
     # A mark stands before the rows of its instant: false sorts first.
-    running = in_order(marked.withColumnRenamed("_key", "_k"), ["_k"], ["_at", "_row"], time_cell("_when", width), sums)
+    running = in_order(marked.withColumnRenamed("_key", "_k"), ["_k"], ["_at", "_row"], time_cell("_when", width), sums, tasks=tasks)
     pick = lambda n, back: F.max(F.when(F.col("_back").eqNullSafe(back), F.col(f"_to{n}")))
-    frames = running.groupBy(F.col("_k").alias("_key"), F.col("_own").alias("_at")).agg(
+    frames = running.repartition(tasks, "_k", "_own").groupBy(F.col("_k").alias("_key"), F.col("_own").alias("_at")).agg(
         *[pick(n, F.lit(None)).alias(f"_upto{n}") for n in parts],
         *[pick(n, F.lit(m * 60 * 1_000_000)).alias(f"_m{m}{n}") for m in minutes for n in parts],
     )

@@ -6,6 +6,7 @@ import pytest
 from helpers import at, random_readings, readings
 from pyspark.sql import functions as F
 
+from fieldflow.operators import ordered
 from fieldflow.operators.ordered import (
     exact_median,
     fit_cell_seconds,
@@ -128,3 +129,20 @@ def test_time_frames_equal_a_plain_count(spark):
                     std = np.std(frame, ddof=1) if len(frame) > 1 else None
                     assert r[f"v_std{m}m"] == (None if std is None else pytest.approx(std, abs=1e-9))
     assert over_time(df.limit(0), ["v"], [30]).count() == 0
+
+
+def test_frames_of_minutes_are_dealt_by_rows_and_not_by_bytes(spark, monkeypatch):
+    frame = random_readings(spark, n=2000, span_minutes=6000).select("device_id", "ts", "temp_c")
+    whole = {tuple(r) for r in ordered.over_time(frame, ["temp_c"], [30]).collect()}
+    widest = []
+
+    def seen(*args, **named):
+        out = in_order(*args, **named)
+        widest.append(out.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(ordered, "FRAME_TASK_ROWS", 200)
+    monkeypatch.setattr(ordered, "in_order", seen)
+    cut = {tuple(r) for r in ordered.over_time(frame, ["temp_c"], [30]).collect()}
+    assert cut == whole
+    assert widest[0] <= 800  # 4000 marks: the session's own exchange packs them into one task
