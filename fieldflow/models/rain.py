@@ -23,6 +23,8 @@ REGRESSOR = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetSt
 # Rounds without a better validation AUC (classifier) or squared error (regressor) after which boosting counts as ended.
 CLASSIFIER_PATIENCE = 50
 REGRESSOR_PATIENCE = 80
+# A fit reads its rows some seven times a round: more rows than these are dealt to even tasks of at most as many.
+TASK_ROWS = 250_000
 
 
 def add_class_weight(matrix: DataFrame, target: str = "rain_next_60", conservative: bool = True) -> DataFrame:
@@ -103,48 +105,67 @@ def auc_per_round(model: PipelineModel, rows: DataFrame, target: str) -> list[fl
     return [found.get(i) or 0.0 for i in range(len(model.stages[-1].treeWeights))]
 
 
-def _refit(booster, train: DataFrame, assembler, model: PipelineModel, kept: int) -> PipelineModel:
-    """The model of the first ``kept`` rounds: a seeded fit only appends trees, so fewer rounds give the same ones."""
-    if kept == len(model.stages[-1].treeWeights):
-        return model
-    return PipelineModel([assembler, booster.copy({booster.maxIter: kept}).fit(train)])
+def deal_evenly(train: DataFrame) -> DataFrame:
+    """``train`` in as many equal tasks for each slot; files pack into one task more than there are slots, which all others wait for."""
+    rows, slots = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    return train if rows <= TASK_ROWS else train.repartition(slots * -(-rows // (slots * TASK_ROWS)))
+
+
+def next_rounds(fitted: int, kept: int, patience: int, rounds: int) -> int:
+    """Rounds of the fit after one of ``fitted`` rounds whose best was ``kept`` and whose patience had not run out.
+
+    Long without a better round: just enough to end patience there. Still getting better: four times as many.
+    """
+    return min(kept + patience if 2 * kept <= fitted else 4 * fitted, rounds)
+
+
+def _boost(booster, train: DataFrame, assembler, rounds: int, patience: int, losses, spare: int = 0) -> PipelineModel:
+    """Fits (at first as many rounds as a stop at once needs and ``spare`` more) until ``patience`` rounds in a row bring no lower loss, and the model of the best round.
+
+    A seeded fit only appends trees, so a fit of more rounds goes on from one of fewer, and one of fewer stands for a cut.
+    """
+    fitted = min(patience + 1 + spare, rounds)
+    while True:
+        model = PipelineModel([assembler, booster.copy({booster.maxIter: fitted}).fit(train)])
+        kept = best_round(losses(model), patience)
+        if kept == fitted == rounds:
+            return model
+        if fitted == rounds or fitted - kept >= patience:
+            return PipelineModel([assembler, booster.copy({booster.maxIter: kept}).fit(train)])
+        fitted = next_rounds(fitted, kept, patience, rounds)
 
 
 def train_classifier(matrix: DataFrame, names: list[str], target: str = "rain_next_60", rounds: int = 200, **params) -> PipelineModel:
     """``matrix`` holds the features, the target and ``split``.
 
-    All rounds are fitted once; the AUC of each on the validation rows tells where stopping with patience ends, and the
-    best round up to there is kept. Without validation rows of both classes all rounds stay.
+    Rounds are fitted until the AUC on the validation rows has not risen for as many as patience allows, and the best
+    round up to there is kept. Without validation rows of both classes all rounds stay.
     """
     booster = GBTClassifier(labelCol=target, weightCol="weight", maxIter=rounds, **{**CLASSIFIER, **params})
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     rows = add_class_weight(matrix, target)
-    train = cut_lineage(assembler.transform(rows.where("split = 'train'")).select("features", target, "weight"), "train")
-    model = PipelineModel([assembler, booster.fit(train)])
+    train = deal_evenly(cut_lineage(assembler.transform(rows.where("split = 'train'")).select("features", target, "weight"), "train"))
     held = rows.where("split = 'validation'")
     if held.select(target).distinct().count() < 2:
-        return model
-    kept = best_round([-auc for auc in auc_per_round(model, held, target)], CLASSIFIER_PATIENCE)
-    return _refit(booster, train, assembler, model, kept)
+        return PipelineModel([assembler, booster.fit(train)])
+    return _boost(
+        booster, train, assembler, rounds, CLASSIFIER_PATIENCE, lambda model: [-auc for auc in auc_per_round(model, held, target)]
+    )
 
 
 def train_regressor(
     matrix: DataFrame, names: list[str], target: str = "rain_amount_next_60_mm", rounds: int = 800, **params
 ) -> PipelineModel:
-    """As the classifier, by squared error; rounds are fitted in lots of at first as many as a stop needs, then four times as many."""
+    """As the classifier, by squared error."""
     booster = GBTRegressor(labelCol=target, maxIter=rounds, **{**REGRESSOR, **params})
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     clipped = assembler.transform(matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0)))).select("features", target, "split")
     train, held = (cut_lineage(clipped.where(F.col("split") == part), part) for part in ("train", "validation"))
+    train = deal_evenly(train)
     if held.isEmpty():
         return PipelineModel([assembler, booster.fit(train)])
-    fitted = min(REGRESSOR_PATIENCE + 1, rounds)
-    while True:
-        model = PipelineModel([assembler, booster.copy({booster.maxIter: fitted}).fit(train)])
-        kept = best_round(model.stages[-1].evaluateEachIteration(held, "squared"), REGRESSOR_PATIENCE)
-        if fitted == rounds or fitted - kept >= REGRESSOR_PATIENCE:
-            return _refit(booster, train, assembler, model, kept)
-        fitted = min(4 * fitted, rounds)
+    squared = lambda model: model.stages[-1].evaluateEachIteration(held, "squared")
+    return _boost(booster, train, assembler, rounds, REGRESSOR_PATIENCE, squared, spare=REGRESSOR_PATIENCE // 4)
 
 
 def trees_kept(model: PipelineModel) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
 from fieldflow.models import rain
+from fieldflow.queries import assessing
 from fieldflow.queries.assessing import model_matrix
 
 
@@ -123,3 +124,35 @@ def test_cards_tell_the_trees_kept(spark, matrix):
     model = rain.train_regressor(matrix, K.FEATURE_NAMES, rounds=3, maxDepth=3)
     card = rain.regressor_card(rain.score_amount(model, matrix), K.FEATURE_NAMES, n_trees=rain.trees_kept(model)).first()
     assert 1 <= card.n_trees == model.stages[-1].getNumTrees <= 3
+
+
+def test_a_fit_asks_for_no_more_rounds_than_a_stop_needs(small, monkeypatch):
+    matrix, _ = small
+    asked = []
+    for kind in (rain.GBTClassifier, rain.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", lambda self, rows, fit=kind.fit: asked.append(self.getMaxIter()) or fit(self, rows))
+    monkeypatch.setattr(rain, "CLASSIFIER_PATIENCE", 2)
+    monkeypatch.setattr(rain, "auc_per_round", lambda model, *_: [1.0, *[0.5] * (len(model.stages[-1].treeWeights) - 1)])
+    assert rain.trees_kept(rain.train_classifier(matrix, ["a", "b", "c"], rounds=12, maxDepth=2)) == 1
+    assert asked == [3, 1]
+    asked.clear()
+    monkeypatch.setattr(rain, "REGRESSOR_PATIENCE", 4)
+    monkeypatch.setattr(rain, "best_round", lambda losses, patience: min(3, len(losses)))
+    amounts = matrix.withColumn("rain_amount_next_60_mm", F.abs("a"))
+    assert rain.trees_kept(rain.train_regressor(amounts, ["a", "b", "c"], rounds=40, maxDepth=2)) == 3
+    assert asked == [6, 7, 3]
+
+
+def test_the_next_lot_ends_patience_or_goes_on():
+    assert rain.next_rounds(101, 40, 80, 800) == 120
+    assert rain.next_rounds(101, 90, 80, 800) == 404
+    assert rain.next_rounds(404, 400, 80, 800) == 800
+
+
+def test_many_rows_are_dealt_to_even_tasks(spark, monkeypatch):
+    rows = spark.range(700).coalesce(1)
+    assert rain.deal_evenly(rows).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(rain, "TASK_ROWS", 60)
+    sizes = [len(part) for part in rain.deal_evenly(rows).rdd.glom().collect()]
+    assert len(sizes) % spark.sparkContext.defaultParallelism == 0 and sum(sizes) == 700
+    assert max(sizes) <= 60
