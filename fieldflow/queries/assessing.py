@@ -313,29 +313,38 @@ def forecast_monitor(spark, d):
 
 
 def model_matrix(spark, d):
-    """Features, both targets and the time split, written out once before the rounds of a fit."""
+    """Features, both targets and the time split, written out once before the rounds of a fit.
+
+    What is read more than once, by measuring cells or by running counts, is written out first.
+    """
     labels = rain_labels(spark, d)
     readings = adapter.sensor_reading(spark, d)
     cells = fit_cell_seconds(readings, ["device_id"])
-    readings = row_index(readings.join(labels, ["ts", "device_id"]), ["device_id"], cell_seconds=cells)
+    labelled = cut_lineage(readings.join(labels, ["ts", "device_id"]), "labelled")
+    readings = row_index(labelled, ["device_id"], cell_seconds=cells)
     built = features.nowcast_features(weather_joined(spark, d, readings))
     matrix = features.training_matrix(
         built.withColumn("target", F.struct("rain_next_60", "rain_amount_next_60_mm")), K.FEATURE_NAMES, "target"
     )
-    return cut_lineage(evaluate.time_split(matrix.select("*", "target.*").drop("target")), "matrix")
+    unsplit = cut_lineage(matrix.select("*", "target.*").drop("target"), "unsplit")
+    return cut_lineage(evaluate.time_split(unsplit), "matrix")
 
 
-#: What an application has fitted: one model of each kind per folder of tables, shared by its queries.
-_FITTED: dict[tuple[str, str, str], tuple] = {}
+#: What an application has fitted: one matrix and one model of each kind per folder of tables, shared by its queries.
+_FITTED: dict[tuple[str, str, str], object] = {}
 
 
-def _fitted(spark, d, kind, fit):
+def _once(spark, d, kind, make):
     key = (spark.sparkContext.applicationId, d, kind)
     if key not in _FITTED:
-        _FITTED[key] = fit(model_matrix(spark, d))
+        _FITTED[key] = make()
     return _FITTED[key]
 
 
+def _fitted(spark, d, kind, fit):
+    return _once(spark, d, kind, lambda: fit(_once(spark, d, "matrix", lambda: model_matrix(spark, d))))
+
+
 def fitted_classifier(spark, d):
     """The fitted classifier and its scores of all rows, labelled at the threshold its validation rows suggest."""
 

@@ -156,3 +156,11 @@ def test_many_rows_are_dealt_to_even_tasks(spark, monkeypatch):
     sizes = [len(part) for part in rain.deal_evenly(rows).rdd.glom().collect()]
     assert len(sizes) % spark.sparkContext.defaultParallelism == 0 and sum(sizes) == 700
     assert max(sizes) <= 60
+
+
+def test_both_models_of_an_application_share_one_matrix(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(assessing, "_FITTED", {})
+    monkeypatch.setattr(assessing, "model_matrix", lambda *_: made.append(1) or len(made))
+    assert [assessing._fitted(spark, "tables", kind, lambda m: m) for kind in ("a", "b", "a")] == [1, 1, 1]
+    assert made == [1]
