@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldflow.models.blocks import BlockFit, handles
 from fieldflow.operators import evaluate as E
 from fieldflow.session import cut_lineage, scratch
 
@@ -25,6 +27,8 @@ CLASSIFIER_PATIENCE = 50
 REGRESSOR_PATIENCE = 80
 # A fit reads its rows some seven times a round: more rows than these are dealt to even tasks of at most as many.
 TASK_ROWS = 250_000
+# From as many training rows on, trees are grown on blocks of binned rows, by Spark ML's method.
+BLOCK_FIT_ROWS = 1_000_000
 
 
 def add_class_weight(matrix: DataFrame, target: str = "rain_next_60", conservative: bool = True) -> DataFrame:
@@ -119,19 +123,32 @@ def next_rounds(fitted: int, kept: int, patience: int, rounds: int) -> int:
     return min(kept + patience if 2 * kept <= fitted else 4 * fitted, rounds)
 
 
-def _boost(booster, train: DataFrame, assembler, rounds: int, patience: int, losses, spare: int = 0) -> PipelineModel:
+@contextmanager
+def fitting(booster, assembler, train: DataFrame):
+    """Fits of the booster by their number of rounds. ``train`` holds the features by name, the target and any weight."""
+    names, columns = assembler.getInputCols(), [c for c in train.columns if c not in assembler.getInputCols()]
+    if handles(booster) and train.count() >= BLOCK_FIT_ROWS:
+        blocks = BlockFit(booster, train, names)
+        yield blocks.model
+        blocks.close()
+        return
+    rows = deal_evenly(cut_lineage(assembler.transform(train).select("features", *columns), "train"))
+    yield lambda rounds: booster.copy({booster.maxIter: rounds}).fit(rows)
+
+
+def _boost(fit, assembler, rounds: int, patience: int, losses, spare: int = 0) -> PipelineModel:
     """Fits (at first as many rounds as a stop at once needs and ``spare`` more) until ``patience`` rounds in a row bring no lower loss, and the model of the best round.
 
     A seeded fit only appends trees, so a fit of more rounds goes on from one of fewer, and one of fewer stands for a cut.
     """
     fitted = min(patience + 1 + spare, rounds)
     while True:
-        model = PipelineModel([assembler, booster.copy({booster.maxIter: fitted}).fit(train)])
+        model = PipelineModel([assembler, fit(fitted)])
         kept = best_round(losses(model), patience)
         if kept == fitted == rounds:
             return model
         if fitted == rounds or fitted - kept >= patience:
-            return PipelineModel([assembler, booster.copy({booster.maxIter: kept}).fit(train)])
+            return PipelineModel([assembler, fit(kept)])
         fitted = next_rounds(fitted, kept, patience, rounds)
 
 
@@ -144,13 +161,12 @@ def train_classifier(matrix: DataFrame, names: list[str], target: str = "rain_ne
     booster = GBTClassifier(labelCol=target, weightCol="weight", maxIter=rounds, **{**CLASSIFIER, **params})
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     rows = add_class_weight(matrix, target)
-    train = deal_evenly(cut_lineage(assembler.transform(rows.where("split = 'train'")).select("features", target, "weight"), "train"))
     held = rows.where("split = 'validation'")
-    if held.select(target).distinct().count() < 2:
-        return PipelineModel([assembler, booster.fit(train)])
-    return _boost(
-        booster, train, assembler, rounds, CLASSIFIER_PATIENCE, lambda model: [-auc for auc in auc_per_round(model, held, target)]
-    )
+    judged = lambda model: [-auc for auc in auc_per_round(model, held, target)]
+    with fitting(booster, assembler, rows.where("split = 'train'").select(*names, target, "weight")) as fit:
+        if held.select(target).distinct().count() < 2:
+            return PipelineModel([assembler, fit(rounds)])
+        return _boost(fit, assembler, rounds, CLASSIFIER_PATIENCE, judged)
 
 
 def train_regressor(
@@ -159,13 +175,13 @@ def train_regressor(
     """As the classifier, by squared error."""
     booster = GBTRegressor(labelCol=target, maxIter=rounds, **{**REGRESSOR, **params})
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    clipped = assembler.transform(matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0)))).select("features", target, "split")
-    train, held = (cut_lineage(clipped.where(F.col("split") == part), part) for part in ("train", "validation"))
-    train = deal_evenly(train)
-    if held.isEmpty():
-        return PipelineModel([assembler, booster.fit(train)])
+    clipped = matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0))).select(*names, target, "split")
+    held = cut_lineage(assembler.transform(clipped.where("split = 'validation'")).select("features", target), "validation")
     squared = lambda model: model.stages[-1].evaluateEachIteration(held, "squared")
-    return _boost(booster, train, assembler, rounds, REGRESSOR_PATIENCE, squared, spare=REGRESSOR_PATIENCE // 4)
+    with fitting(booster, assembler, clipped.where("split = 'train'").drop("split")) as fit:
+        if held.isEmpty():
+            return PipelineModel([assembler, fit(rounds)])
+        return _boost(fit, assembler, rounds, REGRESSOR_PATIENCE, squared, spare=REGRESSOR_PATIENCE // 4)
 
 
 def trees_kept(model: PipelineModel) -> int:

@@ -5,10 +5,11 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
-from fieldflow.models import rain
+from fieldflow.models import blocks, rain
 from fieldflow.queries import assessing
 from fieldflow.queries.assessing import model_matrix
 
@@ -164,3 +165,87 @@ def test_both_models_of_an_application_share_one_matrix(spark, monkeypatch):
     monkeypatch.setattr(assessing, "model_matrix", lambda *_: made.append(1) or len(made))
     assert [assessing._fitted(spark, "tables", kind, lambda m: m) for kind in ("a", "b", "a")] == [1, 1, 1]
     assert made == [1]
+
+
+@pytest.fixture(scope="module")
+def weighted(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 4))
+    x[:, 2], x[:, 3] = np.round(x[:, 2]), 1.0  # few values, one value
+    y = (x[:, 0] + 0.4 * x[:, 1] * x[:, 2] + rng.normal(size=3000) > 0.8).astype(int)
+    rows = [(*map(float, r), int(t), 2.5 if t else 1.0, float(abs(r[0] * r[1]) * t)) for r, t in zip(x, y)]
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, y int, w double, mm double").repartition(3).cache()
+
+
+def whole_trees(spark, model, path):
+    model.write().overwrite().save(str(path))
+    return spark.read.parquet(f"{path}/data").orderBy("treeID", "nodeData.id").select("treeID", "nodeData.*").collect()
+
+
+@pytest.mark.parametrize("kind, columns", [(GBTClassifier, dict(labelCol="y", weightCol="w")), (GBTRegressor, dict(labelCol="mm"))])
+def test_blocks_grow_the_trees_of_spark_ml(spark, weighted, tmp_path, monkeypatch, kind, columns):
+    """Without draws every node is the same: split, threshold, prediction, impurity, gain, sums and counts."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(blocks, "LINEAGE_ROUNDS", 3)
+    names = ["a", "b", "c", "d"]
+    booster = kind(maxIter=8, maxDepth=4, stepSize=0.3, seed=42, **columns)
+    want = booster.fit(VectorAssembler(inputCols=names, outputCol="features").transform(weighted))
+    fit = blocks.BlockFit(booster, weighted, names)
+    for rounds in (8, 3):
+        got = fit.model(rounds)
+        assert type(got) is type(want) and got.treeWeights == want.treeWeights[:rounds]
+        assert got.getMaxIter() == got.getNumTrees == rounds and got.numFeatures == 4
+        pairs = list(zip(whole_trees(spark, got, tmp_path / "got"), whole_trees(spark, want, tmp_path / "want")))
+        assert {r.treeID for r, _ in pairs} == set(range(rounds))
+        for g, w in pairs:
+            assert (g.treeID, g.id, g.leftChild, g.rightChild, g.split.featureIndex) == (w.treeID, w.id, w.leftChild, w.rightChild, w.split.featureIndex)
+            numbers = lambda n: [n.prediction, n.gain, n.rawCount, *n.impurityStats, *n.split.leftCategoriesOrThreshold]
+            assert np.allclose(numbers(g), numbers(w), rtol=1e-7, atol=1e-9)
+            assert np.isclose(g.impurity, w.impurity, atol=1e-9) or w.impurity == -1  # Spark ML's for "no valid split"
+    fit.close()
+
+
+def test_many_rows_are_fitted_on_blocks_and_rounds_are_grown_once(small, monkeypatch):
+    matrix, _ = small
+    grown = []
+    grow = blocks.BlockFit._grow
+    monkeypatch.setattr(blocks.BlockFit, "_grow", lambda self: grown.append(1) or grow(self))
+    monkeypatch.setattr(rain, "BLOCK_FIT_ROWS", 1)
+    for kind in (rain.GBTClassifier, rain.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", lambda *_: pytest.fail("Spark ML's fit was called"))
+    monkeypatch.setattr(rain, "CLASSIFIER_PATIENCE", 4)
+    model = rain.train_classifier(matrix, ["a", "b", "c"], rounds=12, maxDepth=3)
+    aucs = rain.auc_per_round(model, matrix.where("split = 'validation'"), "rain_next_60")
+    assert rain.trees_kept(model) == np.argmax(aucs) + 1 and 0 < len(grown) <= 12
+    assert aucs[-1] > 0.6
+    grown.clear()
+    monkeypatch.setattr(rain, "REGRESSOR_PATIENCE", 4)
+    monkeypatch.setattr(rain, "best_round", lambda losses, patience: min(3, len(losses)))
+    amounts = matrix.withColumn("rain_amount_next_60_mm", F.abs("a"))
+    assert rain.trees_kept(rain.train_regressor(amounts, ["a", "b", "c"], rounds=40, maxDepth=2)) == 3
+    assert len(grown) == 7  # 6, then one more; the model of 3 is a cut
+
+
+def test_draws_of_blocks_have_their_shares(spark, weighted):
+    booster = GBTClassifier(labelCol="y", weightCol="w", maxIter=3, **{**rain.CLASSIFIER, "maxDepth": 2})
+    fit = blocks.BlockFit(booster, weighted, ["a", "b", "c", "d"])
+    fit.model(3)
+    counts = [tree.stats[0, 0] for tree in fit.trees]
+    assert all(abs(n - 0.8 * 3000) < 150 for n in counts) and len(set(counts)) > 1
+    assert blocks.features_per_node("0.8", 13) == 11
+    again = blocks.BlockFit(booster, weighted, ["a", "b", "c", "d"])
+    again.model(3)
+    assert all(np.array_equal(a.feature, b.feature) and np.allclose(a.value, b.value) for a, b in zip(fit.trees, again.trees))
+    fit.close(), again.close()
+
+
+def test_blocks_refuse_missing_values(spark, weighted):
+    booster = GBTRegressor(labelCol="mm", maxIter=2)
+    gap = weighted.withColumn("b", F.when(F.col("a") > 0, F.col("b")))
+    with pytest.raises(Exception, match="null or NaN"):
+        blocks.BlockFit(booster, gap, ["a", "b"])
+
+
+def test_other_settings_stay_with_spark_ml():
+    assert blocks.handles(GBTClassifier(**rain.CLASSIFIER)) and blocks.handles(GBTRegressor(**rain.REGRESSOR))
+    assert not blocks.handles(GBTRegressor(minInstancesPerNode=5)) and not blocks.handles(GBTRegressor(lossType="absolute"))
