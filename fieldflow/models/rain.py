@@ -102,11 +102,13 @@ def staged_margins(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return scored.select(*rows.columns, "margins")
 
 
-def auc_per_round(model: PipelineModel, rows: DataFrame, target: str) -> list[float]:
-    """AUC on ``rows`` with the trees of the first 1, 2, ... rounds, from one keyed score curve."""
-    staged = staged_margins(model, rows).select(F.col(target).alias("y"), F.posexplode("margins").alias("round", "p"))
-    found = {r["round"]: r.auc_roc for r in E.rank_metrics(staged, ["round"]).collect()}  # one row per round
-    return [found.get(i) or 0.0 for i in range(len(model.stages[-1].treeWeights))]
+def auc_per_round(model: PipelineModel, rows: DataFrame, target: str, since: int = 0) -> list[float]:
+    """AUC on ``rows`` with the trees of the first 1, 2, ... rounds, all from one pass; without the first ``since`` of them."""
+    rounds, total = len(model.stages[-1].treeWeights) - since, rows.count()
+    margins = F.slice("margins", since + 1, rounds).alias("scores")
+    staged = lambda of: staged_margins(model, of).select(F.col(target).alias("y"), margins)
+    some = staged(rows.sample(False, min(1.0, 20_000 / max(total, 1)), 42))
+    return [auc or 0.0 for auc in E.auc_per_position(staged(rows), some, total, rounds)]
 
 
 def deal_evenly(train: DataFrame) -> DataFrame:
@@ -140,11 +142,13 @@ def _boost(fit, assembler, rounds: int, patience: int, losses, spare: int = 0) -
     """Fits (at first as many rounds as a stop at once needs and ``spare`` more) until ``patience`` rounds in a row bring no lower loss, and the model of the best round.
 
     A seeded fit only appends trees, so a fit of more rounds goes on from one of fewer, and one of fewer stands for a cut.
+    ``losses`` gets the losses of the rounds that it has judged before.
     """
-    fitted = min(patience + 1 + spare, rounds)
+    fitted, found = min(patience + 1 + spare, rounds), []
     while True:
         model = PipelineModel([assembler, fit(fitted)])
-        kept = best_round(losses(model), patience)
+        found = losses(model, found)
+        kept = best_round(found, patience)
         if kept == fitted == rounds:
             return model
         if fitted == rounds or fitted - kept >= patience:
@@ -162,7 +166,7 @@ def train_classifier(matrix: DataFrame, names: list[str], target: str = "rain_ne
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     rows = add_class_weight(matrix, target)
     held = rows.where("split = 'validation'")
-    judged = lambda model: [-auc for auc in auc_per_round(model, held, target)]
+    judged = lambda model, known: known + [-auc for auc in auc_per_round(model, held, target, len(known))]
     with fitting(booster, assembler, rows.where("split = 'train'").select(*names, target, "weight")) as fit:
         if held.select(target).distinct().count() < 2:
             return PipelineModel([assembler, fit(rounds)])
@@ -177,7 +181,7 @@ def train_regressor(
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     clipped = matrix.withColumn(target, F.greatest(F.col(target), F.lit(0.0))).select(*names, target, "split")
     held = cut_lineage(assembler.transform(clipped.where("split = 'validation'")).select("features", target), "validation")
-    squared = lambda model: model.stages[-1].evaluateEachIteration(held, "squared")
+    squared = lambda model, _: model.stages[-1].evaluateEachIteration(held, "squared")
     with fitting(booster, assembler, clipped.where("split = 'train'").drop("split")) as fit:
         if held.isEmpty():
             return PipelineModel([assembler, fit(rounds)])

@@ -6,8 +6,10 @@ the curve, so no window runs over the rows themselves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +136,76 @@ def rank_metrics(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") -
     )
 
 
+#: Distinct scores of one position in a cell of ``auc_per_position``, about, and rows whose equal scores are put together first.
+POSITION_CELL, POSITION_ROWS = 500_000, 2**16 - 1
+
+
+def auc_per_position(df: DataFrame, some: DataFrame, total: int, size: int, y: str = "y", scores: str = "scores") -> list[float | None]:
+    """AUC of each of the ``size`` positions of an array of scores, as ``auc_roc`` of each alone; None where a class has no row.
+
+    Scores are put together and sorted as arrays, cell by cell, instead of one row per score. ``some`` are rows whose
+    quantiles part the ``total`` rows' scores into cells: they decide how even cells are and nothing else. Rows without a
+    label or a score take no part.
+    """
+    plain = lambda of: of.select(F.col(y).cast("int").alias("y"), F.col(scores).cast("array<double>").alias("scores"))
+    rows, cells = plain(df.where(F.col(y).isNotNull())), -(-total // POSITION_CELL)
+    edges = [np.empty(0)] * size
+    if cells > 1:
+        drawn = plain(some).toArrow()["scores"].to_pylist()
+        for i in range(size):
+            known = [r[i] for r in drawn if r is not None and len(r) > i and r[i] is not None and not np.isnan(r[i])]
+            edges[i] = np.unique(np.quantile(known, np.arange(1, cells) / cells)) if known else edges[i]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, POSITION_ROWS - n))
+                at, n = at + held[-1].num_rows, n + held[-1].num_rows
+                if n == POSITION_ROWS:
+                    yield put_together(held)
+                    held, n = [], 0
+        if n:
+            yield put_together(held)
+
+    def put_together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        label, lists = table["y"].to_numpy() == 1, table["scores"].combine_chunks()
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        lengths = lists.value_lengths().fill_null(0).to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        out = []
+        for i in range(size):
+            has = np.flatnonzero(lengths > i)
+            found = values.take(starts.take(has) + i)
+            known = np.flatnonzero(~np.isnan(found))
+            distinct, place = np.unique(found.take(known), return_inverse=True)
+            positive = label.take(has.take(known))
+            pos, neg = (np.bincount(place[of], minlength=len(distinct)).astype(np.uint16) for of in (positive, ~positive))
+            ends = [0, *np.searchsorted(distinct, edges[i], "left"), len(distinct)]
+            for cell, (a, b) in enumerate(zip(ends, ends[1:])):
+                if b > a:
+                    out.append((i, cell, distinct[a:b].tobytes(), pos[a:b].tobytes(), neg[a:b].tobytes()))
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+
+    def rank(key, table):
+        joined = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+        distinct, place = np.unique(joined("scores", np.float64), return_inverse=True)
+        pos, neg = (np.bincount(place, joined(c, np.uint16), len(distinct)).astype(np.int64) for c in ("pos", "neg"))
+        halves = int((pos * (2 * (np.cumsum(neg) - neg) + neg)).sum())
+        return pa.table({"i": [key[0].as_py()], "cell": [key[1].as_py()], "pos": [int(pos.sum())], "neg": [int(neg.sum())], "halves": [halves]})
+
+    schema = pa.schema([("i", pa.int32()), ("cell", pa.int32()), ("scores", pa.binary()), ("pos", pa.binary()), ("neg", pa.binary())])
+    parts = rows.mapInArrow(cut, "i int, cell int, scores binary, pos binary, neg binary")
+    ranked = parts.groupBy("i", "cell").applyInArrow(rank, "i bigint, cell bigint, pos bigint, neg bigint, halves bigint")
+    seen = [[0, 0, 0] for _ in range(size)]
+    for r in sorted(ranked.collect(), key=lambda r: (r.i, r.cell)):  # one row per position and cell
+        positives, negatives, halves = seen[r.i]
+        seen[r.i] = [positives + r.pos, negatives + r.neg, halves + r.halves + 2 * r.pos * negatives]
+    return [halves / (2 * positives * negatives) if positives and negatives else None for positives, negatives, halves in seen]
+
+
 def _ratio_or_null(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom.cast("double"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldflow.functions import constants as K
 from fieldflow.models import blocks, rain
+from fieldflow.operators import evaluate
 from fieldflow.queries import assessing
 from fieldflow.queries.assessing import model_matrix
 
@@ -249,3 +250,17 @@ def test_blocks_refuse_missing_values(spark, weighted):
 def test_other_settings_stay_with_spark_ml():
     assert blocks.handles(GBTClassifier(**rain.CLASSIFIER)) and blocks.handles(GBTRegressor(**rain.REGRESSOR))
     assert not blocks.handles(GBTRegressor(minInstancesPerNode=5)) and not blocks.handles(GBTRegressor(lossType="absolute"))
+
+
+def test_auc_of_each_position_over_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    scores = np.column_stack([rng.integers(0, 4, 400) / 4, rng.normal(size=400), np.zeros(400)])
+    labels = (rng.random(400) < 0.3).astype(int)
+    rows = [(int(t), [None if i == 1 and n % 50 == 0 else float(v) for i, v in enumerate(r)]) for n, (t, r) in enumerate(zip(labels, scores))]
+    df = spark.createDataFrame([*rows, (None, [1.0, 1.0, 1.0]), (1, [float("nan")] * 3)], "y int, scores array<double>").repartition(3)
+    monkeypatch.setattr(evaluate, "POSITION_CELL", 30)
+    monkeypatch.setattr(evaluate, "POSITION_ROWS", 17)
+    got = evaluate.auc_per_position(df, df.limit(90), 402, 3)
+    want = [plain_auc([(r[i], t) for t, r in rows if r[i] is not None]) for i in range(3)]
+    assert np.allclose(got, want)
+    assert evaluate.auc_per_position(df.where("y = 1"), df, 402, 3) == [None] * 3
